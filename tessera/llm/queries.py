@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat_format, html_text, packing, token_counts
+from tessera.llm import chat_format, html_text, ngram_join, packing, token_counts
 from tessera.llm.common import table
 
 
@@ -26,11 +26,16 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_html_extraction": op4_html_extraction,
     "op6_token_counts": op6_token_counts,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_chat_formatting": chat_format.SQL}
