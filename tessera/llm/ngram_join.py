@@ -3,13 +3,16 @@
 1. Every document becomes its set of distinct five-word shingles (64-bit codes); equal sets are one node.
 2. A sketch of fixed size counts shingles over all documents. It orders them, rare first, and splits them into a rare
    class and a frequent class. Any function of the shingle would keep the join exact; the sketch only keeps it fast.
-3. Prefixes. A set of m shingles can miss at most t = m - ceil(0.8 m) of them in a similar set. The rare class is indexed
-   by single shingles: the first t + 1 do if they are all rare. Otherwise the prefix is extended into the frequent class,
-   which is split by hash into CLASSES parts indexed by pairs from one part: an extension by one shingle for each part
-   met makes up for the one shingle a part may share without sharing a pair. Sets too small for that use t + 1 single
-   shingles; sets around the border use both, so every similar pair meets in at least one signature.
-4. Sets that meet in a signature, at sizes within the ratio, fall into one cluster (linked to one leader each, never all
-   pairs). A rare signature has a bounded number of rows; those of frequent shingles are salted into SUB parts first.
+3. Prefixes. A set of m shingles can miss at most t = m - ceil(0.8 m) of them in a similar set, so of the first t + k
+   shingles it shares k, and k = m / 16 are asked for. The rare class is indexed by single shingles; they do if the first
+   t + k are all rare. Otherwise the prefix is extended into the frequent class, which is split by hash into CLASSES
+   parts indexed by pairs from one part: an extension by one shingle for each part met makes up for the one shingle a
+   part may share without sharing a pair. Sets too small for that use single shingles; sets around the border use both,
+   so every similar pair meets in at least one signature.
+4. A set stays if enough of its signatures occur elsewhere: k of the smallest set it may be similar to, or one if pairs
+   are among them. Sets left that meet in a signature, at sizes within the ratio, fall into one cluster (linked to one
+   leader each, never all pairs). A rare signature has a bounded number of rows; those of frequent shingles are salted
+   into SUB parts first.
 5. Within a cluster, blocks of bounded size verify every pair of fitting sizes exactly and hand back a spanning forest of
    the links. Components of these links are the result. No pair of linked texts is lost: components need no more links.
 
@@ -28,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import WordHashes, checkpoint_dir, cut, mixed, words_of
 from tessera.llm.components import components
@@ -71,14 +75,20 @@ def bucket(codes: np.ndarray) -> np.ndarray:
     return (codes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def signatures(codes: np.ndarray, counts: np.ndarray, frequent: float) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set, and whether each one is made of frequent shingles. counts: of the codes, by the sketch."""
+def shared(m: int) -> int:
+    """How many shingles of its prefix a set of m has in common with any similar set whose prefix does not end before."""
+    return max(1, m // 16)
+
+
+def signatures(codes: np.ndarray, counts: np.ndarray, frequent: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Signatures of one set, whether each one is made of frequent shingles, and how many of them any similar set shares. counts: of the codes, by the sketch."""
     m = len(codes)
     if not m:
-        return np.empty(0, np.uint64), np.empty(0, bool)
+        return np.empty(0, np.uint64), np.empty(0, bool), 0
     order = np.lexsort((codes, counts))
     codes, often = codes[order], counts[order] > frequent
-    missing = m - (4 * m + 4) // 5
+    missing = m - (4 * m + 4) // 5 + shared(m) - 1
+    needed = shared((4 * m + 4) // 5)
     found, hot = [], []
     if m <= SINGLES_TO:
         found.append(mixed(codes[: missing + 1] ^ np.uint64(0x5851F42D4C957F2D)))
@@ -87,6 +97,9 @@ def signatures(codes: np.ndarray, counts: np.ndarray, frequent: float) -> tuple[
         rare = min(m - int(often.sum()), missing + 1)
         found.append(codes[:rare])
         hot.append(np.zeros(rare, bool))
+        if rare < missing + 1:
+            needed = 1
+            missing -= shared(m) - 1
         if rare < missing + 1:
             rest = codes[rare:]
             part = (rest % np.uint64(CLASSES)).astype(np.int64)
@@ -101,7 +114,7 @@ def signatures(codes: np.ndarray, counts: np.ndarray, frequent: float) -> tuple[
                     i, j = np.triu_indices(len(own), 1)
                     found.append(mixed(own[i] * np.uint64(0xD6E8FEB86659FD93) + own[j]))
                     hot.append(np.ones(len(i), bool))
-    return np.concatenate(found), np.concatenate(hot)
+    return np.concatenate(found), np.concatenate(hot), needed
 
 
 def _read(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -111,6 +124,8 @@ def _read(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def sets_and_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(id, node, n) of every row, in a shared table; and the global counts of the sketch's buckets."""
     kind = docs.schema["id"].dataType.simpleString()
+    layout = f"id {kind}, node long, n long, slice int, counts binary"
+    id_type = to_arrow_type(docs.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, sketch = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
@@ -122,61 +137,58 @@ def sets_and_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["id", "node", "n", "slice", "counts"])
         own = np.split(sketch, SLICES)
         used = [k for k in range(SLICES) if own[k].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(used), batch.schema.field(0).type if used else pa.null()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([own[k].tobytes() for k in used], pa.binary())],
-            names=["id", "node", "n", "slice", "counts"],
-        ) if used else pa.RecordBatch.from_pylist([], schema=_schema(kind))
+        n = len(used)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array([own[k].tobytes() for k in used], pa.binary())], names=["id", "node", "n", "slice", "counts"])
 
     def total(key: tuple, part: pa.Table) -> pa.Table:
         counts = sum(np.frombuffer(c, np.int64) for c in part.column("counts").to_pylist())
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
     path = f"{checkpoint_dir(docs.sparkSession)}/ngram-{uuid.uuid4()}"
-    docs.mapInArrow(run, f"id {kind}, node long, n long, slice int, counts binary").write.parquet(path)
-    made = docs.sparkSession.read.schema(f"id {kind}, node long, n long, slice int, counts binary").parquet(path)
+    docs.mapInArrow(run, layout).write.parquet(path)
+    made = docs.sparkSession.read.schema(layout).parquet(path)
     sketch = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
     for r in made.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect():  # SLICES rows of fixed size
         sketch[r[0]] = np.frombuffer(r[1], np.int64)
     return made.where("slice is null").select("id", "node", "n"), sketch.ravel()
 
 
-def _schema(kind: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(f"id {kind}, node long, n long, slice int, counts binary"))
-
-
 def clusters(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     """node, label: sets that may be similar to another one, by signatures."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.uint32) if sketch.max(initial=0) < 2**32 else sketch)  # of fixed size
+    sent = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.uint32) if sketch.max(initial=0) < 2**32 else sketch)  # of fixed size
     frequent = max(256.0, 4.0 * float(sketch.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, seen, counts = WordHashes(), set(), shared.value
+        memory, seen, counts = WordHashes(), set(), sent.value
         for batch in batches:
-            sig, node, size, sub = [], [], [], []
+            out: tuple[list, ...] = ([], [], [], [], [])
             for codes in shingle_sets(batch.column(1).to_pylist(), memory):
                 own = set_id(codes)
                 if not len(codes) or own in seen:  # copies within a task are sent once
                     continue
                 seen.add(own)
-                found, hot = signatures(codes, counts[bucket(codes)], frequent)
-                sig.append(found)
-                node.append(np.full(len(found), own, np.int64))
-                size.append(np.full(len(found), len(codes), np.int32))
-                sub.append(np.where(hot, own % SUB, -1).astype(np.int32))
+                found, hot, needed = signatures(codes, counts[bucket(codes)], frequent)
+                n = len(found)
+                for column, values in zip(out, (found.view(np.int64), np.full(n, own, np.int64), np.full(n, len(codes), np.int32), np.where(hot, own % SUB, -1).astype(np.int8), np.full(n, needed, np.int32))):
+                    column.append(values)
             if len(seen) > 500_000:
                 seen.clear()
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([s.view(np.int64) for s in sig], node, size, sub)], names=["sig", "node", "size", "sub"])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["sig", "node", "size", "sub", "needed"])
 
-    rows = docs.mapInArrow(run, "sig long, node long, size int, sub int")
-    by_size = Window.partitionBy("sig", "sub").orderBy("size", "node")
+    rows = docs.mapInArrow(run, "sig long, node long, size int, sub byte, needed int")
+    group = Window.partitionBy("sig", "sub")
+    met = rows.withColumn("met", F.min("node").over(group) < F.max("node").over(group)).where("met or sub >= 0").drop("met")
+    path = f"{checkpoint_dir(docs.sparkSession)}/ngram-{uuid.uuid4()}"
+    met.write.parquet(path)
+    met = docs.sparkSession.read.schema(met.schema).parquet(path).dropDuplicates(["sig", "node"])
+    enough = met.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("k")).where("n >= k").select("node")
+    left = met.join(enough, "node", "left_semi")
+    by_size = group.orderBy("size", "node")
     begins = F.coalesce(4 * F.col("size") > 5 * F.lag("size").over(by_size), F.lit(True))
     # the leader of a run of sizes in which each fits the one before
-    runs = rows.withColumn("leader", F.when(begins, F.col("node"))).withColumn("leader", F.last("leader", ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    tied = cut(runs.where((F.col("leader") != F.col("node")) | (F.col("sub") >= 0)).select("sig", "sub", "leader", "node", "size"))
+    runs = left.withColumn("leader", F.when(begins, F.col("node"))).withColumn("leader", F.last("leader", ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    tied = cut(runs.where("leader <> node or sub >= 0").select("sig", "sub", "leader", "node", "size"))
     parts = tied.where("sub >= 0").groupBy("sig", "sub", "leader").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     by_low = Window.partitionBy("sig").orderBy("low", "sub", "leader")
     reach = F.max("high").over(by_low.rowsBetween(Window.unboundedPreceding, -1))
