@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, cross_polytope, html_text, ngram_join, packing, token_counts
+from tessera.llm import chat_format, cross_polytope, html_text, ngram_join, packing, suffix_tree, token_counts
 from tessera.llm.common import table
 
 
+def op1_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree_scoring": op1_suffix_tree_scoring,
     "op2_packing": op2_packing,
     "op3_cross_polytope": op3_cross_polytope,
     "op4_html_extraction": op4_html_extraction,
