@@ -24,6 +24,7 @@ empty result; other columns are ignored. Two different shingles, or sets, share
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from tessera.llm.common import WordHashes, checkpoint_dir, cut, mixed, words_of
 from tessera.llm.components import components
 
 WIDTH = 5
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SLICES = 64
 CLASSES = 32
 #: From this size on, CLASSES parts leave enough shingles: m - CLASSES >= m - ceil(0.8 m) + 1.
@@ -47,14 +48,16 @@ SINGLES_TO = 51
 SUB = 64
 #: Bounds of a block: sets, and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
+#: Size of the filter of wanted ids.
+MARKS = 1 << 23
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(WIDTH)], np.uint64)
 
 
 def shingle_sets(texts: list[str | None], memory: WordHashes) -> list[np.ndarray]:
     """Sorted distinct shingle codes of each text."""
-    words = [words_of(t) for t in texts]
     out = []
-    for w in words:
+    for text in texts:
+        w = words_of(text)
         if len(w) < WIDTH:
             out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(w), 1)], np.uint64) if w else np.empty(0, np.uint64))
             continue
@@ -128,20 +131,20 @@ def sets_and_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     id_type = to_arrow_type(docs.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, sketch = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
+        memory, sketch = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), memory)
-            if sets:
-                sketch += np.bincount(bucket(np.concatenate(sets)), minlength=len(sketch))
+            at, times = np.unique(bucket(np.concatenate(sets)), return_counts=True) if sets else (np.empty(0, np.int64), np.empty(0, np.int64))
+            sketch[at] += times.astype(np.uint32)
             n = len(sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["id", "node", "n", "slice", "counts"])
         own = np.split(sketch, SLICES)
         used = [k for k in range(SLICES) if own[k].any()]
         n = len(used)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array([own[k].tobytes() for k in used], pa.binary())], names=["id", "node", "n", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array([zlib.compress(own[k].tobytes(), 1) for k in used], pa.binary())], names=["id", "node", "n", "slice", "counts"])
 
     def total(key: tuple, part: pa.Table) -> pa.Table:
-        counts = sum(np.frombuffer(c, np.int64) for c in part.column("counts").to_pylist())
+        counts = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64) for c in part.column("counts").to_pylist())
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
     path = f"{checkpoint_dir(docs.sparkSession)}/ngram-{uuid.uuid4()}"
@@ -236,6 +239,21 @@ def _forest(groups: list[tuple[int, np.ndarray, int, int]]) -> list[tuple[int, i
     return links
 
 
+def _marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose id is in wanted, and a few others: a filter of fixed size before the texts are shuffled."""
+    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int").alias("mark")
+    marks = np.zeros(MARKS, bool)
+    marks[wanted.select(mark).distinct().toArrow().column(0).to_numpy()] = True  # at most MARKS numbers
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(wanted[batch.column(2).to_numpy()])).select(["id", "text"])
+
+    return docs.select("id", "text", mark).mapInArrow(run, docs.select("id", "text").schema)
+
+
 def verified(docs: DataFrame, nodes: DataFrame, cluster: DataFrame) -> DataFrame:
     """a, b: a spanning forest of the links within each block."""
     # one row of the table for each node: its smallest id
@@ -260,7 +278,7 @@ def verified(docs: DataFrame, nodes: DataFrame, cluster: DataFrame) -> DataFrame
     small = F.array(F.struct(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("block"), F.lit(0).alias("side")))
     places = F.when(F.col("same").isNull(), small).otherwise(F.concat(inner, F.coalesce(up, none), F.coalesce(down, none)))
     wanted = placed.select("id", "node", "label", places.alias("places"))
-    found = docs.join(wanted, "id")
+    found = _marked(docs, member).join(wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
