@@ -145,20 +145,20 @@ def sets_and_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     def total(key: tuple, part: pa.Table) -> pa.Table:
         counts = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64) for c in part.column("counts").to_pylist())
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     path = f"{checkpoint_dir(docs.sparkSession)}/ngram-{uuid.uuid4()}"
     docs.mapInArrow(run, layout).write.parquet(path)
     made = docs.sparkSession.read.schema(layout).parquet(path)
-    sketch = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
+    sketch = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint32)
     for r in made.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect():  # SLICES rows of fixed size
-        sketch[r[0]] = np.frombuffer(r[1], np.int64)
+        sketch[r[0]] = np.frombuffer(r[1], np.uint32)
     return made.where("slice is null").select("id", "node", "n"), sketch.ravel()
 
 
 def clusters(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     """node, label: sets that may be similar to another one, by signatures."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.uint32) if sketch.max(initial=0) < 2**32 else sketch)  # of fixed size
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
     frequent = max(256.0, 4.0 * float(sketch.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
