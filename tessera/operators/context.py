@@ -54,8 +54,8 @@ def within_budget(files: DataFrame, path: str = "path", size: str = "size", max_
         fit = fit.where(~X.in_excluded_dir(F.col(path), list(excluded), mode))
     some = fit.where(F.col(size) > 0).orderBy(path).limit(max_total + 1)
     running = some.withColumn("_sum", F.sum(size).over(Window.orderBy(path).rowsBetween(Window.unboundedPreceding, 0)))
-    stop = running.where(F.col("_sum") > max_total).agg(F.min(path).alias("_stop"))
-    empty = fit.where(F.col(size) == 0).crossJoin(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.col(path) < F.col("_stop"))).drop("_stop")  # one row of one value
+    stop = running.where(F.col("_sum") > max_total).agg(F.min(path)).scalar()
+    empty = fit.where(F.col(size) == 0).where(stop.isNull() | (F.col(path) < stop))
     return running.where(F.col("_sum") <= max_total).drop("_sum").unionByName(empty)
 
 

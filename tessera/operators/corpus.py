@@ -59,10 +59,8 @@ def cascade(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFra
     """All tables without what came from the given files: files, chunks, nodes, and edges by their source."""
     out = {}
     for name, table in tables.items():
-        if "src" in table.columns:
-            out[name] = edges_without_files(table, paths)
-        else:
-            out[name] = without_files(table, paths, "path" if "path" in table.columns else "file_path")
+        owner = next((c for c in ("path", "file_path") if c in table.columns), None)
+        out[name] = without_files(table, paths, owner) if owner else edges_without_files(table, paths)
     return out
 
 

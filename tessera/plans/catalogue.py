@@ -318,7 +318,7 @@ def extended_stats(spark, sf):
 @query("SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM embeddings) AS chunks, (SELECT count(*) FROM supplier) AS structs, (SELECT count(*) FROM part) AS functions, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM documents) AS total_size")
 def index_stats(spark, sf):
     counts = stats.wide_counts({k: t(spark, sf, TABLES[k]) for k in ("files", "chunks", "structs", "functions")})
-    return counts.crossJoin(t(spark, sf, "documents").agg(F.sum(F.octet_length("text")).alias("total_size")))  # one row each
+    return counts.withColumn("total_size", t(spark, sf, "documents").agg(F.sum(F.octet_length("text"))).scalar())
 
 
 @query("SELECT label, count(*) FILTER (vec_id >= 0) AS n, count(*) FILTER (label % 2 = 0) AS even FROM embeddings GROUP BY label")
