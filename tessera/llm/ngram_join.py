@@ -315,3 +315,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     smallest = labelled.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id")).withColumnRenamed("root", "_root")
     joined = labelled.join(smallest, (F.col("root") == F.col("_root")) & (F.col("n") > 0), "left")
     return joined.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM words
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), shared AS (SELECT shingle FROM items GROUP BY shingle HAVING count(*) > 1
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN shared USING (shingle) JOIN items b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT links.y, reach.root FROM reach JOIN links ON links.x = reach.node)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(sets.doc_id, (SELECT min(root) FROM reach WHERE node = sets.doc_id)) AS component_id FROM sets
+"""

@@ -65,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_chat_formatting": chat_format.SQL}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.SQL, "op9_chat_formatting": chat_format.SQL, "op10_ngram_jaccard_join": ngram_join.SQL}
