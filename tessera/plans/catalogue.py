@@ -6,6 +6,7 @@ calls from suppliers to parts, and part, supplier, customer, nation and region a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import chunking, context, corpus, graph, stats, tasks
 from tessera.plans import extraction
+from tessera.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,6 +63,15 @@ def file_nodes(spark, sf):
     return corpus.file_rows(files(spark, sf))
 
 
+@query(f"WITH {ROWS} SELECT * FROM rows")
+def incremental_ingest(spark, sf):
+    """The file rows that a stream over the table merges, batch by batch, into a snapshot."""
+    source = f"{sf}/documents.parquet"
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    # a pattern: the stream's source takes folders and patterns, not the name of a single file
+    return ingest.ingest(spark, f"{source}*", spark.read.parquet(source).schema, f"{ingest.shared_folder(spark)}/ingest-{uuid.uuid4()}", path, F.col("text"))
+
+
 @query(f"WITH {ROWS} SELECT count(*) AS n FROM rows")
 def indexable_count(spark, sf):
     return files(spark, sf).where(corpus.indexable(F.col("path"))).agg(F.count(F.lit(1)).alias("n"))

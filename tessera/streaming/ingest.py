@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,17 @@ from pyspark.sql import functions as F
 from tessera.operators.corpus import changed, file_rows, upserted
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the cluster's checkpoint folder, or a temporary one in local mode."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+    return folder
+
+
 def merge_batch(spark: SparkSession, batch: DataFrame, store: str) -> None:
     """Merges one batch of (path, content) into the store: a new snapshot is written, then the pointer moves. Repeating a batch changes nothing."""
     known = snapshot(spark, store)
