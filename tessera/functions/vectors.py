@@ -39,7 +39,7 @@ def top_k_of_each(queries: Sequence[tuple[int, Sequence[float]]], chunks: DataFr
     rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("_v"), F.explode(known).alias("_q"))
     scored = rows.select(F.col("_q.id").alias("query_id"), "chunk_id", F.round(cosine(F.col("_v"), F.col("_q.v")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def hashing_embedder(dimension: int = 384) -> Embedder:

@@ -529,7 +529,7 @@ def smart_context(spark, sf):
 
     found = V.top_k(t(spark, sf, "embeddings"), _vector(spark, sf), 15, ties=("vec_id",))
     hits = found.select(
-        F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).alias("rank"), F.concat(F.lit("dir"), F.col("label").cast("string")).alias("path"), "score", F.lit(1).alias("start_line"), F.lit(2).alias("end_line"),
+        F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).cast("long").alias("rank"), F.concat(F.lit("dir"), F.col("label").cast("string")).alias("path"), "score", F.lit(1).alias("start_line"), F.lit(2).alias("end_line"),
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("preview"), F.concat(F.lit("chunk:"), F.col("vec_id").cast("string")).alias("entity_id"), F.lit("file").alias("entity_type"),
     )
     return context.smart_sections(hits, calls(spark, sf))
