@@ -3,8 +3,12 @@
 A page is read once into a tree of block-level elements. Every block of text gives points for its length and its commas
 to the elements above it, fewer the further up; an element's points are discounted by the share of its text that stands
 in links. The best container, or the article element around it, is kept together with siblings that score alongside it.
-Elements that never hold article text (navigation, forms, scripts, notices, adverts, comments and the like) give no
-points and no text. Spark's part is a narrow map over the rows: no shuffle, memory bounded by one page per task.
+Scripts and hidden elements give no points and no text. Elements that by tag, class, id or role stand beside an article
+(navigation, forms, notices, adverts, comments and the like) are left out too, but only once the page is read: one that
+holds the main element, the longest article, a top heading or most of the page's text is never left out, nor is one of
+some length with few links, tags of NEVER aside; both only score lower. If nothing is left, the page is scored again
+without these rules.
+Spark's part is a narrow map over the rows: no shuffle, memory bounded by one page per task.
 
 Edge cases: null or empty html, or a page without text, gives an empty string; unclosed and misnested tags are closed as
 the next block requires; an unclosed quote or comment ends at the next ">" or at the end of the page; repeated rows
@@ -23,7 +27,11 @@ from pyspark.sql import DataFrame
 
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption header footer nav aside form fieldset address details summary hr center menu dialog hgroup search".split())
 RAW = frozenset("script style textarea title noscript iframe noframes xmp template svg math object canvas audio video select".split())
-NEVER = frozenset("nav footer aside form fieldset menu dialog search".split())
+NEVER = frozenset("nav footer aside menu dialog search header".split())
+FORMS = frozenset("form fieldset".split())
+#: What an element beside the article keeps of its score, and the length from which it is scored at all.
+LOWERED = 0.25
+LONG = 250
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 #: An element that opens closes an open one of these kinds, up to the given borders.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
@@ -42,10 +50,10 @@ _COMMAS = re.compile("[,،、，]")
 
 
 class _Page:
-    """Elements in page order: parent, tag, whether dropped, bonus; and blocks (element, text, characters in links)."""
+    """Elements in page order: parent, tag, whether hidden, whether beside the article by its tag or words, bonus; and blocks (element, text, characters in links)."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.dropped, self.bonus, self.end = [-1], ["html"], [False], [0.0], [0]
+        self.parent, self.tag, self.hidden, self.beside, self.bonus, self.end = [-1], ["html"], [False], [False], [0.0], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.open, self.count = [0], Counter({"html": 1})
         self.text: list[str] = []
@@ -56,7 +64,7 @@ class _Page:
     def _flush(self) -> None:
         if self.text:
             text = " ".join(unescape("".join(self.text)).split())
-            if text and not self.dropped[self.open[-1]]:
+            if text and not self.hidden[self.open[-1]]:
                 self.blocks.append((self.open[-1], text, min(self.links, len(text))))
             self.text, self.links = [], 0
 
@@ -78,27 +86,28 @@ class _Page:
                 return
 
     def _begin(self, tag: str, attributes: str) -> None:
-        dropped, bonus = self.dropped[self.open[-1]] or tag in NEVER, 0.0
+        hidden, beside, bonus = self.hidden[self.open[-1]], tag in NEVER or tag in FORMS, 0.0
         if tag in ("article", "main"):
             bonus += 25
-        if tag == "header" and not (self.count["article"] or self.count["main"]):
-            dropped = True
-        if attributes and not dropped:
+        if tag == "header" and (self.count["article"] or self.count["main"]):
+            beside = False
+        if attributes and not hidden:
             words: set[str] = set()
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if name in ("class", "id", "role", "itemprop"):
                     words.update(_WORDS.findall(value))
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                    dropped = tag not in ("html", "body")
+                    hidden = tag not in ("html", "body")
             if words & BESIDE and tag not in ("html", "body", "main", "h1"):
-                dropped = dropped or tag != "article" or bool(words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "related", "promo"})
+                beside = beside or tag != "article" or bool(words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "related", "promo"})
             if words & GOOD:
                 bonus += 25
         self.count[tag] += 1
         self.parent.append(self.open[-1])
         self.tag.append(tag)
-        self.dropped.append(dropped)
+        self.hidden.append(hidden)
+        self.beside.append(beside)
         self.bonus.append(bonus)
         self.end.append(0)
         self.open.append(len(self.tag) - 1)
@@ -175,11 +184,58 @@ class _Page:
     def main_text(self) -> str:
         if not self.blocks:
             return ""
-        n = len(self.tag)
-        score, chars, links = [0.0] * n, [0] * n, [0] * n
+        return self._main_text(self.beside) or self._main_text([False] * len(self.tag))
+
+    def _sums(self, dropped: list[bool]) -> tuple[list[int], list[int]]:
+        """Characters, and characters in links, of each element with all in it."""
+        chars, links = [0] * len(self.tag), [0] * len(self.tag)
         for element, text, linked in self.blocks:
-            chars[element] += len(text)
-            links[element] += linked
+            if not dropped[element]:
+                chars[element] += len(text)
+                links[element] += linked
+        for element in range(len(self.tag) - 1, 0, -1):
+            chars[self.parent[element]] += chars[element]
+            links[self.parent[element]] += links[element]
+        return chars, links
+
+    def _judged(self, beside: list[bool]) -> tuple[list[bool], list[float], list[bool]]:
+        """Whether each element is left out, what it keeps of its score, and whether it holds what marks an article."""
+        n = len(self.tag)
+        chars, links = self._sums([False] * n)
+        apart = [False] * n  # in an element that may be beside the article, itself included
+        for k in range(1, n):
+            apart[k] = beside[k] or apart[self.parent[k]]
+        articles = [k for k in range(n) if self.tag[k] == "article" and chars[k] and not beside[k]]
+        longest = max(articles, key=lambda k: (chars[k], not apart[k]), default=-1)
+        marks, heads = [False] * n, [False] * n
+        for k in range(n - 1, 0, -1):
+            marks[k] = marks[k] or k == longest or self.tag[k] == "main" and chars[k] > 0
+            heads[k] = heads[k] or self.tag[k] == "h1" and chars[k] > 0
+            marks[self.parent[k]] = marks[self.parent[k]] or marks[k]
+            heads[self.parent[k]] = heads[self.parent[k]] or heads[k]
+        holds = [marks[k] or heads[k] and self.tag[k] not in ("nav", "header", "footer") for k in range(n)]
+        dropped, keeps, below = [False] * n, [1.0] * n, [1.0] * n
+        for k in range(1, n):
+            above = self.parent[k]
+            dropped[k], keeps[k], below[k] = dropped[above], below[above], below[above]
+            if beside[k]:
+                keeps[k], most = LOWERED, 2 * chars[k] > chars[0]
+                if not (holds[k] and most):
+                    below[k] = LOWERED
+                if not (holds[k] or most):
+                    dropped[k] = dropped[k] or self.tag[k] in NEVER or chars[k] < LONG or 2 * links[k] > chars[k]
+        return dropped, keeps, holds
+
+    def _main_text(self, beside: list[bool]) -> str:
+        n = len(self.tag)
+        dropped, keeps, holds = self._judged(beside)
+        chars, links = self._sums(dropped)
+        if not chars[0]:
+            return ""
+        score = [0.0] * n
+        for element, text, _ in self.blocks:
+            if dropped[element]:
+                continue
             points = (1 + len(_COMMAS.findall(text)) + min(len(text) // 100, 3)) if len(text) >= 25 else 0.2
             if self.tag[element] not in CONTAINERS:
                 element = self.parent[element]
@@ -187,11 +243,8 @@ class _Page:
             while element >= 0 and level < 6:
                 score[element] += points / (1, 2, 6, 9, 12, 15)[level]
                 element, level = self.parent[element], level + 1
-        for element in range(n - 1, 0, -1):
-            chars[self.parent[element]] += chars[element]
-            links[self.parent[element]] += links[element]
         density = [links[k] / chars[k] if chars[k] else 0.0 for k in range(n)]
-        final = [(score[k] + self.bonus[k]) * (1 - density[k]) if chars[k] and not self.dropped[k] else -1.0 for k in range(n)]
+        final = [(score[k] + self.bonus[k]) * (1 - density[k]) * keeps[k] if chars[k] and not dropped[k] else -1.0 for k in range(n)]
         best = max((k for k in range(n) if chars[k] and (self.tag[k] in CONTAINERS)), key=lambda k: (final[k], -k), default=0)
         top, around = best, best
         while around >= 0:
@@ -203,14 +256,16 @@ class _Page:
         kept = {top}
         if top:
             for k in range(self.parent[top] + 1, n):
-                if self.parent[k] == self.parent[top] and k != top and chars[k] and not self.dropped[k] and self._alongside(k, top, final, chars, density):
+                if self.parent[k] == self.parent[top] and k != top and chars[k] and not dropped[k] and self._alongside(k, top, final, chars, density):
                     kept.add(k)
+        # what is beside the article counts within it only if it holds the best, a mark of the article, or scores alongside it
         out, inside = [], [False] * n
         for k in range(n):
             above = self.parent[k]
-            inside[k] = k in kept or above >= 0 and inside[above] and not self._link_list(k, chars, density)
+            aside = beside[k] and not (k <= best < self.end[k] or holds[k] or final[k] >= max(10.0, 0.2 * final[best]))
+            inside[k] = k in kept or above >= 0 and inside[above] and not aside and not self._link_list(k, chars, density)
         for element, text, _ in self.blocks:
-            if inside[element]:
+            if inside[element] and not dropped[element]:
                 out.append(text)
         return "\n".join(out)
 

@@ -55,6 +55,28 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+STORY = "<h1>T</h1><p>Hello, world, this is a long paragraph of text, yes.<p>Another one, as long as the first, and with commas, too."
+TOLD = "T\nHello, world, this is a long paragraph of text, yes.\nAnother one, as long as the first, and with commas, too."
+
+
+@pytest.mark.parametrize("around", ["<div class='layout has-sidebar'>", "<div class='no-sidebar'>", "<div id='with-banner'>", "<section class='nav-open'>", "<form runat=server>", "<form><div class='with-banner'>", "<aside>"])
+@pytest.mark.parametrize("within", ["<article>", "<main>", "<div>", ""])
+def test_no_word_or_form_around_the_page_loses_the_article(around, within):
+    close = "".join(f"</{w[1:].split()[0].split('>')[0]}>" for w in (within, around) if w)
+    beside = "<nav><a href=x>Menu</a></nav><div class='sidebar'><p>Elsewhere, other things, of no interest</div><section class='comments'><p>nice, I like it, very much so, thanks a lot</section>"
+    assert html_text.main_text(f"<body>{beside}{around}{within}{STORY}{close}") == TOLD
+    assert html_text.main_text(f"<body>{around}{within}{STORY}{beside}{close}") == TOLD
+
+
+def test_words_beside_lower_a_score_and_are_left_out_if_small_or_of_links():
+    comments = "<section class='comments'>" + "<p>Nice, I like it, very much so, thanks a lot, more of it, please. " * 6 + "</section>"
+    links = "<div class='related'>" + "<a href=x>One more story of the same kind</a> " * 20 + "</div>"
+    article = "<div class='content'>" + "<p>Hello, world, this is a long paragraph of text, yes, it is. " * 9 + "</div>"
+    assert html_text.main_text(f"<body>{article}{comments}{links}") == html_text.main_text(f"<body>{article}")
+    assert html_text.main_text("<div class='sidebar'><p>All there is</div>") == "All there is"
+    assert html_text.main_text("<div hidden><p>Not seen</div>") == ""
+
+
 def test_html_rows(spark, sf):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a", "x"), (2, None, "<p>" * 20_000 + "deep", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(1, "", 0), (1, "a", 1), (2, "deep", 4)]
