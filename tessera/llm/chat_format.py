@@ -5,8 +5,11 @@ rendered once: the participant's turns as assistant, the others' as user with th
 The mask lists the spans of characters, "from-to" joined by commas, that the participant said, end marker included.
 
 DataFrame functions only. A conversation is rendered in blocks of BLOCK turn numbers, so no task gathers a conversation
-of unbounded length; a block in which turn numbers repeat more than CROWD times is dealt out further by turn number and
-a hash of the content. Concatenating a perspective's texts in the order of block and part gives the whole rendering.
+of unbounded length. A block of more than CROWD distinct rows comes in parts: every CROWD / 2 distinct rows of its order
+(a row of more than BLOCK copies counts once for each BLOCK of them), numbered from 0. Masks count from the start of the
+block, over its parts. So a block's texts put together, its masks joined by commas (empty ones left out) and its counts
+summed, in the order of parts, are the one row that the SQL gives for the block; concatenating a perspective's texts in
+the order of block and part gives the whole rendering.
 
 Edge cases: turns order by number (null first), then role, then text; equal rows are all kept; a null text is empty; a turn
 without role is a nameless user and no participant; a null conv_id is a conversation of its own; a conversation of
@@ -16,11 +19,34 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut
+
 BLOCK = 64
 CROWD = 256
+#: The order of a conversation's distinct rows; nulls first.
+ORDER = ("turn", "role", "text", "run")
+
+
+def _same(*names: str) -> F.Column:
+    """Equality of a's and b's columns, null to null."""
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}"))
+    return out
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    """part: of each row of the crowded blocks, by its rank in its block. Rows are sorted over ranges, so no task holds a whole block; only the ranges' counts meet."""
+    ranged = cut(rows.repartitionByRange("conv_id", "block", *ORDER).withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy("conv_id", "block", "range").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("conv_id", "block").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("conv_id", "block", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("conv_id", "block", "range").orderBy(*ORDER)) - 1
+    ranked = ranged.withColumn("rank", rank).alias("a").join(before.alias("b"), _same("conv_id", "block", "range"))
+    return ranked.select("a.*", F.floor((F.col("b.before") + F.col("a.rank")) / (CROWD // 2)).cast("long").alias("part")).drop("range", "rank")
 
 
 def perspectives(turns: DataFrame, narrators: tuple[str, ...] = ("system",)) -> DataFrame:
@@ -35,18 +61,17 @@ def perspectives(turns: DataFrame, narrators: tuple[str, ...] = ("system",)) ->
         .withColumn("copies", F.least(F.col("copies") - F.col("run") * BLOCK, F.lit(BLOCK)).cast("int"))
         .withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**40))).cast("long"))
     )
-    crowded = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select(F.col("conv_id").alias("_conv"), F.col("block").alias("_block"), F.ceil(F.col("n") / (CROWD // 2)).alias("_deal"))
-    within = F.coalesce(F.pmod("turn", F.lit(BLOCK)), F.lit(0))
-    part = F.when(F.col("_deal").isNull(), 0).otherwise(1 + within * F.col("_deal") + F.pmod(F.xxhash64("role", "text", "run"), F.col("_deal")))
-    blocks = (
-        rows.join(crowded, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block")), "left")
-        .withColumn("part", part.cast("long"))
-        .groupBy("conv_id", "block", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "run", "copies"))).alias("said"))
-        .withColumn("said", F.flatten(F.transform("said", lambda t: F.array_repeat(t, t["copies"]))))
-    )
-    speakers = turns.where(F.col("role").isNotNull() & ~F.col("role").isin(*narrators)).select(F.col("conv_id").alias("_conv"), F.col("role").alias("participant")).distinct()
-    joined = blocks.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    crowded = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+    speakers = turns.where(F.col("role").isNotNull() & ~F.col("role").isin(*narrators)).select("conv_id", F.col("role").alias("participant")).distinct()
+
+    def said(placed: DataFrame) -> DataFrame:
+        """One row for each participant, block and part, with all its turns in order."""
+        blocks = (
+            placed.groupBy("conv_id", "block", "part")
+            .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "run", "copies"))).alias("said"))
+            .withColumn("said", F.flatten(F.transform("said", lambda t: F.array_repeat(t, t["copies"]))))
+        )
+        return blocks.alias("a").join(speakers.alias("b"), _same("conv_id")).select("a.*", "b.participant")
 
     def head(t: F.Column) -> F.Column:
         name = F.when(t["role"].isNull(), "user").when(t["role"] == F.col("participant"), "assistant").when(t["role"].isin(*narrators), "system").otherwise(F.concat(F.lit("user name="), t["role"]))
@@ -56,7 +81,7 @@ def perspectives(turns: DataFrame, narrators: tuple[str, ...] = ("system",)) ->
         return F.coalesce(t["role"] == F.col("participant"), F.lit(False))
 
     pieces = F.transform("said", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit("<|im_end|>")).alias("body"), own(t).alias("own")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
+    start = F.struct(F.col("begin").alias("at"), F.array().cast("array<string>").alias("spans"))
 
     def step(acc: F.Column, p: F.Column) -> F.Column:
         begin = acc["at"] + F.length(p["head"])
@@ -65,7 +90,15 @@ def perspectives(turns: DataFrame, narrators: tuple[str, ...] = ("system",)) ->
         return F.struct((end + 1).alias("at"), spans.alias("spans"))
 
     spans = F.aggregate("pieces", start, step, lambda acc: acc["spans"])
-    return joined.withColumn("pieces", pieces).select(
+    calm = said(rows.alias("a").join(crowded.alias("b"), _same("conv_id", "block"), "left_anti").withColumn("part", F.lit(0).cast("long"))).withColumn("begin", F.lit(0).cast("long"))
+    parts = said(_parted(rows.alias("a").join(crowded.alias("b"), _same("conv_id", "block"), "left_semi")))
+    # where a part begins in its block, for each participant
+    size = F.aggregate(pieces, F.lit(0).cast("long"), lambda acc, p: acc + F.length(p["head"]) + F.length(p["body"]) + 1)
+    keys = ("conv_id", "participant", "block", "part")
+    earlier = Window.partitionBy(*keys[:3]).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = parts.select(*keys, size.alias("size")).select(*keys, F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("begin"))
+    parts = parts.alias("a").join(begins.alias("b"), _same(*keys)).select("a.*", "b.begin")
+    return calm.unionByName(parts).withColumn("pieces", pieces).select(
         "conv_id",
         "participant",
         "block",

@@ -138,6 +138,26 @@ def test_crowded_turns_are_dealt_out_and_kept(spark):
     assert all(text.count(f"\nt{k}<") == 1 for k in range(700)) and text.count("\nsame<") == 500 and text.index("late") > text.index("t699")
 
 
+def test_crowded_blocks_put_together_equal_the_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    draw = random.Random(8)
+    rows = [(draw.choice([None, 7]), draw.choice([None, 0, 1, 1, 2, 70]), draw.choice([None, "ann", "bob", "system", "é"]), draw.choice([None, "", "x<|im_", f"t{draw.randrange(400)}é"]), 0, 0) for _ in range(6000)]
+    rows += [(7, 1, "ann", "same", 0, 0)] * 300 + [(3, 1, "ann", "calm", 0, 0)]
+    found = chat_format.perspectives(spark.createDataFrame(rows, TURNS)).collect()
+    together = {}
+    for r in sorted(found, key=lambda r: r.part):
+        text, mask, n, own, parts = together.get((r.conv_id, r.participant, r.block), ("", [], 0, 0, 0))
+        assert r.part == parts
+        together[r.conv_id, r.participant, r.block] = (text + r.text, mask + [r["mask"]] * bool(r["mask"]), n + r.n_turns, own + r.n_masked, parts + 1)
+    con = duckdb.connect()
+    con.register("conversations", pa.table({c: [r[k] for r in rows] for k, c in enumerate(("conv_id", "turn", "role", "text"))}))
+    wanted = {(c, p, b): (text, mask, n, own) for c, p, b, _, text, mask, n, own in con.execute(chat_format.SQL).fetchall()}
+    assert max(parts for *_, parts in together.values()) > 3
+    assert {k: (text, ",".join(mask), n, own) for k, (text, mask, n, own, _) in together.items()} == wanted
+
+
 ITEM = "The quick answer to question seven is that the river bends twice before it meets the northern road, and nobody minds it at all."
 
 
