@@ -1,19 +1,21 @@
 """Text scoring with a probabilistic suffix tree.
 
-Tokens are the words of a text, A-Z lower-cased, and one end. The tree is over symbols: a word that makes up SYMBOL of all
-tokens or more is a symbol of its own; the others share CLASSES symbols by a hash of their last two characters.
+Tokens are the words of a text, A-Z lower-cased, and one end. The tree is over symbols: a word that occurs SYMBOL times or
+more is a symbol of its own; the others share CLASSES symbols by a hash of their last two characters.
 
 1. Count all words of the training rows. N tokens, V words.
-2. For each depth up to DEPTH: candidate contexts are symbol strings that make up CONTEXT of all tokens; count what
-   follows them. Transitions below TRANSITION of all tokens are pooled in a context's rest. All three shares are relative
-   to N, so there are at most 1 / share of each however large the corpus is: the tree fits in a broadcast by
-   construction, while its counts come from every training row.
+2. For each depth up to DEPTH: candidate contexts are symbol strings that occur CONTEXT times or more; count what follows
+   them. Transitions seen less than TRANSITION times are pooled in a context's rest. The minimum counts are absolute, so
+   the tree grows with the corpus; where a share of N is less, in small corpora, that share is the minimum. A context
+   backs off only to contexts that end in the same symbol, so the tree falls into slices by that symbol, of about SLICE
+   training tokens each: one slice at a time is grown and broadcast, and each further slice is one more pass over the
+   symbols. Known everywhere are the symbols; a slice of a single symbol may be larger than SLICE.
 3. A candidate s is kept if its next-symbol counts diverge from those of its longest kept suffix p: with n occurrences and
    r retained transitions, n KL(s || p) >= (r + 1) / 2 ln n.
 4. Smoothing: P(x | s) = (c(s x) + (rest(s) + b) P(x | p)) / (n + b), b = 3 + 2 r; at the root add-one counts. A word of a
    shared symbol has (c + 1) / (C + V + 1/CLASSES) of it, with C, V the tokens and words of the symbol, so that the root
    alone gives the base score, and each state's probabilities sum to one.
-5. Every token is scored in the longest kept suffix state. Words from HEAD of all tokens on have their counts in the
+5. Every token is scored in the longest kept suffix state. Words from HEAD of all tokens on, and all symbols, have their counts in the
    broadcast; rarer ones are looked up by a join on the word, summed up by text.
 
 Edge cases: a null or empty text is one end token; copies are scored alike; repeated rows and ids are scored row by row; a
@@ -23,13 +25,17 @@ empty result; other columns are ignored. Different words share a 64-bit code wit
 
 from __future__ import annotations
 
+import copy
+import functools
+import itertools
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -37,19 +43,30 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tessera.llm.common import checkpoint_dir, cut
 
 HEAD = 1e-6
-SYMBOL = 5e-5
-CONTEXT = 1e-5
-TRANSITION = 2e-7
+#: Minimum counts, and shares of all tokens that take their place where they are less.
+SYMBOL, SYMBOL_SHARE = 1000, 5e-5
+CONTEXT, CONTEXT_SHARE = 200, 1e-5
+TRANSITION, TRANSITION_SHARE = 4, 2e-7
+SLICE = 150_000_000
 CLASSES = 256
 DEPTH = 3
 #: Symbols that are no words: the place before a text, in contexts only.
 BEFORE = 0
-#: Bits of a symbol in a key; 1 / SYMBOL + CLASSES + 1 symbols fit, and so do 1 / CONTEXT contexts.
-BITS = 17
+#: Bits of a symbol, or of a context's number within its slice and depth, in a key.
+BITS = 24
 #: The end token's place in a vocabulary; no word is empty.
 END = b""
 
 
+def least_symbol(tokens: int) -> float:
+    return min(SYMBOL, SYMBOL_SHARE * tokens)
+
+
+def least_head(tokens: int) -> float:
+    """Every symbol is in the head."""
+    return min(HEAD * tokens, SYMBOL)
+
+
 class Vocabulary(dict):
     """word -> number, with a code and a class for each number."""
 
@@ -129,13 +146,13 @@ class Finder:
 
 
 class Tree:
-    """The model: bounded arrays that go to the executors."""
+    """The model, or a slice of it: arrays that go to the executors."""
 
     def __init__(self, tokens: int, words: int, head: np.ndarray, head_counts: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray):
-        """head: sorted codes of words from HEAD on; class_*: of the words that are no symbols of their own."""
+        """head: sorted codes of words from least_head on; class_*: of the words that are no symbols of their own."""
         self.tokens, self.words, self.total = tokens, words, tokens + words + 1
         self.head, self.head_counts = head, head_counts
-        own = head_counts >= SYMBOL * tokens
+        own = head_counts >= least_symbol(tokens)
         self.symbol_codes = head[own]
         self.n_symbols = 1 + len(self.symbol_codes) + CLASSES
         assert self.n_symbols < 1 << BITS
@@ -153,6 +170,12 @@ class Tree:
         self.move_log: list[np.ndarray] = []
         self.finders: dict[tuple[str, int], Finder] = {}
 
+    def bare(self) -> Tree:
+        """Another tree with the same root alone."""
+        out = copy.copy(self)
+        out.contexts, out.kept, out.suffix, out.back, out.moves, out.move_log, out.finders = [], [], [], [], [], [], {}
+        return out
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"finders": {}}  # built where they are used
 
@@ -175,20 +198,10 @@ class Tree:
     def context_ids(self, symbols: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         """By depth - 1, the number of the context before each symbol, or -1. first: where texts begin. A context never reaches beyond the place before its text."""
         out: list[np.ndarray] = []
-        previous = np.roll(symbols, 1)
-        previous[first] = BEFORE
-        before = previous.copy()  # the symbol `depth` places back
-        begun = first.copy()  # whether that place is before the text
-        for depth in range(len(self.contexts)):
+        for (before, beyond), depth in zip(_fronts(symbols, first), range(len(self.contexts))):
             if depth == 0:
                 out.append(self.finder("contexts", 1).find(np.zeros(1, np.int64), before))
             else:
-                shifted = np.roll(before, 1)
-                starts = np.roll(begun, 1)
-                starts[:1] = True
-                beyond = first | begun  # the shorter context is already at the start
-                before = np.where(beyond, BEFORE, shifted)
-                begun = beyond | starts
                 out.append(self.finder("contexts", depth + 1).find(np.where(beyond, -1, before), out[-1].astype(np.int64)))
         return out
 
@@ -260,6 +273,21 @@ class Tree:
         self.move_log.append(np.log10(counts / (occurrences + prior)[owner] + scale[owner] * under)[use])
 
 
+def _fronts(symbols: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For depths from 1 on: the symbol so many places back, and whether that is beyond the place before the text."""
+    before = np.roll(symbols, 1)
+    before[first] = BEFORE
+    begun = first.copy()  # whether that place is before the text
+    beyond = np.zeros(len(symbols), bool)
+    while True:
+        yield before, beyond
+        starts = np.roll(begun, 1)
+        starts[:1] = True
+        beyond = first | begun  # the shorter context is already at the start
+        before = np.where(beyond, BEFORE, np.roll(before, 1))
+        begun = beyond | starts
+
+
 def _first(sizes: np.ndarray) -> np.ndarray:
     out = np.zeros(int(sizes.sum()), bool)
     out[np.cumsum(sizes)[:-1]] = True
@@ -309,16 +337,16 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
     found = df.toArrow()
-    return [found.column(n).to_numpy() for n in names]
+    return [found.column(n).to_numpy(zero_copy_only=False) if found.column(n).type == pa.bool_() else found.column(n).to_numpy() for n in names]
 
 
 def rooted(counts: DataFrame) -> Tree:
     """A tree of the root alone."""
     tokens, words = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    code, c = _columns(counts.where(F.col("c") >= HEAD * tokens).select("code", "c"), "code", "c")  # at most 1 / HEAD rows
+    code, c = _columns(counts.where(F.col("c") >= least_head(tokens)).select("code", "c"), "code", "c")  # at most 1 / HEAD rows, and all symbols
     code = code.view(np.uint64)
     order = np.argsort(code)
-    shared = counts.where(F.col("c") < SYMBOL * tokens).groupBy("class").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("w"))
+    shared = counts.where(F.col("c") < least_symbol(tokens)).groupBy("class").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("w"))
     kind, t, w = _columns(shared, "class", "t", "w")  # at most CLASSES rows
     class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
     class_tokens[kind], class_words[kind] = t, w
@@ -330,76 +358,103 @@ def _sequences(column: pa.Array, limit: int = 400_000) -> Iterator[tuple[np.ndar
     run, size = [], 0
     for x in column.to_pylist():
         run.append(x)
-        size += len(x) // 2
+        size += len(x) // 4
         if size >= limit:
-            yield np.frombuffer(b"".join(run), np.uint16).astype(np.int64), _first(np.array([len(r) // 2 for r in run]))
+            yield np.frombuffer(b"".join(run), np.uint32).astype(np.int64), _first(np.array([len(r) // 4 for r in run]))
             run, size = [], 0
     if run:
-        yield np.frombuffer(b"".join(run), np.uint16).astype(np.int64), _first(np.array([len(r) // 2 for r in run]))
+        yield np.frombuffer(b"".join(run), np.uint32).astype(np.int64), _first(np.array([len(r) // 4 for r in run]))
+
+
+def _occurrences(tree: Tree, texts: int) -> np.ndarray:
+    """Of each symbol in the training rows, the place before a text included."""
+    own = tree.head_counts[tree.head_counts >= least_symbol(tree.tokens)]
+    return np.concatenate([[float(texts)], own, tree.class_tokens])
+
 
+def slices(tree: Tree, texts: int) -> list[np.ndarray]:
+    """Whether each symbol is in a slice: runs of about SLICE tokens at most."""
+    occurrences = _occurrences(tree, texts)
+    of, size, k = np.zeros(len(occurrences), np.int64), 0.0, 0
+    for symbol, n in enumerate(occurrences.tolist()):
+        if size and size + n > SLICE:
+            size, k = 0.0, k + 1
+        of[symbol], size = k, size + n
+    return [of == x for x in range(k + 1)]
 
-def grown(tree: Tree, training: DataFrame, depth: int = DEPTH) -> Tree:
-    """The tree with its contexts. training: symbols, the uint16 symbols of each training text."""
+
+def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray | None = None) -> Tree:
+    """The tree with its contexts. training: symbols, the uint32 symbols of each training text. own: the symbols that contexts may end in, all by default."""
     session, tokens = training.sparkSession, tree.tokens
-    own = tree.head_counts[tree.head_counts >= SYMBOL * tokens]
-    least = max(CONTEXT * tokens, 2.0)
+    least = max(min(CONTEXT, CONTEXT_SHARE * tokens), 2.0)
+    least_move = max(min(TRANSITION, TRANSITION_SHARE * tokens), 1.0)
     keys = np.arange(tree.n_symbols, dtype=np.int64)
-    occurrences = np.concatenate([[float(training.count())], own, tree.class_tokens])
+    occurrences = _occurrences(tree, training.count())
+    whole = own is None or bool(own.all())
     for d in range(1, depth + 1):
         use = occurrences >= least
         if d == 1:  # the end is no context: nothing follows it
             end = int(tree.symbols(np.array([xxhash.xxh3_64_intdigest(END)], np.uint64), np.zeros(1, np.int64))[0])
             if end <= len(tree.symbol_codes):
                 use[end] = False
+            if own is not None:
+                use &= own
         keys, occurrences = keys[use], occurrences[use].astype(np.float64)
-        sent = session.sparkContext.broadcast((tree, keys))
+        assert len(keys) < 1 << BITS
+        sent = session.sparkContext.broadcast((tree.n_symbols, tree.contexts, keys))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known, candidates = sent.value
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, longer=d < depth and not whole) -> Iterator[pa.RecordBatch]:
+            """What follows a candidate, and, with `ahead`, what stands before it."""
+            n_symbols, known, candidates = sent.value
             probe = Tree.__new__(Tree)
-            probe.n_symbols, probe.contexts, probe.finders = known.n_symbols, [*known.contexts, candidates], {}
-            waiting, size = [], 0
+            probe.n_symbols, probe.contexts, probe.finders = n_symbols, [*known, candidates], {}
+            waiting: dict[bool, list[np.ndarray]] = {False: [], True: []}
+            size = 0
 
-            def out() -> pa.RecordBatch:
-                k, n = np.unique(np.concatenate(waiting), return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
+            def out() -> Iterator[pa.RecordBatch]:
+                for ahead, pairs in waiting.items():
+                    if pairs:
+                        k, n = np.unique(np.concatenate(pairs), return_counts=True)
+                        pairs.clear()
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), ahead)), pa.array(k), pa.array(n)], names=["ahead", "key", "n"])
 
             for batch in batches:
                 for symbols, first in _sequences(batch.column(0)):
-                    found = probe.context_ids(symbols, first)[-1]
+                    found = probe.context_ids(symbols, first)[-1].astype(np.int64)
                     at = np.flatnonzero(found >= 0)
-                    waiting.append((found[at].astype(np.int64) << BITS) | symbols[at])
+                    waiting[False].append((found[at] << BITS) | symbols[at])
                     size += len(at)
+                    if longer:
+                        before, beyond = next(itertools.islice(_fronts(symbols, first), len(probe.contexts), None))
+                        at = at[~beyond[at]]
+                        waiting[True].append((before[at] << BITS) | found[at])
                     if size > 3_000_000:
-                        yield out()
-                        waiting, size = [], 0
-            if waiting:
-                yield out()
-
-        found = training.select("symbols").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        moves, n = _columns(found.where(F.col("n") >= max(TRANSITION * tokens, 1.0)), "key", "n")  # at most 1 / TRANSITION rows
-        order = np.argsort(moves)
-        moves, n = moves[order], n[order].astype(np.float64)
-        tree.grow(keys, occurrences, moves, n)
-        sent.unpersist()
-        # contexts of the next depth: one more symbol in front of a candidate. Its count is that of the symbol string,
-        # which the moves of this depth have as context and next symbol; the suffix is looked up among the candidates.
-        if d == depth or not len(moves):
+                        yield from out()
+                        size = 0
+            yield from out()
+
+        found = training.select("symbols").mapInArrow(run, "ahead boolean, key long, n long").groupBy("ahead", "key").agg(F.sum("n").alias("n"))
+        ahead, key, n = _columns(found.where(F.col("n") >= F.when(F.col("ahead"), least).otherwise(least_move)), "ahead", "key", "n")
+        ahead, order = ahead.astype(bool), np.argsort(key)
+        moves, longer = order[~ahead[order]], order[ahead[order]]
+        tree.grow(keys, occurrences, key[moves], n[moves].astype(np.float64))
+        sent.destroy()
+        # contexts of the next depth: one more symbol in front of a candidate. Of a slice they are counted as such; in a
+        # whole tree they are also what this depth has as context and next symbol, if their suffix is a candidate.
+        if whole and d < depth:
+            longer = moves[n[moves] >= least]
+            strings = [*_unrolled(tree, d, key[longer] >> BITS), key[longer] & ((1 << BITS) - 1)]
+            suffix, there = _look_up(tree.contexts[0], strings[-1])
+            for k in range(2, d + 1):
+                suffix, ok = _look_up(tree.contexts[k - 1], (strings[-k] << BITS) | suffix)
+                there = there & ok
+            keys, occurrences = ((strings[0] << BITS) | suffix)[there], n[longer][there].astype(np.float64)
+            order = np.argsort(keys)
+            keys, occurrences = keys[order], occurrences[order]
+        else:
+            keys, occurrences = key[longer], n[longer].astype(np.float64)
+        if not len(keys):
             break
-        string, last = moves >> BITS, moves & ((1 << BITS) - 1)
-        strings = _unrolled(tree, d, string)
-        suffix = np.zeros(len(moves), np.int64)
-        there = np.ones(len(moves), bool)
-        # the suffix of length d of (string, last): all but the first symbol
-        body = [*strings[1:], last]
-        for k in range(1, d + 1):
-            wanted = body[-k] if k == 1 else (body[-k] << BITS) | suffix
-            at, ok = _look_up(tree.contexts[k - 1], wanted)
-            suffix, there = at, there & ok
-        keys = ((strings[0] << BITS) | suffix)[there]
-        occurrences = n[there]
-        order = np.argsort(keys)
-        keys, occurrences = keys[order], occurrences[order]
     return tree
 
 
@@ -450,7 +505,7 @@ def score(docs: DataFrame, held_out: F.Column, id_column: str = "doc_id", text_c
                 of_symbol = np.add.reduceat(np.where(symbols > len(own.symbol_codes), counted - class_log[symbols], 0.0), begins)
                 heads = np.add.reduceat(known.astype(np.int64), begins)
                 base = np.add.reduceat(counted, begins) - heads * math.log10(own.total)
-                short = symbols.astype(np.uint16)
+                short = symbols.astype(np.uint32)
                 packed = pa.array([short[b : b + k].tobytes() for b, k in zip(begins, sizes)], pa.binary())
                 yield rows_of(id=batch.column(0).slice(at, n), held_out=batch.column(2).slice(at, n), text_code=text_codes, n_tokens=sizes, n_head=heads, base=base, model=of_symbol, symbols=packed)
                 at += n
@@ -471,24 +526,47 @@ def score(docs: DataFrame, held_out: F.Column, id_column: str = "doc_id", text_c
     rows.mapInArrow(run, layout).write.parquet(path)
     made = docs.sparkSession.read.schema(layout).parquet(path)
     texts = made.where("code is null")
-    tree = grown(tree, texts.where("not held_out").select("symbols"), depth)
-    whole = docs.sparkSession.sparkContext.broadcast(tree)
+    training = texts.where("not held_out").select("symbols")
+    parts = slices(tree, training.count())
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = whole.value
-        for batch in batches:
-            found = [np.add.reduceat(own.log_probabilities(symbols, first), np.flatnonzero(first)) for symbols, first in _sequences(batch.column(7))]
-            model = np.concatenate(found) + batch.column(6).to_numpy() if found else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(model)], names=batch.schema.names[:7])
+    def scoring(own: np.ndarray, to: Callable) -> tuple[Callable, Broadcast]:
+        """The scores of what follows the symbols of a slice, handed to a function of batch and scores; and the slice."""
+        whole = docs.sparkSession.sparkContext.broadcast((grown(tree.bare(), training, depth, own), own))
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grown_tree, mine = whole.value
+            for batch in batches:
+                found = []
+                for symbols, first in _sequences(batch.column(7)):
+                    here = mine[next(_fronts(symbols, first))[0]]
+                    found.append(np.add.reduceat(np.where(here, grown_tree.log_probabilities(symbols, first), 0.0), np.flatnonzero(first)))
+                yield to(batch, np.concatenate(found) if found else np.empty(0))
+
+        return run, whole
+
+    def first_slice(batch: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(scores + batch.column(6).to_numpy())], names=batch.schema.names[:7])
+
+    def further(batch: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(2), pa.array(scores)], names=["text_code", "further"])
+
+    scored, _ = scoring(parts[0], first_slice)
+    others = []
+    for own in parts[1:]:
+        run_further, whole = scoring(own, further)
+        others.append(cut(texts.select(*names[:8]).mapInArrow(run_further, "text_code long, further double")))
+        whole.destroy()
     local = texts.select(*names[:8]).mapInArrow(scored, ", ".join(layout.split(", ")[:7]))
     tails = made.where("code is not null").select("text_code", "code", "times", "sent")
-    looked_up = tails.join(counts.where(F.col("c") < HEAD * tree.tokens).select("code", "c"), "code", "left")
+    looked_up = tails.join(counts.where(F.col("c") < least_head(tree.tokens)).select("code", "c"), "code", "left")
     times, c = F.col("times"), F.coalesce(F.col("c"), F.lit(0))
     sums = {"tail_log": F.sum(times * F.log10(c + 1)), "tail_known": F.sum(F.when(c > 0, times).otherwise(0)), "tail_n": F.sum(times)}
     # a task sends a text once; copies in other tasks are sent again, and divided out
     summed = looked_up.groupBy("text_code").agg(*[(x / F.sum("sent")).alias(name) for name, x in sums.items()])
     joined = local.join(summed, "text_code", "left")
+    if others:  # a row of each copy of a text from each slice
+        rest = functools.reduce(DataFrame.union, others).groupBy("text_code").agg((F.sum("further") * len(others) / F.count(F.lit(1))).alias("further"))
+        joined = joined.join(rest, "text_code", "left")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     return joined.select(
         F.col("id").alias(id_column),
@@ -497,5 +575,5 @@ def score(docs: DataFrame, held_out: F.Column, id_column: str = "doc_id", text_c
         (F.col("n_head") + zero("tail_known")).cast("long").alias("n_known"),
         F.lit(tree.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("tail_log") - zero("tail_n") * math.log10(tree.total)).alias("base_score"),
-        (F.col("model") + zero("tail_log")).alias("score"),
+        (F.col("model") + zero("tail_log") + (zero("further") if others else 0)).alias("score"),
     )

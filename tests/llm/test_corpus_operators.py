@@ -71,6 +71,37 @@ def test_every_state_is_a_distribution(spark, sf, monkeypatch):
     assert np.allclose(tree.log_probabilities(sequence, first), np.log10(tree._probability(state, chain, sequence)))
 
 
+def test_contexts_of_enough_occurrences_stay_however_large_the_corpus(spark):
+    """What occurs 1000 (word), 200 (context) and 4 times (transition) is kept among 10^10 tokens."""
+    codes = np.array([11, 22, 33], np.uint64)
+    tree = suffix_tree.Tree(10**10, 3, codes, np.array([5000, 5000, 1000]), np.zeros(suffix_tree.CLASSES), np.zeros(suffix_tree.CLASSES))
+    assert list(tree.symbol_codes) == list(codes)
+    end = tree.n_symbols - 1
+    texts = [[1, 2, 3, end]] * 300 + [[1, 1, 2, 1, 1]] * 5 + [[3, 3, 2, end]] * 3
+    made = suffix_tree.grown(tree, spark.createDataFrame([(np.array(t, np.uint32).tobytes(),) for t in texts], "symbols binary"))
+    bits, mask = suffix_tree.BITS, (1 << suffix_tree.BITS) - 1
+    strings = [[(int(k),) for k in made.contexts[0]]]
+    for keys in made.contexts[1:]:
+        strings.append([(int(k) >> bits, *strings[-1][int(k) & mask]) for k in keys])
+    assert [sorted(x) for x in strings[1:]] == [[(0, 1), (1, 2), (2, 3)], [(0, 1, 2), (1, 2, 3)]]
+    followed = {(strings[0][int(m) >> bits], int(m) & mask) for m in made.moves[0]}
+    assert ((1,), 2) in followed and ((3,), end) in followed and ((3,), 3) not in followed and ((3,), 2) not in followed
+
+
+def test_slices_of_the_tree_score_as_the_whole(spark, sf, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    rows += [(9_000_001, None), (9_000_003, rows[0][1]), (9_000_003, rows[0][1])]
+    got = []
+    for size in (10**9, 2_000):
+        monkeypatch.setattr(suffix_tree, "SLICE", size)
+        calls, slices = [], suffix_tree.slices
+        monkeypatch.setattr(suffix_tree, "slices", lambda *a, f=slices: calls.append(f(*a)) or calls[-1])
+        got.append(sorted((r.doc_id, r.n_tokens, r.score) for r in suffix_tree.score(docs(spark, rows), held()).collect()))
+        monkeypatch.setattr(suffix_tree, "slices", slices)
+        assert (len(calls[0]) > 2) == (size == 2_000)
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-9 * max(1, abs(a[2])) for a, b in zip(*got)) and len(got[0]) == len(got[1])
+
+
 def test_suffix_tree_without_training(spark):
     assert suffix_tree.score(docs(spark, []), held()).collect() == []
     found = suffix_tree.score(docs(spark, [(1, "a b")]), F.lit(True)).collect()[0]
