@@ -198,12 +198,12 @@ def test_classifier_edge_cases(spark):
     assert quality.classify(empty, quality.learn(empty, None)).collect() == [] and quality.keep_good(empty, model).columns == empty.columns
 
 
-def dedup_by_force(rows, p=9, q=10):
-    """Texts after removal: a line goes if any earlier one is similar."""
-    earlier, out = [], []
-    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+def dedup_by_force(rows, p=9, q=10, after=lambda text: 0):
+    """Texts after removal: a line goes if any earlier one is similar. after: the order of the texts of one id; equal rows count once."""
+    earlier, done = [], {}
+    for i, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, after(r[1]))):
         if text is None:
-            out.append((i, None))
+            done[i, text] = None
             continue
         kept = []
         for line in text.split("\n"):
@@ -214,36 +214,50 @@ def dedup_by_force(rows, p=9, q=10):
             if not any((p + q) * len(words & e) >= p * (len(words) + len(e)) for e in earlier if 10 * min(len(words), len(e)) >= 9 * max(len(words), len(e))):
                 kept.append(line)
             earlier.append(words)
-        out.append((i, "\n".join(kept)))
-    return out
+        done[i, text] = "\n".join(kept)
+    return [(i, done[i, t]) for i, t in rows]
 
 
-def test_line_dedup(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "PART", 8)
+def lines_of_many_kinds():
     draw = random.Random(7)
     words = [f"w{k}" for k in range(3000)]
-    base = [draw.sample(words, 30) for _ in range(6)]
+    base = [draw.sample(words, n) for n in (8, 9, 10, 17, 19, 20, 30, 30, 60)]
     rows = []
     for k in range(150):
         lines = [" ".join(draw.sample(words, draw.randint(1, 25))) for _ in range(2)]
-        near = list(draw.choice(base))
-        for _ in range(draw.randint(0, 3)):
-            near[draw.randrange(30)] = draw.choice(words)
-        lines += [" ".join(near), "", "the same line in all of them", "  the\tsame line of all in them"]
+        for _ in range(2):
+            near = list(draw.choice(base))
+            for _ in range(draw.randint(0, max(1, len(near) // 10))):
+                near[draw.randrange(len(near))] = draw.choice(words)
+            lines.append(" ".join(near[draw.randint(0, 1) :]))
+        lines += ["", "the same line in all of them", "  the\tsame line of all in them"]
         draw.shuffle(lines)
         rows.append((k * 3, "\n".join(lines)))
-    rows += [(9001, None), (9002, ""), (9003, "\n\n"), (None, "first of all")]
-    # the level of common tokens is low here, so that both ways of meeting are used
-    for level in (6, 200):
-        real = line_dedup.rarity
-        monkeypatch.setattr(line_dedup, "rarity", lambda d: (real(d)[0], level))
-        found = line_dedup.dedup_lines(docs(spark, rows))
-        assert sorted((r.doc_id or -1, r.text or "") for r in found.collect()) == sorted((i or -1, t or "") for i, t in dedup_by_force(rows))
-        monkeypatch.setattr(line_dedup, "rarity", real)
+    return rows
+
+
+@pytest.mark.parametrize("bounds", [(2, 3, 4), (2, 1000, 4), (16, 256, 512)])
+def test_line_dedup(spark, monkeypatch, bounds):
+    for name, value in zip(("COMMON", "MEET", "PART"), bounds):  # low bounds let lines meet in blocks, too
+        monkeypatch.setattr(line_dedup, name, value)
+    rows = lines_of_many_kinds() + [(9001, None), (9002, ""), (9003, "\n\n"), (None, "first of all")]
+    found = line_dedup.dedup_lines(docs(spark, rows))
+    assert sorted((r.doc_id or -1, r.text or "") for r in found.collect()) == sorted((i or -1, t or "") for i, t in dedup_by_force(rows))
     assert found.columns == [*docs(spark, []).columns, "n_removed"]
     assert found.where("doc_id = 9001 and text is null and n_removed = 0").count() == 1
 
 
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    rows = [(r[0] // 30 if r[0] % 7 else None, r[1]) for r in lines_of_many_kinds()]
+    rows += rows[:40] + [(1, "x y z"), (7, "x y z"), (7, "other line"), (7, None), (None, None), (None, "x y z\nmore of it"), (None, "x y z\nmore of it"), (8, "long " * 200_000 + "\nother line")]
+    table = spark.createDataFrame([(i, t, "a", 5) for i, t in rows], "doc_id long, text string, N_Removed string, __mask int")
+    order = {r.text: r.h for r in table.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    found = line_dedup.dedup_lines(table)
+    assert found.columns == ["doc_id", "text", "N_Removed", "__mask", "n_removed_"]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in found.collect()), key=key) == sorted(dedup_by_force(rows, after=order.get), key=key)
+
+
 def test_line_dedup_of_nothing_and_equal_rows(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).collect() == []
     found = line_dedup.dedup_lines(docs(spark, [(1, "a b\na b\nc"), (1, "a b\na b\nc"), (2, "c")])).collect()
