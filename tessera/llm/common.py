@@ -6,9 +6,10 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: White space that separates words in every operator of this package.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -48,11 +49,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def lower_ascii(column: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered up to a bound."""
 
@@ -68,9 +64,31 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """A-Z lower-cased words of a text as UTF-8; null has none."""
-    return text.encode().lower().split() if text else []
+def runs_of_texts(texts: pa.Array, limit: int = 2_000_000) -> Iterator[pa.Array]:
+    """Runs of texts of about `limit` bytes at most, so that memory follows the longest text and not the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield texts.slice(begin, end - begin)
+        begin = end
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The A-Z lower-cased words of all texts in a row, as places in a list of the distinct ones; how many each text has; that list."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.dictionary_encode(split.flatten())
+    at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in words:  # before and behind the space around a text
+        none = words.index(b"")
+        real = at != none
+        counted = np.concatenate([[0], np.cumsum(real)])
+        ends = np.cumsum(sizes)
+        sizes, at = counted[ends] - counted[ends - sizes], at[real]
+    return at, sizes, words
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -80,20 +98,3 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
-
-
-def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit codes of the runs of `width` words; a shorter sequence is one shingle, an empty one none."""
-    if not len(hashes):
-        return hashes
-    n = max(1, len(hashes) - width + 1)
-    code = np.full(n, min(len(hashes), width), np.uint64)
-    for k in range(min(width, len(hashes))):
-        code = mixed(code * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n])
-    return np.unique(code)
-
-
-def arrow_columns(batches: Iterator, *names: str) -> Iterator[tuple]:
-    """Python lists of the named columns of each Arrow batch."""
-    for batch in batches:
-        yield tuple(batch.column(batch.schema.get_field_index(name)).to_pylist() for name in names)

@@ -14,7 +14,8 @@ more is a symbol of its own; the others share CLASSES symbols by a hash of their
    r retained transitions, n KL(s || p) >= (r + 1) / 2 ln n.
 4. Smoothing: P(x | s) = (c(s x) + (rest(s) + b) P(x | p)) / (n + b), b = 3 + 2 r; at the root add-one counts. A word of a
    shared symbol has (c + 1) / (C + V + 1/CLASSES) of it, with C, V the tokens and words of the symbol, so that the root
-   alone gives the base score, and each state's probabilities sum to one.
+   alone gives the base score. The symbols of each state sum to one; so do a shared symbol's known words and a share of
+   1/CLASSES of the one unknown word. A word that is unknown counts as the whole of that, here as in the base score.
 5. Every token is scored in the longest kept suffix state. Words from HEAD of all tokens on, and all symbols, have their counts in the
    broadcast; rarer ones are looked up by a join on the word, summed up by text.
 
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import copy
 import functools
-import itertools
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,9 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.common import checkpoint_dir, cut
+from tessera.llm.common import checkpoint_dir, cut, runs_of_texts, split_words
 
-HEAD = 1e-6
+HEAD = 2.5e-7
 #: Minimum counts, and shares of all tokens that take their place where they are less.
 SYMBOL, SYMBOL_SHARE = 1000, 5e-5
 CONTEXT, CONTEXT_SHARE = 200, 1e-5
@@ -54,6 +54,8 @@ DEPTH = 3
 BEFORE = 0
 #: Bits of a symbol, or of a context's number within its slice and depth, in a key.
 BITS = 24
+#: Marks the keys of longer contexts among those of transitions.
+AHEAD = 1 << 60
 #: The end token's place in a vocabulary; no word is empty.
 END = b""
 
@@ -83,17 +85,16 @@ class Vocabulary(dict):
         self.classes.append(xxhash.xxh32_intdigest(word.decode()[-2:]) % CLASSES if word else 0)
         return n
 
-    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all texts in a row, and how many each has."""
-        words: list[bytes] = []
-        sizes = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            before = len(words)
-            if text:
-                words += text.encode().lower().split()
-            words.append(END)
-            sizes[k] = len(words) - before
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)), sizes
+        at, sizes, words = split_words(texts)
+        own = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        sizes = sizes + 1
+        out = np.full(len(at) + len(sizes), self[END])
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        out[inner] = own[at]
+        return out, sizes
 
     def code_array(self, begin: int = 0) -> np.ndarray:
         return np.array(self.codes[begin:], np.uint64)
@@ -102,19 +103,6 @@ class Vocabulary(dict):
         return np.array(self.classes[begin:], np.int64)
 
 
-def _chunks(texts: list, limit: int = 2_000_000) -> Iterator[list]:
-    """Runs of texts of about `limit` characters at most, so that memory follows the longest text and not the batch."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t or "")
-        if size >= limit:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in the sorted keys, and whether the wanted ones are there."""
     if not len(keys):
@@ -123,26 +111,55 @@ def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, keys[at] == wanted
 
 
-#: Up to so many entries, a table over all possible keys takes the place of a binary search.
-DENSE = 1 << 23
+def _spread(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Places of keys in a table of 2^bits."""
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Finder:
-    """Finds (front << BITS | back) among sorted keys; fronts and backs are below the given bounds."""
-
-    def __init__(self, keys: np.ndarray, fronts: int, backs: int):
-        self.keys, self.backs, self.table = keys, backs, None
-        if fronts * backs <= DENSE:
-            self.table = np.full(fronts * backs + 1, -1, np.int32)
-            self.table[(keys >> BITS) * backs + (keys & ((1 << BITS) - 1))] = np.arange(len(keys), dtype=np.int32)
+    """Finds (front << BITS | back) among distinct keys: an open-addressing table, at most half full."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.slots, self.at = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        left, place = np.arange(len(keys)), _spread(keys, self.bits)
+        while len(left):
+            free = self.at[place] < 0
+            self.at[place[free]] = left[free]  # of several, one stays
+            lost = self.at[place] != left
+            left, place = left[lost], (place[lost] + 1) & (len(self.at) - 1)
+        held = self.at >= 0
+        self.slots[held] = keys[self.at[held]]
 
     def find(self, front: np.ndarray, back: np.ndarray) -> np.ndarray:
-        """Places among the keys, -1 where there is none; a negative front or back is none."""
-        none = (front < 0) | (back < 0)
-        if self.table is not None:
-            return self.table[np.where(none, len(self.table) - 1, front * self.backs + back)]
-        at, there = _look_up(self.keys, (front << BITS) | back)
-        return np.where(there & ~none, at, -1)
+        """Places among the keys, -1 where there is none."""
+        wanted = (front << BITS) | back
+        place = _spread(wanted, self.bits)
+        held = self.slots[place]
+        out = np.where(held == wanted, self.at[place], -1).astype(np.int64)
+        left = np.flatnonzero((held != wanted) & (held >= 0))
+        place = place[left]
+        while len(left):
+            place = (place + 1) & (len(self.at) - 1)
+            held, own = self.slots[place], wanted[left]
+            found = held == own
+            out[left[found]] = self.at[place[found]]
+            more = ~found & (held >= 0)
+            left, place = left[more], place[more]
+        return out
+
+
+def _marks(keys: np.ndarray) -> np.ndarray:
+    """A filter of at least 8 bits a key."""
+    bits = max(6, (8 * len(keys)).bit_length())
+    out = np.zeros(1 << bits, bool)
+    out[_spread(keys, bits)] = True
+    return np.packbits(out, bitorder="little")
+
+
+def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = _spread(keys, len(marks).bit_length() + 2)
+    return (marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
 class Tree:
@@ -182,43 +199,46 @@ class Tree:
     def finder(self, kind: str, depth: int) -> Finder:
         """Of the contexts, or moves, of a depth."""
         if (kind, depth) not in self.finders:
-            if kind == "moves":
-                made = Finder(self.moves[depth - 1], len(self.contexts[depth - 1]), self.n_symbols)
-            elif depth == 1:
-                made = Finder(self.contexts[0], 1, self.n_symbols)
-            else:
-                made = Finder(self.contexts[depth - 1], self.n_symbols, len(self.contexts[depth - 2]))
-            self.finders[kind, depth] = made
+            self.finders[kind, depth] = Finder((self.moves if kind == "moves" else self.contexts)[depth - 1])
         return self.finders[kind, depth]
 
     def symbols(self, codes: np.ndarray, classes: np.ndarray) -> np.ndarray:
         at, there = _look_up(self.symbol_codes, codes)
         return np.where(there, 1 + at, 1 + len(self.symbol_codes) + classes)
 
-    def context_ids(self, symbols: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """By depth - 1, the number of the context before each symbol, or -1. first: where texts begin. A context never reaches beyond the place before its text."""
+    def context_ids(self, symbols: np.ndarray, first: np.ndarray, at: np.ndarray | None = None) -> list[np.ndarray]:
+        """By depth - 1, the number of the context before each of the symbols at the given places (all by default), or -1. first: where texts begin. A context never reaches beyond the place before its text."""
+        at = np.arange(len(symbols)) if at is None else at
+        place = _places(first)[at]
         out: list[np.ndarray] = []
-        for (before, beyond), depth in zip(_fronts(symbols, first), range(len(self.contexts))):
-            if depth == 0:
-                out.append(self.finder("contexts", 1).find(np.zeros(1, np.int64), before))
+        for depth in range(1, len(self.contexts) + 1):
+            found = np.full(len(at), -1, np.int64)
+            if depth == 1:
+                found = self.finder("contexts", 1).find(np.int64(0), _before(symbols, place, at, 1))
             else:
-                out.append(self.finder("contexts", depth + 1).find(np.where(beyond, -1, before), out[-1].astype(np.int64)))
+                live = np.flatnonzero((out[-1] >= 0) & (place >= depth - 1))
+                found[live] = self.finder("contexts", depth).find(_before(symbols, place[live], at[live], depth), out[-1][live])
+            out.append(found)
         return out
 
-    def log_probabilities(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-        ids = self.context_ids(symbols, first)
-        state = np.zeros(len(symbols), np.int64)
+    def log_probabilities(self, symbols: np.ndarray, first: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Of the symbols at the given places, all by default."""
+        ids = self.context_ids(symbols, first, at)
+        if at is not None:
+            symbols = symbols[at]
+        state = np.zeros(len(symbols), np.int8)
         for depth, found in enumerate(ids, 1):
-            state[(found >= 0) & self.kept[depth - 1][np.maximum(found, 0)] if len(self.kept[depth - 1]) else np.zeros(len(found), bool)] = depth
+            live = np.flatnonzero(found >= 0)
+            state[live[self.kept[depth - 1][found[live]]]] = depth
         out, open_ = np.zeros(len(symbols)), np.ones(len(symbols), bool)
         for depth in range(len(ids), 0, -1):
             here = np.flatnonzero(open_ & (state == depth))
             if not len(here):
                 continue
-            own = ids[depth - 1][here].astype(np.int64)
-            at = self.finder("moves", depth).find(own, symbols[here])
-            there = at >= 0
-            out[here[there]] += self.move_log[depth - 1][at[there]]
+            own = ids[depth - 1][here]
+            found = self.finder("moves", depth).find(own, symbols[here])
+            there = found >= 0
+            out[here[there]] += self.move_log[depth - 1][found[there]]
             open_[here[there]] = False
             left = here[~there]
             out[left] += self.back[depth - 1][own[~there]]
@@ -273,19 +293,15 @@ class Tree:
         self.move_log.append(np.log10(counts / (occurrences + prior)[owner] + scale[owner] * under)[use])
 
 
-def _fronts(symbols: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For depths from 1 on: the symbol so many places back, and whether that is beyond the place before the text."""
-    before = np.roll(symbols, 1)
-    before[first] = BEFORE
-    begun = first.copy()  # whether that place is before the text
-    beyond = np.zeros(len(symbols), bool)
-    while True:
-        yield before, beyond
-        starts = np.roll(begun, 1)
-        starts[:1] = True
-        beyond = first | begun  # the shorter context is already at the start
-        before = np.where(beyond, BEFORE, np.roll(before, 1))
-        begun = beyond | starts
+def _places(first: np.ndarray) -> np.ndarray:
+    """The place of each symbol in its text."""
+    begins = np.flatnonzero(first)
+    return np.arange(len(first)) - np.repeat(begins, np.diff(np.append(begins, len(first))))
+
+
+def _before(symbols: np.ndarray, place: np.ndarray, at: np.ndarray, back: int) -> np.ndarray:
+    """The symbol so many places before each of those at the given places, BEFORE where that is no place of the text."""
+    return np.where(place >= back, symbols[at - back], BEFORE)
 
 
 def _first(sizes: np.ndarray) -> np.ndarray:
@@ -301,7 +317,7 @@ class _Symbols:
     def __init__(self, tree: Tree):
         self.tree, self.words, self.known = tree, Vocabulary(), np.empty(0, np.int64)
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token numbers, symbols, sizes."""
         if len(self.words) > Vocabulary.LIMIT:
             self.words, self.known = Vocabulary(), np.empty(0, np.int64)
@@ -322,7 +338,7 @@ def word_counts(training: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words.code_array().view(np.int64)), pa.array(words.class_array().astype(np.int32)), pa.array(counts)], names=["code", "class", "c"])
 
         for batch in batches:
-            for texts in _chunks(batch.column(0).to_pylist()):
+            for texts in runs_of_texts(batch.column(0)):
                 numbers, _ = words.numbers(texts)
                 added = np.bincount(numbers, minlength=len(words))
                 added[: len(counts)] += counts
@@ -353,17 +369,17 @@ def rooted(counts: DataFrame) -> Tree:
     return Tree(tokens, words, code[order], c[order], class_tokens, class_words)
 
 
-def _sequences(column: pa.Array, limit: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Symbols of texts in a row, and where texts begin, in runs of about `limit` tokens."""
-    run, size = [], 0
+def _sequences(column: pa.Array, kind: str, limit: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols of texts in a row, and where texts begin, in runs of about `limit` tokens. kind: the type of the symbols in the column."""
+    run, size, width = [], 0, np.dtype(kind).itemsize
     for x in column.to_pylist():
         run.append(x)
-        size += len(x) // 4
+        size += len(x) // width
         if size >= limit:
-            yield np.frombuffer(b"".join(run), np.uint32).astype(np.int64), _first(np.array([len(r) // 4 for r in run]))
+            yield np.frombuffer(b"".join(run), kind).astype(np.int64), _first(np.array([len(r) // width for r in run]))
             run, size = [], 0
     if run:
-        yield np.frombuffer(b"".join(run), np.uint32).astype(np.int64), _first(np.array([len(r) // 4 for r in run]))
+        yield np.frombuffer(b"".join(run), kind).astype(np.int64), _first(np.array([len(r) // width for r in run]))
 
 
 def _occurrences(tree: Tree, texts: int) -> np.ndarray:
@@ -383,14 +399,19 @@ def slices(tree: Tree, texts: int) -> list[np.ndarray]:
     return [of == x for x in range(k + 1)]
 
 
-def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray | None = None) -> Tree:
-    """The tree with its contexts. training: symbols, the uint32 symbols of each training text. own: the symbols that contexts may end in, all by default."""
+def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray | None = None, kind: str = "u4") -> Tree:
+    """The tree with its contexts. training: symbols, those of each training text, of a numpy type. own: the symbols that contexts may end in, all by default.
+
+    A transition of a context is no more frequent than that of the context's suffix. So only what follows a context as a
+    transition that its suffix retained is counted; the others would be pooled in any case.
+    """
     session, tokens = training.sparkSession, tree.tokens
     least = max(min(CONTEXT, CONTEXT_SHARE * tokens), 2.0)
     least_move = max(min(TRANSITION, TRANSITION_SHARE * tokens), 1.0)
     keys = np.arange(tree.n_symbols, dtype=np.int64)
     occurrences = _occurrences(tree, training.count())
     whole = own is None or bool(own.all())
+    marks = None
     for d in range(1, depth + 1):
         use = occurrences >= least
         if d == 1:  # the end is no context: nothing follows it
@@ -401,44 +422,53 @@ def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray |
                 use &= own
         keys, occurrences = keys[use], occurrences[use].astype(np.float64)
         assert len(keys) < 1 << BITS
-        sent = session.sparkContext.broadcast((tree.n_symbols, tree.contexts, keys))
+        sent = session.sparkContext.broadcast((tree.contexts, keys, marks, None if whole else own))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, longer=d < depth and not whole) -> Iterator[pa.RecordBatch]:
             """What follows a candidate, and, with `ahead`, what stands before it."""
-            n_symbols, known, candidates = sent.value
+            known, candidates, marks, mine = sent.value
             probe = Tree.__new__(Tree)
-            probe.n_symbols, probe.contexts, probe.finders = n_symbols, [*known, candidates], {}
-            waiting: dict[bool, list[np.ndarray]] = {False: [], True: []}
+            probe.contexts, probe.finders = [*known, candidates], {}
+            waiting: list[np.ndarray] = []
             size = 0
 
             def out() -> Iterator[pa.RecordBatch]:
-                for ahead, pairs in waiting.items():
-                    if pairs:
-                        k, n = np.unique(np.concatenate(pairs), return_counts=True)
-                        pairs.clear()
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), ahead)), pa.array(k), pa.array(n)], names=["ahead", "key", "n"])
+                if waiting:
+                    k, n = np.unique(np.concatenate(waiting), return_counts=True)
+                    waiting.clear()
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
 
             for batch in batches:
-                for symbols, first in _sequences(batch.column(0)):
-                    found = probe.context_ids(symbols, first)[-1].astype(np.int64)
-                    at = np.flatnonzero(found >= 0)
-                    waiting[False].append((found[at] << BITS) | symbols[at])
-                    size += len(at)
+                for symbols, first in _sequences(batch.column(0), kind):
+                    place, at = _places(first), None
+                    if mine is not None:
+                        at = np.flatnonzero(mine[_before(symbols, place, np.arange(len(symbols)), 1)])
+                        place = place[at]
+                    ids = probe.context_ids(symbols, first, at)
+                    met = np.flatnonzero(ids[-1] >= 0)
+                    at, found = met if at is None else at[met], ids[-1][met]
+                    following = symbols[at]
                     if longer:
-                        before, beyond = next(itertools.islice(_fronts(symbols, first), len(probe.contexts), None))
-                        at = at[~beyond[at]]
-                        waiting[True].append((before[at] << BITS) | found[at])
+                        beyond = place[met] < len(ids)
+                        waiting.append((AHEAD | (_before(symbols, place[met], at, len(ids) + 1) << BITS) | found)[~beyond])
+                    if marks is not None:
+                        seen = _marked(marks, (ids[-2][met] << BITS) | following)
+                        found, following = found[seen], following[seen]
+                    waiting.append((found << BITS) | following)
+                    size += len(found)
                     if size > 3_000_000:
                         yield from out()
                         size = 0
             yield from out()
 
-        found = training.select("symbols").mapInArrow(run, "ahead boolean, key long, n long").groupBy("ahead", "key").agg(F.sum("n").alias("n"))
-        ahead, key, n = _columns(found.where(F.col("n") >= F.when(F.col("ahead"), least).otherwise(least_move)), "ahead", "key", "n")
-        ahead, order = ahead.astype(bool), np.argsort(key)
-        moves, longer = order[~ahead[order]], order[ahead[order]]
+        counted = training.select("symbols").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        key, n = _columns(counted.where(F.col("n") >= F.when(F.col("key") >= AHEAD, least).otherwise(least_move)), "key", "n")
+        order = np.argsort(key)
+        ahead = key[order] >= AHEAD
+        moves, longer = order[~ahead], order[ahead]
         tree.grow(keys, occurrences, key[moves], n[moves].astype(np.float64))
         sent.destroy()
+        marks = _marks(key[moves]) if least_move > 1 else None
         # contexts of the next depth: one more symbol in front of a candidate. Of a slice they are counted as such; in a
         # whole tree they are also what this depth has as context and next symbol, if their suffix is a candidate.
         if whole and d < depth:
@@ -452,7 +482,7 @@ def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray |
             order = np.argsort(keys)
             keys, occurrences = keys[order], occurrences[order]
         else:
-            keys, occurrences = key[longer], n[longer].astype(np.float64)
+            keys, occurrences = key[longer] & ~AHEAD, n[longer].astype(np.float64)
         if not len(keys):
             break
     return tree
@@ -474,6 +504,7 @@ def score(docs: DataFrame, held_out: F.Column, id_column: str = "doc_id", text_c
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = word_counts(rows.where(~F.col("held_out")))
     tree = rooted(counts)
+    symbol_kind = "u2" if tree.n_symbols <= 1 << 16 else "u4"
     sent = docs.sparkSession.sparkContext.broadcast(tree)
     kind, id_type = docs.schema[id_column].dataType.simpleString(), to_arrow_type(docs.schema[id_column].dataType)
     layout = f"id {kind}, held_out boolean, text_code long, n_tokens long, n_head long, base double, model double, symbols binary, code long, times int, sent int"
@@ -492,20 +523,20 @@ def score(docs: DataFrame, held_out: F.Column, id_column: str = "doc_id", text_c
         class_log = np.log10(np.concatenate([np.ones(1 + len(own.symbol_codes)), own.class_total]))
         for batch in batches:
             at = 0
-            for texts in _chunks(batch.column(1).to_pylist()):
+            for texts in runs_of_texts(batch.column(1)):
                 numbers, symbols, sizes = reader.of(texts)
                 begins, n = np.cumsum(sizes) - sizes, len(texts)
                 codes = reader.words.code_array()
                 place, in_head = _look_up(own.head, codes)
                 head = head_log[np.where(in_head, place, len(own.head))]
                 known = in_head[numbers]
-                text_codes = np.array([xxhash.xxh3_64_intdigest(t or "") - 2**63 for t in texts], np.int64)
+                text_codes = np.array([xxhash.xxh3_64_intdigest(t or b"") - 2**63 for t in texts.cast(pa.binary()).to_pylist()], np.int64)
                 counted = head[numbers]
                 # of a shared symbol: the word's count over the symbol's; the count of a word beyond the head is added later
                 of_symbol = np.add.reduceat(np.where(symbols > len(own.symbol_codes), counted - class_log[symbols], 0.0), begins)
                 heads = np.add.reduceat(known.astype(np.int64), begins)
                 base = np.add.reduceat(counted, begins) - heads * math.log10(own.total)
-                short = symbols.astype(np.uint32)
+                short = symbols.astype(symbol_kind)
                 packed = pa.array([short[b : b + k].tobytes() for b, k in zip(begins, sizes)], pa.binary())
                 yield rows_of(id=batch.column(0).slice(at, n), held_out=batch.column(2).slice(at, n), text_code=text_codes, n_tokens=sizes, n_head=heads, base=base, model=of_symbol, symbols=packed)
                 at += n
@@ -531,15 +562,18 @@ def score(docs: DataFrame, held_out: F.Column, id_column: str = "doc_id", text_c
 
     def scoring(own: np.ndarray, to: Callable) -> tuple[Callable, Broadcast]:
         """The scores of what follows the symbols of a slice, handed to a function of batch and scores; and the slice."""
-        whole = docs.sparkSession.sparkContext.broadcast((grown(tree.bare(), training, depth, own), own))
+        whole = docs.sparkSession.sparkContext.broadcast((grown(tree.bare(), training, depth, own, symbol_kind), None if own.all() else own))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grown_tree, mine = whole.value
             for batch in batches:
                 found = []
-                for symbols, first in _sequences(batch.column(7)):
-                    here = mine[next(_fronts(symbols, first))[0]]
-                    found.append(np.add.reduceat(np.where(here, grown_tree.log_probabilities(symbols, first), 0.0), np.flatnonzero(first)))
+                for symbols, first in _sequences(batch.column(7), symbol_kind):
+                    at, logs = None, np.zeros(len(symbols))
+                    if mine is not None:
+                        at = np.flatnonzero(mine[_before(symbols, _places(first), np.arange(len(symbols)), 1)])
+                    logs[slice(None) if at is None else at] = grown_tree.log_probabilities(symbols, first, at)
+                    found.append(np.add.reduceat(logs, np.flatnonzero(first)))
                 yield to(batch, np.concatenate(found) if found else np.empty(0))
 
         return run, whole
