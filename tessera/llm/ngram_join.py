@@ -17,8 +17,9 @@
    the links. Components of these links are the result. No pair of linked texts is lost: components need no more links.
 
 Edge cases: null and empty texts and texts without words have an empty set and stand alone; short texts are one shingle;
-repeated rows and copies share a component; equal ids with different texts are separate nodes; an empty table gives an
-empty result; other columns are ignored. Two different shingles, or sets, share a 64-bit code with probability 2^-64.
+repeated rows and copies share a component; equal ids with different texts are separate nodes; a row whose id is null takes
+part, and component_id is null only where no row of the component has an id; an empty table gives an empty result; other
+columns are ignored. Two different shingles, or sets, share a 64-bit code with probability 2^-64.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.common import WordHashes, checkpoint_dir, cut, mixed, words_of
+from tessera.llm.common import WORD_CLASS, WordHashes, checkpoint_dir, cut, mixed, runs_of_texts, split_words
 from tessera.llm.components import components
 
 WIDTH = 5
@@ -53,21 +54,22 @@ MARKS = 1 << 23
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(WIDTH)], np.uint64)
 
 
-def shingle_sets(texts: list[str | None], memory: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, memory: WordHashes) -> Iterator[np.ndarray]:
     """Sorted distinct shingle codes of each text."""
-    out = []
-    for text in texts:
-        w = words_of(text)
-        if len(w) < WIDTH:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(w), 1)], np.uint64) if w else np.empty(0, np.uint64))
-            continue
-        h = memory.array(w)
-        n = len(h) - WIDTH + 1
-        code = h[:n] * _POWERS[0]
-        for k in range(1, WIDTH):
-            code += h[k : k + n] * _POWERS[k]
-        out.append(np.unique(mixed(code)))
-    return out
+    for run in runs_of_texts(texts):
+        at, sizes, words = split_words(run)
+        hashes = memory.array(words)[at]
+        code = np.zeros(max(0, len(hashes) - WIDTH + 1), np.uint64)
+        for k in range(WIDTH):
+            code += hashes[k : k + len(code)] * _POWERS[k]
+        code = mixed(code)
+        end = 0
+        for n in sizes.tolist():
+            begin, end = end, end + n
+            if n >= WIDTH:
+                yield np.unique(code[begin : end - WIDTH + 1])
+            else:
+                yield np.array([xxhash.xxh3_64_intdigest(b" ".join([words[k] for k in at[begin:end]]), 1)] if n else [], np.uint64)
 
 
 def set_id(codes: np.ndarray) -> int:
@@ -120,28 +122,32 @@ def signatures(codes: np.ndarray, counts: np.ndarray, frequent: float) -> tuple[
     return np.concatenate(found), np.concatenate(hot), needed
 
 
-def _read(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+def _read(docs: DataFrame, id_column: str, text_column: str, row: Column | None = None) -> DataFrame:
+    """id, text, key (hash of the text), row (what else tells rows apart)."""
+    key = F.xxhash64(F.col(text_column))
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), key.alias("key"), (key if row is None else row).alias("row"))
 
 
 def sets_and_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(id, node, n) of every row, in a shared table; and the global counts of the sketch's buckets."""
+    """(id, key, row, node, n) of every row, in a shared table; and the global counts of the sketch's buckets."""
     kind = docs.schema["id"].dataType.simpleString()
-    layout = f"id {kind}, node long, n long, slice int, counts binary"
-    id_type = to_arrow_type(docs.schema["id"].dataType)
+    layout = f"id {kind}, key long, row long, node long, n long, slice int, counts binary"
+    types = [to_arrow_type(docs.schema["id"].dataType), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = [x.split()[0] for x in layout.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, sketch = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), memory)
-            at, times = np.unique(bucket(np.concatenate(sets)), return_counts=True) if sets else (np.empty(0, np.int64), np.empty(0, np.int64))
-            sketch[at] += times.astype(np.uint32)
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["id", "node", "n", "slice", "counts"])
+            node, size = [], []
+            for codes in shingle_sets(batch.column(1), memory):
+                node.append(set_id(codes))
+                size.append(len(codes))
+                np.add.at(sketch, bucket(codes), np.uint32(1))
+            n = len(node)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         own = np.split(sketch, SLICES)
         used = [k for k in range(SLICES) if own[k].any()]
-        n = len(used)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array([zlib.compress(own[k].tobytes(), 1) for k in used], pa.binary())], names=["id", "node", "n", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), t) for t in types[:5]], pa.array(used, pa.int32()), pa.array([zlib.compress(own[k].tobytes(), 1) for k in used], pa.binary())], names=names)
 
     def total(key: tuple, part: pa.Table) -> pa.Table:
         counts = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64) for c in part.column("counts").to_pylist())
@@ -153,7 +159,7 @@ def sets_and_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint32)
     for r in made.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect():  # SLICES rows of fixed size
         sketch[r[0]] = np.frombuffer(r[1], np.uint32)
-    return made.where("slice is null").select("id", "node", "n"), sketch.ravel()
+    return made.where("slice is null").select(*names[:5]), sketch.ravel()
 
 
 def clusters(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -165,7 +171,7 @@ def clusters(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         memory, seen, counts = WordHashes(), set(), sent.value
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for codes in shingle_sets(batch.column(1).to_pylist(), memory):
+            for codes in shingle_sets(batch.column(1), memory):
                 own = set_id(codes)
                 if not len(codes) or own in seen:  # copies within a task are sent once
                     continue
@@ -240,24 +246,32 @@ def _forest(groups: list[tuple[int, np.ndarray, int, int]]) -> list[tuple[int, i
 
 
 def _marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in wanted, and a few others: a filter of fixed size before the texts are shuffled."""
-    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int").alias("mark")
+    """id, key, text of the rows of docs whose key is in wanted, and a few others: a filter of fixed size before the texts are shuffled. A task sends a text once for each id."""
+    mark = F.pmod(F.col("key"), F.lit(MARKS)).cast("int").alias("mark")
     marks = np.zeros(MARKS, bool)
     marks[wanted.select(mark).distinct().toArrow().column(0).to_numpy()] = True  # at most MARKS numbers
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(sent.value).astype(bool)
+        wanted, seen = np.unpackbits(sent.value).astype(bool), set()
         for batch in batches:
-            yield batch.filter(pa.array(wanted[batch.column(2).to_numpy()])).select(["id", "text"])
+            use = wanted[batch.column(3).to_numpy()]
+            for k in np.flatnonzero(use).tolist():
+                row = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                use[k] = row not in seen
+                seen.add(row)
+            if len(seen) > 500_000:
+                seen.clear()
+            yield batch.filter(pa.array(use)).select(["id", "key", "text"])
 
-    return docs.select("id", "text", mark).mapInArrow(run, docs.select("id", "text").schema)
+    read = docs.select("id", "key", "text")
+    return docs.select("id", "key", "text", mark).mapInArrow(run, read.schema)
 
 
 def verified(docs: DataFrame, nodes: DataFrame, cluster: DataFrame) -> DataFrame:
     """a, b: a spanning forest of the links within each block."""
-    # one row of the table for each node: its smallest id
-    member = nodes.join(cluster, "node").groupBy("node", "label").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    # one row of the table for each node
+    member = nodes.join(cluster, "node").groupBy("node", "label").agg(F.min(F.struct("id", "key")).alias("at"), F.max("n").alias("n")).select("node", "label", "n", "at.*")
     # classes of size such that similar sets are in the same or in neighbouring ones
     member = cut(member.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int")))
     whole = member.groupBy("label").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("all_sets"))
@@ -277,15 +291,15 @@ def verified(docs: DataFrame, nodes: DataFrame, cluster: DataFrame) -> DataFrame
     none = F.array().cast("array<struct<block:bigint,side:int>>")
     small = F.array(F.struct(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("block"), F.lit(0).alias("side")))
     places = F.when(F.col("same").isNull(), small).otherwise(F.concat(inner, F.coalesce(up, none), F.coalesce(down, none)))
-    wanted = placed.select("id", "node", "label", places.alias("places"))
-    found = _marked(docs, member).join(wanted, "id")
+    wanted = placed.select("id", "key", "node", "label", places.alias("places"))
+    found = _marked(docs, member).alias("d").join(wanted.alias("w"), F.col("d.key").eqNullSafe(F.col("w.key")) & F.col("d.id").eqNullSafe(F.col("w.id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
             node, label, places = (batch.column(k).to_pylist() for k in (1, 2, 3))
             rows = []
-            for k, codes in enumerate(shingle_sets(batch.column(0).to_pylist(), memory)):
+            for k, codes in enumerate(shingle_sets(batch.column(0), memory)):
                 if set_id(codes) == node[k]:
                     packed = codes.tobytes()
                     rows += [(p["block"], label[k], p["side"], node[k], packed) for p in places[k]]
@@ -304,17 +318,38 @@ def verified(docs: DataFrame, nodes: DataFrame, cluster: DataFrame) -> DataFrame
     return sent.groupBy("block").applyInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id that links reach, its own included)."""
-    read = _read(docs, id_column, text_column)
+def _grouped(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, key, row, node, n of every row; and node, first: of every set that is not empty, the first row of its component, null ids last."""
     nodes, sketch = sets_and_sketch(read)
-    cluster = clusters(read, sketch)
-    linked = components(cut(verified(read, nodes, cluster)))
+    linked = components(cut(verified(read, nodes, clusters(read, sketch))))
     # a set that is empty links with nothing, not even with another empty one
-    labelled = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("label", "node"))
-    smallest = labelled.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id")).withColumnRenamed("root", "_root")
-    joined = labelled.join(smallest, (F.col("root") == F.col("_root")) & (F.col("n") > 0), "left")
-    return joined.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    own = nodes.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "row")).alias("own"))
+    first = linked.join(own, "node").groupBy("label").agg(F.min("own").alias("first"))
+    of_node = linked.join(first, "label").select("node", "first")
+    return nodes, own.join(of_node, "node", "left").select("node", F.coalesce("first", "own").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (the smallest id that links reach, its own included)."""
+    nodes, firsts = _grouped(_read(docs, id_column, text_column))
+    joined = nodes.join(firsts, "node", "left")
+    return joined.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs less near-duplicates: of every component the row with the smallest id (null ids last) stays, of several such rows the first by hashes of text and row, of wholly equal rows one. Texts without words stay."""
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    read = _read(docs, id_column, text_column, row)
+    nodes, firsts = _grouped(read)
+    same = lambda a, b: F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key")) & F.col(f"{a}.row").eqNullSafe(F.col(f"{b}.row")) & F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id"))
+    stay = firsts.select("first.id", "first.key", "first.row").distinct()
+    counted = nodes.where("n > 0").select("id", "key", "row").alias("n").join(stay.alias("s"), same("n", "s"), "left_semi").groupBy("id", "key", "row").agg(F.count(F.lit(1)).alias("times"))
+    columns = [F.col(f"d.all.`{c}`").alias(c) for c in docs.columns]
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), row.alias("row"), F.coalesce(F.col(text_column).rlike(WORD_CLASS), F.lit(False)).alias("worded"))
+    kept = told.where("worded").alias("d").join(counted.alias("c"), same("d", "c"))
+    once = kept.where("c.times = 1").select(*columns)
+    several = kept.where("c.times > 1").select("d.all", "d.id", "d.key", "d.row").dropDuplicates(["id", "key", "row"]).alias("d").select(*columns)
+    return once.union(several).union(told.where("not worded").alias("d").select(*columns))
 
 
 SQL = r"""
