@@ -1,8 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts and items are folded: lower case, every ASCII character but letters and digits a space, runs of spaces one. An item
-is cut into windows of WINDOW bytes, half overlapping; a shorter one is one window. A document is contaminated by an item
-if it holds a stretch within the edit budget, EDITS per byte, of one of its windows.
+is cut into windows of WINDOW bytes, one every STRIDE bytes and one at its end; a shorter one is one window. A document is
+contaminated by an item if it holds a stretch within the edit budget, EDITS per byte, of one of its windows. Items of fewer
+than SHORTEST folded bytes, too short for a budget, must stand there as they are, as whole words.
 
 A stretch with at most e edits shares at least m - q + 1 - q e of the q-grams of a window of m bytes, on diagonals (place
 in the text less place in the window) within 2 e of each other. Of a window only the rarest q-grams are indexed, so many
@@ -14,9 +15,8 @@ Spark's part is a narrow map over the documents. Benchmark items are handled in
 hash, so what is broadcast is bounded whatever the benchmark's size; each further block is one more pass. Very long
 texts are searched in overlapping stretches.
 
-Edge cases: null and empty texts are clean; items that fold to fewer than SHORTEST bytes contaminate nothing; one of
-fewer bytes than the lemma needs is found only if it is there unedited; equal items are found each; repeated rows are
-judged each; an empty benchmark leaves all; columns beside id and text are handed through.
+Edge cases: null and empty texts are clean; items without letters or digits contaminate nothing; equal items are found
+each; repeated rows are judged each; an empty benchmark leaves all; columns beside id and text are handed through.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 Q = 8
 WINDOW = 100
+STRIDE = 25
 EDITS = 0.08
 SHARED = 8
 SHORTEST = 24
@@ -74,16 +75,21 @@ class Index:
     def __init__(self, items: list[tuple]):
         self.item: list = []
         self.window: list[bytes] = []
+        #: short items by their words in a row, and how many words that may be
+        self.short: dict[bytes, list] = {}
         for item, text in items:
             b = folded(text)
             if len(b) and b[-1] == 32:
                 b = b[:-1]
             if len(b) < SHORTEST:
+                if len(b):
+                    self.short.setdefault(b.tobytes(), []).append(item)
                 continue
-            places = sorted({*range(0, len(b) - WINDOW, WINDOW // 2), max(0, len(b) - WINDOW)})
+            places = sorted({*range(0, len(b) - WINDOW, STRIDE), max(0, len(b) - WINDOW)})
             for p in places:
                 self.item.append(item)
                 self.window.append(b[p : p + WINDOW].tobytes())
+        self.short_sizes = sorted({x.count(b" ") + 1 for x in self.short})
         codes = [grams(np.frombuffer(w, np.uint8)) for w in self.window]
         often = Counter(c for x in codes for c in x.tolist())
         code, window, place, self.needed = [], [], [], np.ones(len(codes), np.int64)
@@ -92,13 +98,13 @@ class Index:
             self.needed[k] = max(1, min(SHARED, bound))
             order = np.argsort([often[c] for c in x.tolist()], kind="stable")[: len(x) - bound + int(self.needed[k])]
             code.append(x[order])
-            window.append(np.full(len(order), k))
-            place.append(order)
+            window.append(np.full(len(order), k, np.int32))
+            place.append(order.astype(np.uint8))
         code = np.concatenate(code) if code else np.empty(0, np.uint64)
         order = np.argsort(code, kind="stable")
         self.codes, self.begins, self.counts = np.unique(code[order], return_index=True, return_counts=True)
-        self.of_window = np.concatenate(window)[order] if window else np.empty(0, np.int64)
-        self.of_place = np.concatenate(place)[order] if place else np.empty(0, np.int64)
+        self.of_window = np.concatenate(window)[order] if window else np.empty(0, np.int32)
+        self.of_place = np.concatenate(place)[order] if place else np.empty(0, np.uint8)
         self.marks = np.zeros(1 << self.BITS, bool)
         self.marks[self._mark(self.codes)] = True
 
@@ -108,13 +114,26 @@ class Index:
     def find(self, text: str | None) -> list[tuple]:
         """(item, fewest edits, first place in the folded text) of each item that contaminates a text."""
         b = folded(text)
-        best: dict = {}
+        best: dict = {item: (0, at) for found, at in self._short(b) for item in self.short[found]}
         for begin in range(0, max(1, len(b)), STRETCH):
             for item, edits, at in self._stretch(b[begin : begin + STRETCH + 2 * WINDOW]):
                 if item not in best or edits < best[item][0]:
                     best[item] = (edits, begin + at)
         return [(item, *found) for item, found in best.items()]
 
+    def _short(self, b: np.ndarray) -> Iterator[tuple[bytes, int]]:
+        """Short items, and the first place where each stands as whole words."""
+        if not self.short:
+            return
+        folded_text = b.tobytes()
+        words, seen = folded_text.split(), set()
+        for n in self.short_sizes:
+            runs = words if n == 1 else map(b" ".join, zip(*[words[k:] for k in range(n)]))
+            for x in self.short.keys() & set(runs):
+                if x not in seen:
+                    seen.add(x)
+                    yield x, (b" " + folded_text + b" ").index(b" " + x + b" ")
+
     def _stretch(self, b: np.ndarray) -> Iterator[tuple]:
         if not len(self.codes):
             return
@@ -133,7 +152,7 @@ class Index:
             n = self.counts[j]
             hit = np.repeat(self.begins[j] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
             diagonal = np.repeat(a, n) - self.of_place[hit] + WINDOW
-            key, count = np.unique((self.of_window[hit] << 32) | (diagonal // BAND), return_counts=True)
+            key, count = np.unique((self.of_window[hit].astype(np.int64) << 32) | (diagonal // BAND), return_counts=True)
             if len(at) <= step:
                 yield from self._verified(b, key, count)
                 return
