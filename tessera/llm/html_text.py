@@ -3,11 +3,11 @@
 A page is read once into a tree of block-level elements. Every block of text gives points for its length and its commas
 to the elements above it, fewer the further up; an element's points are discounted by the share of its text that stands
 in links. The best container, or the article element around it, is kept together with siblings that score alongside it.
-Scripts and hidden elements give no points and no text. Elements that by tag, class, id or role stand beside an article
+Scripts, buttons, labels, adverts within a line, and hidden elements give no points and no text. Elements that by tag, class, id or role stand beside an article
 (navigation, forms, notices, adverts, comments and the like) are left out too, but only once the page is read: one that
 holds the main element, the longest article, a top heading or most of the page's text is never left out, nor is one of
 some length with few links, tags of NEVER aside; both only score lower. If nothing is left, the page is scored again
-without these rules.
+without these rules. A list of links is a menu if its links are short (MENU characters on average).
 Spark's part is a narrow map over the rows: no shuffle, memory bounded by one page per task.
 
 Edge cases: null or empty html, or a page without text, gives an empty string; unclosed and misnested tags are closed as
@@ -32,6 +32,12 @@ FORMS = frozenset("form fieldset".split())
 #: What an element beside the article keeps of its score, and the length from which it is scored at all.
 LOWERED = 0.25
 LONG = 250
+#: Characters of a link, on average, up to which a list of links is a menu.
+MENU = 25
+#: Parts of a line that are no text of the article, by tag, and the words that mark an advert.
+CONTROLS = frozenset("button label legend option optgroup datalist output progress meter".split())
+ADVERT = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 #: An element that opens closes an open one of these kinds, up to the given borders.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
@@ -46,32 +52,37 @@ _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)|[!?/])")
 _ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _COMMAS = re.compile("[,،、，]")
 
 
 class _Page:
-    """Elements in page order: parent, tag, whether hidden, whether beside the article by its tag or words, bonus; and blocks (element, text, characters in links)."""
+    """Elements in page order: parent, tag, whether hidden, whether beside the article by its tag or words, bonus; and blocks (element, text, characters in links, links)."""
 
     def __init__(self, html: str):
         self.parent, self.tag, self.hidden, self.beside, self.bonus, self.end = [-1], ["html"], [False], [False], [0.0], [0]
-        self.blocks: list[tuple[int, str, int]] = []
+        self.blocks: list[tuple[int, str, int, int]] = []
         self.open, self.count = [0], Counter({"html": 1})
         self.text: list[str] = []
-        self.links = 0
+        self.links = self.anchors = 0
         self.in_link = False
+        #: of an element within a line that is left out: its tag, how many of that tag are open, how many blocks were
+        self.skipped: tuple[str, int, int] | None = None
         self._read(html)
 
     def _flush(self) -> None:
         if self.text:
             text = " ".join(unescape("".join(self.text)).split())
             if text and not self.hidden[self.open[-1]]:
-                self.blocks.append((self.open[-1], text, min(self.links, len(text))))
-            self.text, self.links = [], 0
+                self.blocks.append((self.open[-1], text, min(self.links, len(text)), self.anchors))
+            self.text, self.links, self.anchors = [], 0, 0
 
     def _pop(self) -> None:
         element = self.open.pop()
         self.count[self.tag[element]] -= 1
         self.end[element] = len(self.tag)
+        if self.skipped and len(self.open) < self.skipped[2]:
+            self.skipped = None  # the block that it is in has ended
 
     def _close(self, kinds: set[str], borders: set[str] | frozenset[str] = frozenset()) -> None:
         if not any(self.count[k] for k in kinds):
@@ -85,6 +96,18 @@ class _Page:
             if tag in borders:
                 return
 
+    @staticmethod
+    def _marks(attributes: str) -> tuple[set[str], bool]:
+        """Words of class, id and role; whether the element is hidden."""
+        words, hidden = set(), False
+        for m in _ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if name in ("class", "id", "role", "itemprop"):
+                words.update(_WORDS.findall(value))
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
+                hidden = True
+        return words, hidden
+
     def _begin(self, tag: str, attributes: str) -> None:
         hidden, beside, bonus = self.hidden[self.open[-1]], tag in NEVER or tag in FORMS, 0.0
         if tag in ("article", "main"):
@@ -92,14 +115,9 @@ class _Page:
         if tag == "header" and (self.count["article"] or self.count["main"]):
             beside = False
         if attributes and not hidden:
-            words: set[str] = set()
-            for m in _ATTRIBUTE.finditer(attributes):
-                name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-                if name in ("class", "id", "role", "itemprop"):
-                    words.update(_WORDS.findall(value))
-                elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                    hidden = tag not in ("html", "body")
-            if words & BESIDE and tag not in ("html", "body", "main", "h1"):
+            words, unseen = self._marks(attributes)
+            hidden = unseen and tag not in ("html", "body")
+            if words & BESIDE and not (words & GOOD and not words & ADVERT and self._in_a_name_of_its_own(attributes)) and tag not in ("html", "body", "main", "h1"):
                 beside = beside or tag != "article" or bool(words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "related", "promo"})
             if words & GOOD:
                 bonus += 25
@@ -112,13 +130,28 @@ class _Page:
         self.end.append(0)
         self.open.append(len(self.tag) - 1)
 
+    @staticmethod
+    def _in_a_name_of_its_own(attributes: str) -> bool:
+        """Whether one of the names in class has a word of GOOD and none of BESIDE."""
+        names = [set(_WORDS.findall(name)) for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() == "class" for name in (m[2] or m[3] or m[4] or "").lower().split()]
+        return any(name & GOOD and not name & BESIDE for name in names)
+
+    def _skips(self, tag: str, attributes: str) -> bool:
+        """Whether an element within a line is left out with all in it."""
+        if tag in CONTROLS:
+            return True
+        if tag in VOID or not attributes or attributes.endswith("/"):
+            return False
+        words, hidden = self._marks(attributes)
+        return hidden or bool(words & ADVERT)
+
     def _read(self, html: str) -> None:
         at, size, quotes = 0, len(html), True
         lowered = None
         while True:
             m = _TAG.search(html, at)
             piece = html[at : m.start() if m else size]
-            if piece:
+            if piece and not self.skipped:
                 self.text.append(piece)
                 if self.in_link:
                     self.links += len(piece)
@@ -144,6 +177,8 @@ class _Page:
                         self._close({tag})
                 elif tag == "a":
                     self.in_link = False
+                if self.skipped and self.skipped[0] == tag:
+                    self.skipped = (tag, self.skipped[1] - 1, self.skipped[2]) if self.skipped[1] > 1 else None
                 continue
             attributes = html[m.end() : at - 1]
             if tag in RAW or tag == "head":
@@ -168,10 +203,18 @@ class _Page:
                         self._begin(tag, attributes)
                 elif tag != "hr":
                     self._begin(tag, attributes)
-            elif tag == "a":
+                continue
+            if tag == "a":
                 self.in_link = True
-            elif tag in ("br", "wbr", "img", "input", "button"):
-                self.text.append(" " if tag != "wbr" else "")
+                self.anchors += not self.skipped
+            if self.skipped:
+                if tag == self.skipped[0]:
+                    self.skipped = (tag, self.skipped[1] + 1, self.skipped[2])
+            elif self._skips(tag, attributes):
+                self.text.append(" ")
+                self.skipped = (tag, 1, len(self.open))
+            elif tag in ("br", "img", "input"):
+                self.text.append(" ")
         self._flush()
         while self.open:
             self._pop()
@@ -189,7 +232,7 @@ class _Page:
     def _sums(self, dropped: list[bool]) -> tuple[list[int], list[int]]:
         """Characters, and characters in links, of each element with all in it."""
         chars, links = [0] * len(self.tag), [0] * len(self.tag)
-        for element, text, linked in self.blocks:
+        for element, text, linked, _ in self.blocks:
             if not dropped[element]:
                 chars[element] += len(text)
                 links[element] += linked
@@ -233,7 +276,7 @@ class _Page:
         if not chars[0]:
             return ""
         score = [0.0] * n
-        for element, text, _ in self.blocks:
+        for element, text, *_ in self.blocks:
             if dropped[element]:
                 continue
             points = (1 + len(_COMMAS.findall(text)) + min(len(text) // 100, 3)) if len(text) >= 25 else 0.2
@@ -259,12 +302,16 @@ class _Page:
                 if self.parent[k] == self.parent[top] and k != top and chars[k] and not dropped[k] and self._alongside(k, top, final, chars, density):
                     kept.add(k)
         # what is beside the article counts within it only if it holds the best, a mark of the article, or scores alongside it
-        out, inside = [], [False] * n
+        out, inside, anchors = [], [False] * n, [0] * n
+        for element, *_, count in self.blocks:
+            anchors[element] += count
+        for k in range(n - 1, 0, -1):
+            anchors[self.parent[k]] += anchors[k]
         for k in range(n):
             above = self.parent[k]
             aside = beside[k] and not (k <= best < self.end[k] or holds[k] or final[k] >= max(10.0, 0.2 * final[best]))
-            inside[k] = k in kept or above >= 0 and inside[above] and not aside and not self._link_list(k, chars, density)
-        for element, text, _ in self.blocks:
+            inside[k] = k in kept or above >= 0 and inside[above] and not aside and not self._menu(k, links, anchors, density)
+        for element, text, *_ in self.blocks:
             if inside[element] and not dropped[element]:
                 out.append(text)
         return "\n".join(out)
@@ -276,8 +323,8 @@ class _Page:
             return k < top and density[k] < 0.25
         return final[k] >= max(10.0, 0.2 * final[top])
 
-    def _link_list(self, k: int, chars: list[int], density: list[float]) -> bool:
-        return self.tag[k] in ("ul", "ol", "dl") and density[k] > 0.8 and chars[k] > 0
+    def _menu(self, k: int, links: list[int], anchors: list[int], density: list[float]) -> bool:
+        return self.tag[k] in ("ul", "ol", "dl") and density[k] > 0.8 and links[k] <= MENU * anchors[k]
 
 
 def main_text(html: str | None) -> str:
