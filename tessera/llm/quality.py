@@ -6,8 +6,8 @@
 2. Posterior labels of a sample of about SAMPLE rows, chosen by a hash of id and text, train a logistic scorer on features
    hashed to FEATURES places: runs of four characters of the text's shape (letters, digits and white space by kind,
    punctuation as it is), and binned statistics of its words. A row is of good quality if its score is 0.5 or more.
-3. Words that mark toxic rows among a sample of about LABELLED labelled rows form a lexicon; a row whose words weigh up to
-   TOXIC or more is toxic. Without labels nothing is.
+3. Words that mark toxic rows among a sample of about LABELLED labelled rows form a lexicon: those in five toxic texts or
+   more that chance does not explain. A row whose words weigh up to TOXIC or more is toxic. Without labels nothing is.
 
 A row is kept if it is of good quality and not toxic. Training is bounded and on the driver; votes, scores and counts are
 a narrow map over all rows, on whole texts.
@@ -33,6 +33,7 @@ SAMPLE = 8_000
 LABELLED = 20_000
 FEATURES = 1 << 12
 TOXIC = 3.0
+CHANCE = 1e-6
 GOOD, BAD = 1, 2
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*@^~|<>{}[]\\_=+!?-/"]] = True
@@ -176,6 +177,11 @@ class Model:
         return self.posterior.get(pattern_of(looks), 0.5), score, toxic, score >= 0.5 and toxic < TOXIC
 
 
+def _drawn(wanted: int, rows: int) -> int:
+    """The hash up to which about `wanted` of so many rows are drawn."""
+    return int(min(1.0, wanted / max(1, rows)) * (2**64 - 2**11)) - 2**63 + 2**11 - 1 if wanted < rows else 2**63 - 1
+
+
 def learn(docs: DataFrame, labels: DataFrame | None, id_column: str = "doc_id", text_column: str = "text") -> Model:
     """labels: id, toxic."""
 
@@ -189,31 +195,43 @@ def learn(docs: DataFrame, labels: DataFrame | None, id_column: str = "doc_id",
     pattern, count = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
     posterior, _, good = estimate(pattern, count)
     by_pattern = dict(zip(pattern.tolist(), posterior.tolist()))
-    share = min(1.0, SAMPLE / max(1, int(count.sum())))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            looks = [Looks(t) for t in batch.column(0).to_pylist()]
+            drawn = batch.column(0).to_pylist()
+            new = [k for k, h in enumerate(drawn) if h not in seen and not seen.add(h)]  # copies within a task are looked at once
+            looks = [Looks(batch.column(1)[k].as_py()) for k in new]
             found = [features(x) for x in looks]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].astype(np.float32).tobytes() for f in found], pa.binary()), pa.array([by_pattern.get(pattern_of(x), 0.5) for x in looks], pa.float64())],
-                names=["place", "value", "label"],
+                [pa.array([drawn[k] for k in new], pa.int64()), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].astype(np.float32).tobytes() for f in found], pa.binary()), pa.array([by_pattern.get(pattern_of(x), 0.5) for x in looks], pa.float64())],
+                names=["drawn", "place", "value", "label"],
             )
 
-    drawn = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_000))
-    taken = docs.where(drawn(id_column, text_column) < share * 1_000_000).where(F.col(text_column).rlike(r"\S")).select(text_column).mapInArrow(sample, "place binary, value binary, label double").toArrow()  # about SAMPLE rows
+    drawn, share = F.xxhash64(id_column, text_column), _drawn(SAMPLE, int(count.sum()))
+    some = docs.where((drawn <= share) & F.col(text_column).rlike(r"\S")).select(drawn.alias("drawn"), F.col(text_column).alias("text")).mapInArrow(sample, "drawn long, place binary, value binary, label double")
+    taken = some.dropDuplicates(["drawn"]).orderBy("drawn").limit(2 * SAMPLE).toArrow()  # about SAMPLE rows
     place, value, label = (taken.column(c).to_pylist() for c in ("place", "value", "label"))
     weights = train([(np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)) for p, v in zip(place, value)], np.array(label), good)
     marks: dict[bytes, float] = {}
     if labels is not None:
         usable = labels.select(F.col(id_column).alias("_label_id"), F.col("toxic").cast("int").alias("_toxic")).where("_label_id is not null and _toxic is not null")
-        n = usable.count()
-        some = usable.where(drawn("_label_id") < min(1.0, LABELLED / max(1, n)) * 1_000_000).groupBy("_label_id").agg(F.max("_toxic").alias("_toxic"))
+        chosen = F.xxhash64("_label_id")
+        some = usable.where(chosen <= _drawn(LABELLED, usable.count())).groupBy("_label_id").agg(F.max("_toxic").alias("_toxic")).orderBy(chosen).limit(2 * LABELLED)
         texts = docs.select(F.col(id_column).alias("_doc_id"), F.col(text_column).alias("_text")).join(some, F.col("_doc_id") == F.col("_label_id")).select("_text", "_toxic")
         marks = lexicon(texts)
     return Model(by_pattern, weights, marks)
 
 
+def _telling(yes: int, no: int, whole: tuple[int, int]) -> bool:
+    """Whether a word stands in so many toxic texts of those that hold it by chance with a probability of CHANCE at most (Chernoff's bound)."""
+    n, p = yes + no, whole[0] / max(1, sum(whole))
+    if not 0 < p < 1 or yes <= p * n:
+        return False
+    a = yes / n
+    return n * (a * math.log(a / p) + ((1 - a) * math.log((1 - a) / (1 - p)) if no else 0.0)) >= -math.log(CHANCE)
+
+
 def lexicon(texts: DataFrame) -> dict[bytes, float]:
     """The lexicon of labelled texts, their words counted on the executors."""
 
@@ -234,7 +252,7 @@ def lexicon(texts: DataFrame) -> dict[bytes, float]:
     out = {}
     for word, k, other in rows:
         weight = math.log((k + 0.5) / (whole[0] + 1)) - math.log((other + 0.5) / (whole[1] + 1))
-        if word and k >= max(5, 0.01 * whole[0]) and weight >= TOXIC:
+        if word and weight >= TOXIC and _telling(k, other, whole):
             out[bytes(word)] = weight
     return out
 
