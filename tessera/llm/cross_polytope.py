@@ -3,14 +3,16 @@
 A hash rotates a vector by three rounds of random signs and a fast Hadamard transform and takes the nearest signed axis.
 A table joins as many hashes as its size asks for: each has the 2d signed axes, the last one as many of them (a power of
 two) as let a cell hold about CELL vectors on average, so cells don't grow with the table. A query probes, in each
-table, the cells whose axes are nearest to its rotated coordinates: `coverage` of all cells, which falls as the table
-grows because neighbours come nearer.
+table, the cells whose axes are nearest to its rotated coordinates. How many is measured: for SAMPLED queries, drawn by a
+hash, the true neighbours are found exactly, and the least number, by steps of a fifth, is taken that finds TARGET of them. Vectors with
+near neighbours need few probes. If MOST_PROBES don't find as many, or all tables' probes are as many as a table's cells,
+then all queries are searched exactly instead, which costs less.
 
 Index rows meet queries by (table, cell). A cell with more than PART rows or queries becomes a grid of blocks of bounded
 size, so a hot cell is no hot spot. A task compares a block's queries with its vectors by matrix products, reranks
 exactly and emits at most k vectors per query; pairs are never emitted. Equal vectors are indexed once, with their k + 1
 smallest ids, which is all that a list of k neighbours can hold. Queries that find fewer than k rows are searched again
-with all vectors as one cell, in the same blocks.
+with all vectors as one cell, in the same blocks; so is the sample.
 
 Edge cases: null, empty or zero vectors, and vectors with null or non-finite components, take no part; vectors are
 compared with vectors of their own length only; fewer than k other vectors give fewer rows; ties go to the smaller id;
@@ -35,11 +37,11 @@ TABLES = 6
 CELL = 64
 PART = 4096
 SEED = 20_240_229
-
-
-def coverage(n: int) -> float:
-    """The share of cells that the probes of all tables cover, for a table of n vectors."""
-    return min(1.0, 0.6 * (max(n, 1) / 10_000) ** -0.12)
+SAMPLED = 64
+TARGET = 0.95
+MOST_PROBES = 1 << 14
+#: Cells that a worker weighs up at once.
+WEIGHED = 1 << 22
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -93,6 +95,26 @@ def probes(x: np.ndarray, table: int, axes: list[int], count: int) -> np.ndarray
     return name
 
 
+def probe_count(pairs: list[tuple[bytes, bytes]], axes: list[int], tables: int) -> int:
+    """The least number of probes in each table, by steps of a fifth, that finds TARGET of the given neighbours (query, neighbour); 0 if it is too large."""
+    most = min(MOST_PROBES, (math.prod(axes) - 1) // tables)
+    if not pairs or most < 1:
+        return max(0, most)
+    asked, others = (_unit(_matrix([p[side] for p in pairs])) for side in (0, 1))
+    own = [cells(others, t, axes) for t in range(tables)]
+    count = 1
+    while count <= most:
+        met, step = np.zeros(len(pairs), bool), max(1, WEIGHED // (count * max(axes)))
+        for t in range(tables):
+            for begin in range(0, len(pairs), step):
+                part = slice(begin, begin + step)
+                met[part] |= (probes(asked[part], t, axes, count) == own[t][part, None]).any(1)
+        if met.mean() >= TARGET:
+            return count
+        count = max(count + 1, count * 6 // 5)
+    return 0
+
+
 def _matrix(vectors: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
 
@@ -145,8 +167,9 @@ def _search(index: DataFrame, asked: DataFrame, axes: dict[int, list[int]], coun
             dims, vector = np.array(batch.column(1).to_pylist(), np.int64), batch.column(0).to_pylist()
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
-                for begin in range(0, len(at), 128):
-                    part = at[begin : begin + 128]
+                step = max(1, min(128, WEIGHED // (counts[d] * max(axes[d])))) if searching else 128
+                for begin in range(0, len(at), step):
+                    part = at[begin : begin + step]
                     x = _unit(_matrix([vector[i] for i in part]))
                     found = [probes(x, t, axes[d], counts[d]) if searching else cells(x, t, axes[d])[:, None] for t in range(tables)]
                     names = [pa.array((c * tables + t).ravel(), pa.int64()) for t, c in enumerate(found)]
@@ -198,14 +221,20 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 10, id_column: str =
     index = cut(dealt.groupBy("vector", "d").agg(first(F.flatten(F.collect_list("ids"))).alias("ids")))
     sizes = {r[0]: r[1] for r in index.groupBy("d").count().collect()}  # one row per vector length
     axes = {d: hash_axes(n, d) for d, n in sizes.items()}
-    counts = {d: max(1, math.ceil(coverage(n) * math.prod(axes[d]) / tables)) for d, n in sizes.items()}
-
-    found = cut(_search(index, asked, axes, counts, tables, k).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
+    whole = {d: [2] for d in sizes}, {d: 2 for d in sizes}, 1  # all vectors in the two cells of one axis, both probed
+    drawn = cut(asked.orderBy(F.xxhash64("id", "vector")).limit(SAMPLED))
+    true = _search(index, drawn, *whole, k).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    true = true.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    near = usable.select(F.col("id").alias("vec_id"), F.col("vector").alias("other"), F.col("d").alias("other_d")).join(true, "vec_id").dropDuplicates(["query_id", "vec_id"])
+    pairs = near.join(drawn, (F.col("id") == F.col("query_id")) & (F.col("d") == F.col("other_d"))).select("d", "vector", "other").collect()  # at most SAMPLED k rows for each repeated id
+    counts = {d: probe_count([(r[1], r[2]) for r in pairs if r[0] == d], axes[d], tables) for d in sizes}
+
+    probed = [d for d, n in counts.items() if n]
+    found = cut(_search(index, asked.where(F.col("d").isin(probed)), axes, counts, tables, k).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
     served = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
     starving = cut(asked.join(served, "id", "left_anti"))
     if starving.limit(1).count():
-        whole = {d: [2] for d in sizes}
-        again = _search(index, starving, whole, {d: 2 for d in sizes}, 1, k)
+        again = _search(index, starving, *whole, k)
         found = found.union(again).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
