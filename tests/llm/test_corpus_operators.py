@@ -264,7 +264,12 @@ def test_line_dedup_of_nothing_and_equal_rows(spark):
     assert sorted((r.doc_id, r.text, r.n_removed) for r in found) == [(1, "a b\nc", 1), (1, "a b\nc", 1), (2, "", 1)]
 
 
-def groups_by_force(rows):
+def components_by_force(rows):
+    """The number of each row's component."""
+    return groups_by_force([(k, t) for k, (_, t) in enumerate(rows)], ordered=False)
+
+
+def groups_by_force(rows, ordered=True):
     def shingled(text):
         w = tokens(text)[:-1]
         return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
@@ -282,10 +287,13 @@ def groups_by_force(rows):
             common = len(sets[a] & sets[b])
             if common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
                 root[find(a)] = find(b)
+    if not ordered:
+        return [find(k) for k in range(len(rows))]
     smallest = {}
     for k, (i, _) in enumerate(rows):
-        smallest[find(k)] = min(i, smallest.get(find(k), i))
-    return sorted((i, len(sets[k]), smallest[find(k)]) for k, (i, _) in enumerate(rows))
+        if i is not None:
+            smallest[find(k)] = min(i, smallest.get(find(k), i))
+    return sorted(((i, len(sets[k]), smallest.get(find(k))) for k, (i, _) in enumerate(rows)), key=str)
 
 
 @pytest.mark.parametrize("bounds", [(512, 400_000, 256.0), (6, 400, 2.0)])
@@ -307,7 +315,44 @@ def test_near_duplicates(spark, monkeypatch, bounds):
             rows.append((len(rows) * 7 % 1009, " ".join(text)))
     rows += [(2000, None), (2001, ""), (2002, " \n"), (2003, "Short TEXT"), (2004, "short text"), (2004, "short text"), (2005, "a b c d e"), (2006, "x " * 30_000)]
     found = ngram_join.near_duplicates(docs(spark, rows)).collect()
-    assert sorted(tuple(r) for r in found) == groups_by_force(rows)
+    assert sorted((tuple(r) for r in found), key=str) == groups_by_force(rows)
+
+
+def near_texts():
+    """Texts of a few families, with null ids, ids that repeat, and rows that do."""
+    draw = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for g in range(8):
+        base = [draw.choice(words) for _ in range(100)]
+        for k in range(6):
+            text = list(base)
+            for _ in range(draw.choice([0, 0, 1, 2])):
+                text[draw.randrange(100)] = draw.choice(words)
+            rows.append((draw.choice([None, None, g, 100 + draw.randrange(5), 200 + len(rows)]), " ".join(text)))
+    return rows + rows[:10] + [(3, "A"), (5, "A"), (5, "B"), (5, "B"), (None, "C"), (None, "C"), (None, None), (None, ""), (7, None), (7, None), (8, "long " * 150_000 + "end")]
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    rows = near_texts()
+    found = ngram_join.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((tuple(r) for r in found), key=str) == groups_by_force(rows)
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = near_texts()
+    table = spark.createDataFrame([(i, t, k % 2, k % 3) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int, worded int")
+    found = ngram_join.one_of_each(table)
+    assert found.columns == table.columns
+    left = [(r.doc_id, r.text) for r in found.collect()]
+    component = [(i, t, c) for (i, t), c in zip(rows, components_by_force(rows))]
+    empty = [(i, t) for i, t in rows if not (t or "").split()]
+    assert sorted(((i, t) for i, t in left if not (t or "").split()), key=str) == sorted(empty, key=str)
+    worded = [(i, t) for i, t in left if (t or "").split()]
+    of = {(i, t): c for i, t, c in component}
+    assert sorted(of[x] for x in worded) == sorted({c for i, t, c in component if (t or "").split()})
+    for i, t in worded:  # no row of the component has a smaller id
+        assert i is None and all(j is None for j, _, c in component if c == of[i, t]) or i == min(j for j, _, c in component if c == of[i, t] and j is not None)
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -369,3 +414,97 @@ def test_pipeline(spark, sf):
     none = docs_.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf).collect() == []
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls, repeated ids and rows, a very long text, and columns with names that the operators use themselves."""
+    import corpus_pipeline
+
+    fine = "The river bends twice before it meets the northern road, and nobody minds it at all, said the man by the gate on Monday."
+    other = "Her garden, though small, was full of apples in the autumn; we used to pick them after school, and eat most on the way."
+    texts = [(None, None), (None, ""), (1, " \n"), (1, fine), (1, fine), (1, other), (None, other), (2, fine + "\n" + fine), (3, "$$$$ #### @@@@ ****" * 20), (4, (fine + " ") * 4000), (5, None), (5, None)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, n_removed int, key string, row long, worded boolean, place int, edits int, label int, _id int, token string, codes int, h int"
+    table = spark.createDataFrame([(i, t, None, "s", len(t or ""), 7, "k", k, None, 1, 2, 3, 4, "t", 5, 6) for k, (i, t) in enumerate(texts)], columns)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, sf)
+        assert out.columns == table.columns and dict(out.dtypes) == dict(table.dtypes)
+        left[name] = sorted(((r.doc_id, r.text, r.row) for r in out.collect()), key=str)
+    assert all(t in (fine, other, fine + "\n" + fine) or t == texts[9][1] for _, t, _ in left["quality_classifier"]) and {fine, other} <= {t for _, t, _ in left["quality_classifier"]}
+    assert [(i, t) for i, t, _ in left["decontamination"]] == sorted(((i, t) for i, t in texts), key=str) or len(left["decontamination"]) == len(texts)
+    single = left["near_duplicates"]
+    # a text that repeats itself has four shingles more than its 20
+    assert sorted(t for _, t, _ in single if t and t.strip()) == sorted({fine, other, texts[8][1]}) and sum(not (t or "").strip() for _, t, _ in single) == 5
+    lined = left["line_dedup"]
+    assert sum(1 for _, t, _ in lined if t == fine) == 2 and sum(1 for _, t, _ in lined if t == other) == 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, table, sf).collect()
+    assert sum(r.piece == 0 for r in packed) == len(texts)
+
+
+def test_rare_words_are_looked_up_by_a_join(spark, sf, monkeypatch):
+    """With hardly any word in the head, the scores are the same."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + [(9_000_001, None), (9_000_004, "unseen zzz words")]
+    got = []
+    for head in (suffix_tree.HEAD, 1e-2):
+        monkeypatch.setattr(suffix_tree, "HEAD", head)
+        monkeypatch.setattr(suffix_tree, "SYMBOL_SHARE", 2e-2)
+        got.append(sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in suffix_tree.score(docs(spark, rows), held()).collect()))
+    for a, b in zip(*got):
+        assert a[:4] == b[:4] and all(abs(x - y) <= 1e-9 * max(1, abs(x)) for x, y in zip(a[4:], b[4:]))
+    assert len(got[0]) == len(rows)
+
+
+def tree_by_force(texts, depth):
+    """How often each string of symbols occurs, and each string with its next symbol. texts: lists of symbols; 0 stands before each."""
+    strings, moves = collections.Counter(), collections.Counter()
+    for t in texts:
+        padded = [0, *t]
+        for d in range(1, depth + 1):
+            for k in range(len(padded) - d + 1):
+                strings[tuple(padded[k : k + d])] += 1
+                if k + d < len(padded):
+                    moves[tuple(padded[k : k + d]), padded[k + d]] += 1
+    return strings, moves
+
+
+def test_tree_counts_equal_brute_force(spark):
+    """Candidates, their transitions and the scores of a small tree against counts by hand."""
+    draw = random.Random(4)
+    codes = np.array([11, 22, 33, 44], np.uint64)
+    texts = []
+    for _ in range(120):
+        text = [1, 2]
+        for _ in range(draw.randint(1, 30)):  # the next symbol depends on the two before
+            text.append((text[-1] + 2 * text[-2]) % 3 + 1 if draw.random() < 0.7 else draw.choice([1, 1, 2, 3]))
+        texts.append([*text, 4])
+    total = sum(map(len, texts))
+    counts = np.array([sum(t.count(s) for t in texts) for s in (1, 2, 3, 4)])
+    tree = suffix_tree.Tree(total, 4, codes, counts, np.zeros(suffix_tree.CLASSES), np.zeros(suffix_tree.CLASSES))
+    made = suffix_tree.grown(tree, spark.createDataFrame([(np.array(t, np.uint32).tobytes(),) for t in texts], "symbols binary"))
+    strings, moves = tree_by_force(texts, 3)
+    bits, mask = suffix_tree.BITS, (1 << suffix_tree.BITS) - 1
+    known = [[(int(k),) for k in made.contexts[0]]]
+    for keys in made.contexts[1:]:
+        known.append([(int(k) >> bits, *known[-1][int(k) & mask]) for k in keys])
+    for d, own in enumerate(known, 1):
+        followed = {c for c, _ in moves if len(c) == d}
+        assert {c for c in own if c in followed} == {c for c in followed if strings[c] >= 2 and all(strings[c[k:]] >= 2 for k in range(d))}
+    # probabilities from the definition, context by context
+    root = {s: float(made.root[s]) for s in range(1, 5)}
+    kept = {c for d, own in enumerate(known, 1) for c, k in zip(own, made.kept[d - 1]) if k}
+
+    def probability(context, symbol):
+        while context and context not in kept:
+            context = context[1:]
+        if not context:
+            return root[symbol]
+        n = strings[context]
+        nexts = {x: moves[context, x] for x in range(1, 5) if moves[context, x]}
+        prior = 3.0 + 2.0 * len(nexts)
+        rest = max(n - sum(nexts.values()), 0)
+        return (nexts.get(symbol, 0) + (rest + prior) * probability(context[1:], symbol)) / (n + prior)
+
+    sequence = texts[0]
+    got = made.log_probabilities(np.array(sequence), np.array([True] + [False] * (len(sequence) - 1)))
+    want = [math.log10(probability(tuple([0, *sequence][max(0, k - 2) : k + 1]), x)) for k, x in enumerate(sequence)]
+    assert np.allclose(got, want) and len(kept) > 3
