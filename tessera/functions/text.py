@@ -75,6 +75,21 @@ def task_name(prompt: Column) -> Column:
     return F.regexp_replace(F.lower(F.array_join(words, "-")), r"[^\p{L}\p{N}-]", "")
 
 
+def capital(name: Column) -> Column:
+    """Whether the first letter is a capital one."""
+    return name.rlike(r"^\p{Lu}")
+
+
+def word(c: Column) -> Column:
+    """Whether a text is one word of letters, digits and underscores, of any script."""
+    return c.rlike(r"^(?U)\w+$")
+
+
+def kilobytes(size: Column) -> Column:
+    """Whole kilobytes."""
+    return F.floor(size / 1024).cast("long")
+
+
 def short_hash(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 8)
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that may travel as a constant.
+#: Query vectors that travel as a constant.
 MOST = 256
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
 Embedder = Callable[[Sequence[str]], list[list[float]]]
 
 
@@ -30,11 +35,12 @@ def top_k(chunks: DataFrame, query: Sequence[float], k: int, vector: str = "embe
 def top_k_of_each(queries: Sequence[tuple[int, Sequence[float]]], chunks: DataFrame, k: int, chunk_id: str, vector: str = "embedding") -> DataFrame:
     """The k most similar chunks of each given query: query_id, chunk_id, score, rank.
 
-    The query vectors travel as a constant, so their number is bounded (MOST); each task keeps k rows a query before anything
-    is shuffled (WindowGroupLimit).
+    The query vectors travel as a constant, MOST of them at once: more come in blocks, each one more pass over the chunks.
+    Each task keeps k rows a query before anything is shuffled (WindowGroupLimit).
     """
     if len(queries) > MOST:
-        raise ValueError(f"at most {MOST} query vectors at once; use the indexed search for more")
+        blocks = [top_k_of_each(queries[at : at + MOST], chunks, k, chunk_id, vector) for at in range(0, len(queries), MOST)]
+        return functools.reduce(DataFrame.union, blocks)
     known = F.array(*[F.struct(F.lit(int(i)).cast("long").alias("id"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for i, v in queries])
     rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("_v"), F.explode(known).alias("_q"))
     scored = rows.select(F.col("_q.id").alias("query_id"), "chunk_id", F.round(cosine(F.col("_v"), F.col("_q.v")), 6).alias("score"))
@@ -42,19 +48,25 @@ def top_k_of_each(queries: Sequence[tuple[int, Sequence[float]]], chunks: DataFr
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
+@functools.lru_cache(1 << 16)
+def _place(word: str) -> tuple[int, float]:
+    """A number and a sign from a word's MD5."""
+    h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+    return int(h[:15], 16), 1.0 if h[15] >= "8" else -1.0
+
+
 def hashing_embedder(dimension: int = 384) -> Embedder:
-    """A deterministic stand-in for a model: signed counts of hashed words, at unit length."""
+    """A deterministic stand-in for a model: signed counts of words in buckets by their MD5, at unit length. Each word is hashed once a process, up to a bound."""
 
     def embed(texts: Sequence[str]) -> list[list[float]]:
-        out = []
-        for text in texts:
-            v = [0.0] * dimension
-            for word in (text or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                v[h % dimension] += 1.0 if h >> 63 else -1.0
-            norm = sum(x * x for x in v) ** 0.5 or 1.0
-            out.append([x / norm for x in v])
-        return out
+        out = np.zeros((len(texts), dimension))
+        for row, text in zip(out, texts):
+            for word, n in Counter(SPACE.split((text or "").lower())).items():
+                if word:
+                    number, sign = _place(word)
+                    row[number % dimension] += sign * n
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(norms > 0, norms, 1.0)).tolist()
 
     return embed
 

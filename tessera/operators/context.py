@@ -47,8 +47,12 @@ def within_budget(files: DataFrame, path: str = "path", size: str = "size", max_
     """The files in path order, each of max_file bytes at most, up to the first that would exceed max_total in all.
 
     Of files that aren't empty no more than max_total can be taken, so the running sum is over the first max_total + 1 of them
-    (a top-k, no full sort), however many files there are. Empty files are taken up to the one at which the scan stops.
+    (a top-k, no full sort), however many files there are. Empty files are taken up to the one at which the scan stops. It
+    is decided on paths and sizes alone; the taken files' other columns are looked up by path.
     """
+    if set(files.columns) > {path, size}:
+        taken = within_budget(files.select(path, size), path, size, max_file, max_total, excluded, mode)
+        return files.join(taken.select(path), path, "left_semi")
     fit = files.where(F.col(size) <= max_file)
     if excluded:
         fit = fit.where(~X.in_excluded_dir(F.col(path), list(excluded), mode))

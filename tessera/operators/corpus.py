@@ -68,3 +68,8 @@ def first_per_id(rows: DataFrame, key: str = "id", order: str = "ordinal") -> Da
     """The first row of each id; which one doesn't depend on the partitioning."""
     best = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(F.col(order), *[F.col(c) for c in rows.columns if c not in (key, order) and dict(rows.dtypes)[c] in ("string", "int", "bigint")])).alias("_row"))
     return best.select(key, "_row.*").select(*rows.columns)
+
+
+def file_at(files: DataFrame, path) -> DataFrame:
+    """The row of a file, by its path (a string or a column)."""
+    return files.where(F.col("path") == path).limit(1)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import ast
 import bisect
+import itertools
+import operator
 import re
 from collections.abc import Callable, Iterator
 
@@ -561,20 +563,21 @@ def _named(m: re.Match, stop: set[str]) -> str:
     return next((w for w in reversed(words) if re.fullmatch(r"\w+", w) and w not in stop), "")
 
 
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
 def block_end(lines: list[str], begin: int) -> int:
-    """1-based last line of the block that begins at a 0-based line, by brackets and indentation."""
-    indent = lambda x: len(x) - len(x.lstrip())
-    base, balance, open_ = indent(lines[begin]), 0, False
-    for k in range(begin, len(lines)):
-        line = lines[k]
-        balance += line.count("{") - line.count("}")
-        open_ = open_ or "{" in line or line.strip().endswith(":")
-        if k > begin and open_:
-            if line.strip() and indent(line) <= base and balance <= 0:
-                return k if "}" not in line else k + 1
-            if balance <= 0:
-                return k + 1
-    return min(begin + 50, len(lines))
+    """1-based last line of the block that begins at a 0-based line: the first line behind at which the running balance of
+    brackets is none after a block has opened, or the line before if that one belongs to what follows; 50 lines otherwise."""
+    rest = itertools.islice(lines, begin, None)
+    balances = itertools.accumulate(line.count("{") - line.count("}") for line in rest)
+    opens = itertools.accumulate(("{" in line or line.strip().endswith(":") for line in itertools.islice(lines, begin, None)), operator.or_)
+    closed = next((k for k, (balance, opened) in enumerate(zip(balances, opens), begin) if k > begin and opened and balance <= 0), None)
+    if closed is None:
+        return min(begin + 50, len(lines))
+    follows = lines[closed].strip() and _indent(lines[closed]) <= _indent(lines[begin]) and "}" not in lines[closed]
+    return closed if follows else closed + 1
 
 
 def fallback(path: str, text: str) -> list[dict]:

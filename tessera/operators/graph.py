@@ -20,6 +20,23 @@ def call_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("caller_id"), F.col("dst").alias("callee_id"), X.after_last(F.col("src")).alias("caller_name"), X.after_last(F.col("dst")).alias("callee_name"))
 
 
+def contained(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """src, dst of the relations from a file to what it contains, for files that are known (column path)."""
+    known = files.select(F.concat(F.lit("file:"), "path").alias("src")).distinct()
+    return rows.where("edge_type = 'contains'").select("src", "dst").join(known, "src", "left_semi")
+
+
+def known_calls(rows: DataFrame, functions: DataFrame) -> DataFrame:
+    """The call edges to functions that exist, their ends being the first function, by id, of the name called."""
+    first = functions.groupBy(F.concat(F.lit("function:?:"), "name").alias("dst")).agg(F.min("id").alias("_id"))
+    calls = rows.where("edge_type = 'calls'")
+    return calls.join(first, "dst").withColumn("dst", F.col("_id")).select(*calls.columns)
+
+
+def implementations(rows: DataFrame) -> DataFrame:
+    return rows.where("edge_type = 'implements'").select(F.col("src").alias("impl_id"), F.col("dst").alias("trait_id"))
+
+
 def dependencies(calls: DataFrame, entity: str, loose: bool = False) -> DataFrame:
     """Distinct names that an entity calls, in order. loose: also by the part after the last dot."""
     name = F.lit(entity.rsplit(":", 1)[-1].strip("`"))

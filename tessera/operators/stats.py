@@ -15,6 +15,15 @@ CALL_KEYWORDS = (
 RUST_BRANCHES = ("if", "else", "match", "for", "while", "loop", "?", "&&", "||")
 OTHER_BRANCHES = ("if", "else", "for", "while", "switch", "case", "catch", "?", "&&", "||")
 
+NODE_KINDS = ("function", "struct", "trait", "impl", "enum", "const")
+EDGE_KINDS = ("contains", "calls", "implements", "extends", "imports", "uses_type", "returns_type", "has_field")
+
+
+def kinds_by_file(rows: DataFrame) -> DataFrame:
+    """Of each file, how many nodes and edges of each kind were extracted."""
+    nodes = [F.count_if(F.col("kind") == k).alias(f"{k}_nodes") for k in NODE_KINDS]
+    return rows.groupBy("file_path").agg(*nodes, *[F.count_if(F.col("edge_type") == k).alias(f"{k}_edges") for k in EDGE_KINDS])
+
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """kind, n: one row per table, 0 for an empty one."""

@@ -90,6 +90,20 @@ def plan_items(plans: DataFrame) -> DataFrame:
     return plans.select("task_name", F.posexplode(F.concat(create, modify)).alias("ordinal", "_i")).select("task_name", "ordinal", "_i.*")
 
 
+def files_affected(plans: DataFrame) -> DataFrame:
+    """task_name, files: how many files a plan creates and modifies."""
+    return plans.select("task_name", (F.size("files_to_create") + F.size("files_to_modify")).alias("files"))
+
+
+def cursor(items: DataFrame, results: DataFrame) -> DataFrame:
+    """Of each plan: how many items it has and how many are done, and the first that is not: task_name, total, completed, next_ordinal, action, path. items: plan_items; results: task_name, ordinal."""
+    done = results.select("task_name", "ordinal", F.lit(True).alias("_done")).distinct()
+    rows = items.join(done, ["task_name", "ordinal"], "left")
+    left = F.when(F.col("_done").isNull(), F.struct("ordinal", "action", "path"))
+    found = rows.groupBy("task_name").agg(F.count(F.lit(1)).alias("total"), F.count("_done").alias("completed"), F.min(left).alias("_next"))
+    return found.select("task_name", "total", "completed", F.col("_next.ordinal").alias("next_ordinal"), "_next.action", "_next.path")
+
+
 def progress(results: DataFrame) -> DataFrame:
     """task_name, total, completed, all_passed over execution results (column conformance)."""
     done = F.col("conformance").isNotNull()

@@ -351,7 +351,7 @@ def list_functions(spark, sf):
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_name = (SELECT min(p_name) FROM part) ORDER BY p_partkey LIMIT 1")
 def find_by_name(spark, sf):
     rows = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return rows.where(F.col("name") == rows.agg(F.min("name")).first()[0]).orderBy("id").limit(1)
+    return rows.where(F.col("name") == rows.agg(F.min("name")).scalar()).orderBy("id").limit(1)
 
 
 @query("SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier)")
@@ -367,11 +367,6 @@ def _listing(name: str, table: str, columns: dict[str, str]):
     return query(f"SELECT {', '.join(f'{c} AS {a}' for a, c in columns.items())} FROM {table}")(f)
 
 
-_listing("list_structs", "supplier", {"id": "s_suppkey", "name": "s_name", "score": "s_acctbal"})
-_listing("list_traits", "customer", {"id": "c_custkey", "name": "c_name", "kind": "c_mktsegment"})
-_listing("list_enums", "nation", {"id": "n_nationkey", "name": "n_name", "owner": "n_regionkey"})
-_listing("list_impls", "region", {"id": "r_regionkey", "name": "r_name"})
-_listing("list_function_entities", "part", {"id": "p_partkey", "name": "p_name", "brand": "p_brand", "kind": "p_type", "size": "p_size", "price": "p_retailprice"})
 _listing("list_calls", "lineitem", {"caller": "l_suppkey", "callee": "l_partkey", "line": "l_linenumber"})
 _listing("list_indexed_files", "documents", {"id": "doc_id", "source": "source"})
 
@@ -568,6 +563,69 @@ def advance_guard(spark, sf):
     return tasks.advanced(_tasks(spark, sf)).select("id", "phase", "can_advance", "next_phase")
 
 
+def _plans(spark, sf) -> DataFrame:
+    """Orders as plans: lines that came back are files to create, the others files to modify, in the order of their numbers."""
+    spec = F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("path"), F.col("l_linestatus").alias("description"))
+    back = F.col("l_returnflag") == "R"
+    named = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, spec))), lambda x: F.struct(x["path"].alias("path"), x["description"].alias("description")))
+    rows = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("task_name"))
+    return rows.agg(named(back).alias("files_to_create"), named(~back).alias("files_to_modify"))
+
+
+def _results(spark, sf) -> DataFrame:
+    """The first items of the plans of some orders are done."""
+    done = t(spark, sf, "lineitem").where("l_linenumber <= 2 AND l_orderkey % 3 = 0")
+    return done.select(F.col("l_orderkey").cast("string").alias("task_name"), (F.col("l_linenumber") - 1).cast("int").alias("ordinal"))
+
+
+ITEMS = "lines AS (SELECT CAST(l_orderkey AS VARCHAR) AS task_name, CASE l_returnflag WHEN 'R' THEN 'create' ELSE 'modify' END AS action, 'f' || CAST(l_partkey AS VARCHAR) AS path, l_linenumber AS n, l_linestatus AS description FROM lineitem), items AS (SELECT task_name, CAST(row_number() OVER (PARTITION BY task_name ORDER BY action, n, path, description) - 1 AS INT) AS ordinal, action, path FROM lines)"
+DONE = "done AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS task_name, CAST(l_linenumber - 1 AS INT) AS ordinal FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 3 = 0)"
+
+
+@query(f"WITH {ITEMS} SELECT * FROM items")
+def plan_items(spark, sf):
+    return tasks.plan_items(_plans(spark, sf))
+
+
+@query(f"WITH {ITEMS} SELECT task_name, CAST(count(*) AS INT) AS files FROM items GROUP BY task_name")
+def files_affected(spark, sf):
+    return tasks.files_affected(_plans(spark, sf))
+
+
+@query(f"WITH {ITEMS}, {DONE}, r AS (SELECT items.*, done.task_name IS NOT NULL AS is_done FROM items LEFT JOIN done USING (task_name, ordinal)), f AS (SELECT * FROM r WHERE NOT is_done QUALIFY row_number() OVER (PARTITION BY task_name ORDER BY ordinal) = 1), c AS (SELECT task_name, count(*) AS total, count(*) FILTER (is_done) AS completed FROM r GROUP BY task_name) SELECT task_name, total, completed, f.ordinal AS next_ordinal, action, path FROM c LEFT JOIN f USING (task_name)")
+def plan_cursor(spark, sf):
+    return tasks.cursor(tasks.plan_items(_plans(spark, sf)), _results(spark, sf))
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS task_name, count(*) AS total, count(*) FILTER (l_linestatus <> 'F') AS completed, bool_and(l_linestatus <> 'F' AND l_returnflag = 'N') AS all_passed FROM lineitem GROUP BY l_orderkey")
+def execution_progress(spark, sf):
+    passed = F.when(F.col("l_returnflag") == "N", "passed").otherwise("failed")
+    return tasks.progress(t(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("task_name"), F.when(F.col("l_linestatus") != "F", passed).alias("conformance")))
+
+
+@query(f"WITH {TASKS} SELECT id, phase FROM tasks WHERE id = (SELECT min(id) FROM tasks)")
+def current_task(spark, sf):
+    rows = _tasks(spark, sf)
+    return tasks.current(rows, rows.agg(F.min("id").alias("id"))).select("id", "phase")
+
+
+@query(f"WITH {TASKS} SELECT id FROM tasks WHERE id <> '1'")
+def task_deletion(spark, sf):
+    rows = _tasks(spark, sf)
+    return tasks.without(rows, rows.select("id").limit(1), "1")[0].select("id")
+
+
+@query(f"WITH {ROWS} SELECT path, size // 1024 AS kilobytes FROM rows")
+def file_kilobytes(spark, sf):
+    return corpus.file_rows(files(spark, sf)).select("path", X.kilobytes(F.col("size")).alias("kilobytes"))
+
+
+@query(f"WITH {ROWS} SELECT * FROM rows WHERE path = (SELECT min(path) FROM rows)")
+def get_file(spark, sf):
+    rows = corpus.file_rows(files(spark, sf))
+    return corpus.file_at(rows, rows.agg(F.min("path")).scalar())
+
+
 @query("SELECT p_partkey, p_brand || '<' || p_type || '>' AS type, CASE WHEN length(p_name) > 30 THEN left(p_name, 27) || '...' ELSE p_name END AS name, split_part(p_brand, '#', 1) AS simple FROM part")
 def simple_name(spark, sf):
     rows = t(spark, sf, "part").select("p_partkey", F.concat("p_brand", F.lit("<"), "p_type", F.lit(">")).alias("type"), F.concat(F.lit("impl std::fmt::"), "p_name").alias("long"))
@@ -612,5 +670,5 @@ def answer_parse(spark, sf):
     return rows.where("a is not null").select("event_id", "a.summary", F.size("a.findings").alias("findings"), F.size("a.dependencies").alias("dependencies"))
 
 
-for _name, _f in extraction.QUERIES.items():
-    QUERIES[_name] = _f
+QUERIES |= extraction.QUERIES
+ORACLE_SQL |= extraction.ORACLE_SQL
