@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import shutil
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlparse
 
@@ -83,12 +82,12 @@ def main(arguments: list[str] | None = None) -> None:
         records.switch(records.by_prefix(a.id))
     elif a.command == "advance":
         print(records.advance(records.current() or "")["phase"])
-    elif a.command == "kg-clear":
-        shutil.rmtree(a.store, ignore_errors=True)
     else:
         spark = session(master=a.master)
         engine = Engine(spark, a.store)
-        if a.command == "list":
+        if a.command == "kg-clear":
+            engine.commits.remove(engine.store)
+        elif a.command == "list":
             records.table(spark).show(truncate=False)
         elif a.command == "init":
             engine.initialize(a.force)

@@ -1,6 +1,7 @@
 """The engine over a warehouse folder: index a corpus, search it, ask for calls, counts and the graph.
 
-Tables are Parquet snapshots below `store`; a commit file names the current one of each, and the file table is named last.
+Tables are Parquet snapshots below `store`; numbered commit files name the current one of each. Files are read and parsed
+once: what an index run works on lies in a folder of its own below `store` and is removed after it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.functions import vectors as V
 from tessera.operators import chunking, context, corpus, extract, graph, stats
+from tessera.sources.commits import Commits
 from tessera.sources.config import Config
 from tessera.sources.trees import read_tree
 
@@ -24,6 +26,7 @@ TABLES = ("chunk", "entity", "edge", "file")
 class Engine:
     def __init__(self, spark: SparkSession, store: str, config: Config | None = None, embedder: V.Embedder | None = None):
         self.spark, self.store, self.config = spark, store.rstrip("/"), config or Config()
+        self.commits = Commits(spark, self.store)
         self.embedder = embedder or V.hashing_embedder(self.config.knowledge.dimension)
 
     # Tables
@@ -31,29 +34,20 @@ class Engine:
     def _schema(self, name: str):
         return {"chunk": schemas.Chunk, "entity": schemas.Extracted, "edge": schemas.Extracted, "file": schemas.struct("path string;name string;extension string;hash string;size long")}[name]
 
-    def _current(self) -> dict[str, str]:
-        try:
-            row = self.spark.read.schema("tables map<string,string>").json(f"{self.store}/current").first()
-        except Exception as error:  # nothing has been indexed yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return {}
-        return dict(row[0]) if row else {}
-
     def table(self, name: str) -> DataFrame:
-        where = self._current().get(name)
+        where = self.commits.latest().get(name)
         return self.spark.read.schema(self._schema(name)).parquet(where) if where else self.spark.createDataFrame([], self._schema(name))
 
     def _commit(self, tables: dict[str, DataFrame]) -> None:
-        named = self._current()
+        named = self.commits.latest()
         for name in TABLES:
             if name in tables:
                 named[name] = f"{self.store}/{name}-{uuid.uuid4()}"
                 tables[name].write.parquet(named[name])
-        self.spark.createDataFrame([(named,)], "tables map<string,string>").coalesce(1).write.mode("overwrite").json(f"{self.store}/current")
+        self.commits.add(named)
 
     def is_initialized(self) -> bool:
-        return bool(self._current())
+        return bool(self.commits.latest())
 
     def initialize(self, force: bool = False) -> None:
         """Empty tables, unless there are tables already; force replaces them."""
@@ -73,20 +67,28 @@ class Engine:
 
     def index(self, files: DataFrame) -> DataFrame:
         """Indexes files (path, content): unchanged ones are skipped, what came from changed ones is replaced as a whole. Returns the statistics."""
-        files = files.where(corpus.indexable(F.col("path")))
-        rows = corpus.file_rows(files)
-        known = self.table("file")
-        fresh = corpus.changed(rows, known)
-        wanted = files.join(fresh.select("path"), "path", "left_semi")
-        made = extract.extracted(wanted)
-        nodes = corpus.first_per_id(made.where("edge_type is null"))
-        chunks = V.embedded(chunking.chunks(wanted), "content", self.embedder).select("file_path", F.lit(None).cast("string").alias("entity_id"), F.lit("file").alias("entity_type"), "content", "start_line", "end_line", "embedding")
-        kept = corpus.cascade({"chunk": self.table("chunk"), "entity": self.table("entity")}, fresh.select("path"))
-        edges = corpus.edges_without_files(self.table("edge"), fresh.select("path"))
-        self._commit({
-            "chunk": kept["chunk"].unionByName(chunks), "entity": kept["entity"].unionByName(nodes), "edge": edges.unionByName(made.where("edge_type is not null")),
-            "file": corpus.upserted(known, fresh),
-        })
+        staged = f"{self.store}/staged-{uuid.uuid4()}"
+
+        def kept_at(name: str, df: DataFrame) -> DataFrame:
+            df.write.parquet(f"{staged}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{staged}/{name}")
+
+        try:
+            files = kept_at("files", files.where(corpus.indexable(F.col("path"))).select("path", "content"))
+            known = self.table("file")
+            fresh = kept_at("fresh", corpus.changed(corpus.file_rows(files), known))
+            wanted = files.join(fresh.select("path"), "path", "left_semi")
+            made = kept_at("made", extract.extracted(wanted))
+            nodes = corpus.first_per_id(made.where("edge_type is null"))
+            chunks = V.embedded(chunking.chunks(wanted), "content", self.embedder).select("file_path", F.lit(None).cast("string").alias("entity_id"), F.lit("file").alias("entity_type"), "content", "start_line", "end_line", "embedding")
+            kept = corpus.cascade({"chunk": self.table("chunk"), "entity": self.table("entity")}, fresh.select("path"))
+            edges = corpus.edges_without_files(self.table("edge"), fresh.select("path"))
+            self._commit({
+                "chunk": kept["chunk"].unionByName(chunks), "entity": kept["entity"].unionByName(nodes), "edge": edges.unionByName(made.where("edge_type is not null")),
+                "file": corpus.upserted(known, fresh),
+            })
+        finally:
+            self.commits.remove(staged)
         return self.stats()
 
     def remove_file(self, path: str) -> None:
@@ -119,8 +121,19 @@ class Engine:
     def files(self) -> DataFrame:
         return self.table("file").select("path")
 
+    def get_file(self, path: str) -> DataFrame:
+        return corpus.file_at(self.table("file"), path)
+
     def implements(self) -> DataFrame:
-        return self.table("edge").where("edge_type = 'implements'").select(F.col("src").alias("impl_id"), F.col("dst").alias("trait_id"))
+        return graph.implementations(self.table("edge"))
+
+    def contained(self) -> DataFrame:
+        """What known files contain."""
+        return graph.contained(self.table("edge"), self.table("file"))
+
+    def known_calls(self) -> DataFrame:
+        """Calls of functions that are in the store."""
+        return graph.known_calls(self.table("edge"), self.entities("function"))
 
     def stats(self) -> DataFrame:
         tables = {"files": self.table("file"), "chunks": self.table("chunk"), "calls": self.calls(), "implements": self.implements()} | {k: self.entities(k) for k in NODES}

@@ -1,0 +1,67 @@
+"""Numbered commit files of a store: each names the folder of every table, and the newest one counts.
+
+A commit is written beside its place and then renamed, so that readers see it whole or not at all; a crash before that
+leaves the one before in force. Two writers can't take the same number. Folders that neither of the last KEEP commits names
+are removed. Works on every file system that Hadoop's interface reaches.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import SparkSession
+
+KEEP = 2
+
+
+class Commits:
+    def __init__(self, spark: SparkSession, store: str):
+        self.spark, self.store = spark, store.rstrip("/")
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(self.store).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _folder(self):
+        return self.path(f"{self.store}/commits")
+
+    def _numbers(self) -> list[int]:
+        if not self.fs.exists(self._folder()):
+            return []
+        return sorted(int(name) for s in self.fs.listStatus(self._folder()) if (name := s.getPath().getName()).isdigit())
+
+    def _read(self, number: int) -> dict[str, str]:
+        stream = self.fs.open(self.path(f"{self.store}/commits/{number:012d}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def latest(self) -> dict[str, str]:
+        """table -> folder; empty if nothing has been committed."""
+        numbers = self._numbers()
+        return self._read(numbers[-1]) if numbers else {}
+
+    def add(self, tables: dict[str, str]) -> None:
+        numbers = self._numbers()
+        number = (numbers[-1] if numbers else 0) + 1
+        self.fs.mkdirs(self._folder())
+        beside, place = self.path(f"{self.store}/commits/.{uuid.uuid4()}"), self.path(f"{self.store}/commits/{number:012d}")
+        out = self.fs.create(beside, False)
+        try:
+            out.write(bytearray(json.dumps(tables).encode()))
+        finally:
+            out.close()
+        if self.fs.exists(place) or not self.fs.rename(beside, place):
+            self.fs.delete(beside, False)
+            raise RuntimeError(f"another writer has taken commit {number}")
+        self._prune([*numbers, number])
+
+    def _prune(self, numbers: list[int]) -> None:
+        kept = {folder for n in numbers[-KEEP:] for folder in self._read(n).values()}
+        for n in numbers[:-KEEP]:
+            for folder in set(self._read(n).values()) - kept:
+                self.remove(folder)
+            self.fs.delete(self.path(f"{self.store}/commits/{n:012d}"), False)
+
+    def remove(self, folder: str) -> None:
+        self.fs.delete(self.path(folder), True)

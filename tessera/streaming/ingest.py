@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.corpus import changed, file_rows, upserted
+from tessera.sources.commits import Commits
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,25 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def merge_batch(spark: SparkSession, batch: DataFrame, store: str) -> None:
-    """Merges one batch of (path, content) into the store: a new snapshot is written, then the pointer moves. Repeating a batch changes nothing."""
+    """Merges one batch of (path, content) into the store: a new snapshot is written, then committed. Repeating a batch changes nothing."""
     known = snapshot(spark, store)
     # of several rows for a path in one batch the last by hash counts, so the outcome doesn't depend on their order
     incoming = file_rows(batch).groupBy("path").agg(F.max_by(F.struct("name", "extension", "hash", "size"), "hash").alias("_r")).select("path", "_r.*")
     fresh = changed(incoming, known)
     target = f"{store}/files-{uuid.uuid4()}"
     upserted(known, fresh).write.parquet(target)
-    spark.createDataFrame([(target,)], "target string").coalesce(1).write.mode("overwrite").json(f"{store}/current")
+    Commits(spark, store).add({"file": target})
 
 
 def snapshot(spark: SparkSession, store: str) -> DataFrame:
     schema = "path string, name string, extension string, hash string, size long"
-    try:
-        target = spark.read.schema("target string").json(f"{store}/current").first()
-    except Exception as error:  # nothing has been merged yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        target = None
-    return spark.read.schema(schema).parquet(target[0]) if target else spark.createDataFrame([], schema)
+    target = Commits(spark, store).latest().get("file")
+    return spark.read.schema(schema).parquet(target) if target else spark.createDataFrame([], schema)
 
 
 def ingest(spark: SparkSession, source: str, schema: str, store: str, path, content) -> DataFrame:

@@ -1,0 +1,67 @@
+"""Commits of a store: whole or not at all."""
+
+import os
+
+import pytest
+
+from tessera.engine import Engine
+from tessera.functions import vectors as V
+from tessera.operators import extract, graph, tasks
+from tessera.sources import commits
+from tessera.sources.commits import Commits
+
+
+def test_a_crash_leaves_the_commit_before_in_force(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    engine = Engine(spark, store)
+    files = lambda **named: spark.createDataFrame([(k.replace("_", "."), v) for k, v in named.items()], "path string, content string")
+    engine.index(files(a_py="def a():\n    b()\n"))
+    with monkeypatch.context() as broken:  # the tables are written, the commit is not
+        broken.setattr(Commits, "add", lambda self, tables: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            engine.index(files(b_py="def b():\n    pass\n"))
+    assert [r.path for r in engine.files().collect()] == ["a.py"]
+    (tmp_path / "store" / "commits" / ".half").write_text("{")  # a commit that was being written
+    engine.index(files(b_py="def b():\n    pass\n"))
+    assert sorted(r.path for r in engine.files().collect()) == ["a.py", "b.py"]
+    assert engine.get_file("b.py").count() == 1 and engine.get_file("c.py").count() == 0
+    assert {(r.src, r.dst) for r in engine.known_calls().collect()} == {("function:a.py:a", "function:b.py:b")}
+    assert engine.contained().count() == 2
+    assert not [x for x in os.listdir(store) if x.startswith("staged")]
+
+
+def test_commits_are_numbered_and_old_folders_go(spark, tmp_path):
+    store = str(tmp_path / "store")
+    own = Commits(spark, store)
+    assert own.latest() == {}
+    for k in range(4):
+        os.makedirs(f"{store}/t{k}")
+        own.add({"t": f"{store}/t{k}", "kept": f"{store}/always"})
+    assert own.latest()["t"] == f"{store}/t3"
+    assert sorted(x for x in os.listdir(store) if x.startswith("t")) == ["t2", "t3"]
+    assert len([x for x in os.listdir(f"{store}/commits") if x.isdigit()]) == commits.KEEP
+    other = Commits(spark, store)
+    other._numbers = lambda: [1, 2, 3]  # a writer that has not seen the last commit
+    with pytest.raises(RuntimeError, match="another writer"):
+        other.add({"t": "x"})
+
+
+def test_more_query_vectors_than_travel_at_once(spark, monkeypatch):
+    monkeypatch.setattr(V, "MOST", 2)
+    rows = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(6)], "id long, embedding array<double>")
+    found = V.top_k_of_each([(k, [1.0, float(k)]) for k in range(5)], rows, 1, "id").collect()
+    assert sorted((r.query_id, r.chunk_id) for r in found) == [(k, k) for k in range(5)]
+
+
+def test_block_ends():
+    lines = ["fn a() {", "  if x {", "  }", "}", "fn b() {}", "def c():", "    pass", "", "x = 1"]
+    assert [extract.block_end(lines, k) for k in (0, 4, 5)] == [4, 5, 7]
+
+
+def test_cursor_of_a_finished_plan(spark):
+    plans = spark.createDataFrame([("t", [("a", "x")], [("b", "y")])], "task_name string, files_to_create array<struct<path:string,description:string>>, files_to_modify array<struct<path:string,description:string>>")
+    items = tasks.plan_items(plans)
+    done = spark.createDataFrame([("t", 0), ("t", 1), ("t", 1)], "task_name string, ordinal int")
+    assert tuple(tasks.cursor(items, done).first()) == ("t", 2, 2, None, None, None)
+    assert tuple(tasks.cursor(items, done.where("ordinal = 0")).first()) == ("t", 2, 1, 1, "modify", "b")
+    assert graph.contained(spark.createDataFrame([], "edge_type string, src string, dst string"), spark.createDataFrame([], "path string")).count() == 0
