@@ -48,6 +48,8 @@ SYMBOL, SYMBOL_SHARE = 1000, 5e-5
 CONTEXT, CONTEXT_SHARE = 200, 1e-5
 TRANSITION, TRANSITION_SHARE = 4, 2e-7
 SLICE = 150_000_000
+#: Places in texts whose contexts and next symbols are summed up together.
+PART = 1_000_000
 CLASSES = 256
 DEPTH = 3
 #: Symbols that are no words: the place before a text, in contexts only.
@@ -304,6 +306,26 @@ def _before(symbols: np.ndarray, place: np.ndarray, at: np.ndarray, back: int) -
     return np.where(place >= back, symbols[at - back], BEFORE)
 
 
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys, as differences, and their counts, byte by byte: high bytes, mostly zero, lie together and compress well."""
+    steps = np.diff(keys, prepend=0)
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(packed, np.uint8).reshape(12, -1)
+    return np.cumsum(np.ascontiguousarray(planes[:8].T).view(np.int64).ravel()), np.ascontiguousarray(planes[8:].T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _frequent(table: pa.Table, least: float, least_move: float) -> pa.Table:
+    """The summed counts of a part's keys, those that reach the minimum."""
+    found = [_unpacked(x) for x in table.column("counts").to_pylist()]
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    counts = np.bincount(at.ravel(), np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
+    use = counts >= np.where(keys >= AHEAD, least, least_move)
+    return pa.table({"key": keys[use], "n": counts[use]})
+
+
 def _first(sizes: np.ndarray) -> np.ndarray:
     out = np.zeros(int(sizes.sum()), bool)
     out[np.cumsum(sizes)[:-1]] = True
@@ -412,6 +434,8 @@ def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray |
     occurrences = _occurrences(tree, training.count())
     whole = own is None or bool(own.all())
     marks = None
+    # a part's counts are summed up in one task: each is of PART places in the texts on average, whatever the slice
+    parts = int(occurrences[own].sum() if own is not None else occurrences.sum()) // PART + 1
     for d in range(1, depth + 1):
         use = occurrences >= least
         if d == 1:  # the end is no context: nothing follows it
@@ -436,7 +460,11 @@ def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray |
                 if waiting:
                     k, n = np.unique(np.concatenate(waiting), return_counts=True)
                     waiting.clear()
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
+                    of = _spread(k, 32) % parts
+                    order = np.argsort(of.astype(np.uint16) if parts < 1 << 16 else of, kind="stable")
+                    held, begins = np.unique(of[order], return_index=True)
+                    blobs = [_packed(k[at], n[at]) for at in np.split(order, begins[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "counts"])
 
             for batch in batches:
                 for symbols, first in _sequences(batch.column(0), kind):
@@ -461,8 +489,8 @@ def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray |
                         size = 0
             yield from out()
 
-        counted = training.select("symbols").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        key, n = _columns(counted.where(F.col("n") >= F.when(F.col("key") >= AHEAD, least).otherwise(least_move)), "key", "n")
+        counted = training.select("symbols").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(lambda table: _frequent(table, least, least_move), "key long, n long")
+        key, n = _columns(counted, "key", "n")
         order = np.argsort(key)
         ahead = key[order] >= AHEAD
         moves, longer = order[~ahead], order[ahead]
