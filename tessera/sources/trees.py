@@ -1,7 +1,9 @@
 """Directory trees as a Spark data source: listed on the driver, read in partitions.
 
 Spark's own file sources hide names that begin with an underscore, so `__init__.py` would be lost. Hidden entries are
-skipped and .gitignore files honoured; files that aren't valid UTF-8 are left out (strict=true: they fail the read).
+skipped; .gitignore and .ignore files are honoured, those of the folders above too (.gitignore as far up as the repository
+goes), and the repository's and the user's own lists of excluded names. An .ignore file counts for more than all others, a
+deeper file for more than one above it. Files that aren't valid UTF-8 are left out (strict=true: they fail the read).
 """
 
 from __future__ import annotations
@@ -32,19 +34,50 @@ def _pattern(line: str) -> tuple[re.Pattern, bool, bool] | None:
     return re.compile(("" if anchored else "(?:.*/)?") + body + r"\Z", re.S), back, only_dirs
 
 
-def ignored(path: str, is_dir: bool, rules: list[tuple[str, tuple]]) -> bool:
-    """Whether the last rule that matches a relative path drops it. rules: (directory of the ignore file, pattern)."""
-    out = False
-    for base, (pattern, back, only_dirs) in rules:
-        inside = path[len(base) :].lstrip("/") if path.startswith(base) else None
-        if inside and (is_dir or not only_dirs) and pattern.match(inside):
-            out = not back
+@dataclass(frozen=True)
+class Rules:
+    """Patterns in the order of rising weight, each with the folder it holds below, and that folder's place as the file sees it."""
+
+    git: tuple = ()
+    own: tuple = ()
+
+    def with_file(self, path: str, base: str, lead: str = "") -> Rules:
+        try:
+            with open(path, errors="replace") as f:
+                found = tuple((base, lead, p) for p in map(_pattern, f) if p)
+        except OSError:
+            return self
+        return Rules(self.git, self.own + found) if os.path.basename(path) == ".ignore" else Rules(self.git + found, self.own)
+
+    def ignore(self, path: str, is_dir: bool) -> bool:
+        """Whether the last pattern that matches a relative path drops it."""
+        for rules in (self.own, self.git):
+            for base, lead, (pattern, back, only_dirs) in reversed(rules):
+                inside = path[len(base) :].lstrip("/") if path.startswith(base) else None
+                if inside and (is_dir or not only_dirs) and pattern.match(lead + inside):
+                    return not back
+        return False
+
+
+def _rules_above(root: str) -> Rules:
+    """What holds at a folder by files that are not in it."""
+    root = os.path.abspath(root)
+    above = [root]
+    while os.path.dirname(above[-1]) != above[-1]:
+        above.append(os.path.dirname(above[-1]))
+    top = next((k for k, folder in enumerate(above) if os.path.exists(os.path.join(folder, ".git"))), 0)
+    settings = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    lead = lambda k: "".join(f"{os.path.basename(folder)}/" for folder in reversed(above[:k]))
+    out = Rules().with_file(os.path.join(settings, "git", "ignore"), "", lead(top)).with_file(os.path.join(above[top], ".git", "info", "exclude"), "", lead(top))
+    for k in range(len(above) - 1, 0, -1):
+        for name in (".gitignore", ".ignore")[k > top :]:
+            out = out.with_file(os.path.join(above[k], name), "", lead(k))
     return out
 
 
 def walk(root: str, extensions: tuple[str, ...] | None = None, max_size: int | None = None) -> Iterator[tuple[str, int]]:
     """Relative path and size of the files to index, in order; no file is opened."""
-    waiting: list[tuple[str, list]] = [("", [])]
+    waiting: list[tuple[str, Rules]] = [("", _rules_above(root))]
     while waiting:
         base, rules = waiting.pop()
         try:
@@ -52,13 +85,12 @@ def walk(root: str, extensions: tuple[str, ...] | None = None, max_size: int | N
         except OSError:
             continue
         for e in entries:
-            if e.name == ".gitignore":
-                with open(e.path, errors="replace") as f:
-                    rules = rules + [(base, p) for p in map(_pattern, f) if p]
+            if e.name in (".gitignore", ".ignore"):
+                rules = rules.with_file(e.path, base)
         below = []
         for e in entries:
             path = f"{base}/{e.name}" if base else e.name
-            if e.name.startswith(".") or ignored(path, e.is_dir(follow_symlinks=False), rules):
+            if e.name.startswith(".") or rules.ignore(path, e.is_dir(follow_symlinks=False)):
                 continue
             if e.is_dir(follow_symlinks=False):
                 below.append((path, rules))
