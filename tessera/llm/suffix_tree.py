@@ -119,35 +119,30 @@ def _spread(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Finder:
-    """Finds (front << BITS | back) among distinct keys: an open-addressing table, at most half full."""
+    """Finds (front << BITS | back) among distinct keys: an open-addressing table of their places, at most half full."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, (2 * len(keys)).bit_length())
-        self.slots, self.at = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
-        left, place = np.arange(len(keys)), _spread(keys, self.bits)
+        self.keys, self.bits = keys, max(4, (2 * len(keys)).bit_length())
+        self.at = np.full(1 << self.bits, -1, np.int32)
+        left, place = np.arange(len(keys), dtype=np.int32), _spread(keys, self.bits)
         while len(left):
             free = self.at[place] < 0
             self.at[place[free]] = left[free]  # of several, one stays
             lost = self.at[place] != left
             left, place = left[lost], (place[lost] + 1) & (len(self.at) - 1)
-        held = self.at >= 0
-        self.slots[held] = keys[self.at[held]]
 
     def find(self, front: np.ndarray, back: np.ndarray) -> np.ndarray:
         """Places among the keys, -1 where there is none."""
         wanted = (front << BITS) | back
-        place = _spread(wanted, self.bits)
-        held = self.slots[place]
-        out = np.where(held == wanted, self.at[place], -1).astype(np.int64)
-        left = np.flatnonzero((held != wanted) & (held >= 0))
-        place = place[left]
+        out = np.full(len(wanted), -1, np.int64)
+        left, place = np.arange(len(wanted)), _spread(wanted, self.bits)
         while len(left):
-            place = (place + 1) & (len(self.at) - 1)
-            held, own = self.slots[place], wanted[left]
-            found = held == own
-            out[left[found]] = self.at[place[found]]
-            more = ~found & (held >= 0)
-            left, place = left[more], place[more]
+            held = self.at[place]
+            some = np.flatnonzero(held >= 0)
+            left, place, held = left[some], place[some], held[some]
+            found = self.keys[held] == wanted[left]
+            out[left[found]] = held[found]
+            left, place = left[~found], (place[~found] + 1) & (len(self.at) - 1)
         return out
 
 
@@ -484,7 +479,7 @@ def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray |
                         found, following = found[seen], following[seen]
                     waiting.append((found << BITS) | following)
                     size += len(found)
-                    if size > 3_000_000:
+                    if size > 2_000_000:
                         yield from out()
                         size = 0
             yield from out()
