@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table of its own in the shared folder: smaller than a checkpoint, and later plans read only the columns they use."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores behind it until no column of df has it, in whatever case."""
     taken = {c.lower() for c in df.columns}
