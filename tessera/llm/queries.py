@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, cross_polytope, decontaminate, html_text, line_dedup, ngram_join, packing, quality, suffix_tree, token_counts
+from tessera.llm import chat_format, cross_polytope, decontaminate, html_text, license_scan, line_dedup, ngram_join, packing, quality, resample, suffix_tree, token_counts
 from tessera.llm.common import table
 
 
@@ -52,6 +52,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_scoring": op1_suffix_tree_scoring,
     "op2_packing": op2_packing,
@@ -63,6 +71,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_license_scans": op12_license_scans,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.SQL, "op9_chat_formatting": chat_format.SQL, "op10_ngram_jaccard_join": ngram_join.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": line_dedup.SQL,
+    "op9_chat_formatting": chat_format.SQL,
+    "op10_ngram_jaccard_join": ngram_join.SQL,
+    "op12_license_scans": license_scan.SQL,
+    "op13_importance_resampling": resample.SQL,
+}
