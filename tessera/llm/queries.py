@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, cross_polytope, decontaminate, html_text, license_scan, line_dedup, ngram_join, packing, quality, resample, suffix_tree, token_counts
+from tessera.llm import align, chat_format, cross_polytope, decontaminate, html_text, license_scan, line_dedup, ngram_join, packing, quality, resample, suffix_tree, token_counts
 from tessera.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
 def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_license_scans": op12_license_scans,
     "op13_importance_resampling": op13_importance_resampling,
 }
