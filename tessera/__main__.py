@@ -86,7 +86,7 @@ def main(arguments: list[str] | None = None) -> None:
         spark = session(master=a.master)
         engine = Engine(spark, a.store)
         if a.command == "kg-clear":
-            engine.commits.remove(engine.store)
+            engine.initialize(force=True)
         elif a.command == "list":
             records.table(spark).show(truncate=False)
         elif a.command == "init":

@@ -1,58 +1,51 @@
 """The engine over a warehouse folder: index a corpus, search it, ask for calls, counts and the graph.
 
-Tables are Parquet snapshots below `store`; numbered commit files name the current one of each. Files are read and parsed
-once: what an index run works on lies in a folder of its own below `store` and is removed after it.
+Tables are partitioned Parquet below `store` (`sources.store`): indexing rewrites the partitions of new and changed files
+and no others. Files are read and parsed once; what an index run works on is cut off in the shared folder.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import vectors as V
 from tessera.operators import chunking, context, corpus, extract, graph, stats
-from tessera.sources.commits import Commits
+from tessera.session import cut
 from tessera.sources.config import Config
+from tessera.sources.store import PARTS, Store, Table
 from tessera.sources.trees import read_tree
 
 NODES = ("function", "struct", "trait", "impl", "enum", "const", "static")
-TABLES = ("chunk", "entity", "edge", "file")
+TABLES = {
+    "chunk": Table(schemas.Chunk),
+    "entity": Table(schemas.Extracted, kind="kind", defaults={"visibility": "private"}),
+    "edge": Table(schemas.Extracted, kind="edge_type"),
+    "file": Table(schemas.struct("path string;name string;extension string;hash string;size long"), owner="path"),
+}
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, store: str, config: Config | None = None, embedder: V.Embedder | None = None):
-        self.spark, self.store, self.config = spark, store.rstrip("/"), config or Config()
-        self.commits = Commits(spark, self.store)
+    def __init__(self, spark: SparkSession, store: str, config: Config | None = None, embedder: V.Embedder | None = None, parts: int = PARTS):
+        self.spark, self.config = spark, config or Config()
+        self.store = Store(spark, store, TABLES, parts=parts)
         self.embedder = embedder or V.hashing_embedder(self.config.knowledge.dimension)
+        #: Counts of the last index run, observed while it read and wrote: files, bytes (unchanged ones included), changed, chunks, entities, edges.
+        self.run: dict[str, int] = {}
 
     # Tables
 
-    def _schema(self, name: str):
-        return {"chunk": schemas.Chunk, "entity": schemas.Extracted, "edge": schemas.Extracted, "file": schemas.struct("path string;name string;extension string;hash string;size long")}[name]
-
     def table(self, name: str) -> DataFrame:
-        where = self.commits.latest().get(name)
-        return self.spark.read.schema(self._schema(name)).parquet(where) if where else self.spark.createDataFrame([], self._schema(name))
-
-    def _commit(self, tables: dict[str, DataFrame]) -> None:
-        named = self.commits.latest()
-        for name in TABLES:
-            if name in tables:
-                named[name] = f"{self.store}/{name}-{uuid.uuid4()}"
-                tables[name].write.parquet(named[name])
-        self.commits.add(named)
+        return self.store.table(name) if self.is_initialized() else self.spark.createDataFrame([], TABLES[name].schema)
 
     def is_initialized(self) -> bool:
-        return bool(self.commits.latest())
+        return self.store.exists()
 
     def initialize(self, force: bool = False) -> None:
         """Empty tables, unless there are tables already; force replaces them."""
         if force or not self.is_initialized():
-            self._commit({name: self.spark.createDataFrame([], self._schema(name)) for name in TABLES})
+            self.store.create(dimension=str(self.config.knowledge.dimension))
 
     # Ingest
 
@@ -67,33 +60,23 @@ class Engine:
 
     def index(self, files: DataFrame) -> DataFrame:
         """Indexes files (path, content): unchanged ones are skipped, what came from changed ones is replaced as a whole. Returns the statistics."""
-        staged = f"{self.store}/staged-{uuid.uuid4()}"
-
-        def kept_at(name: str, df: DataFrame) -> DataFrame:
-            df.write.parquet(f"{staged}/{name}")
-            return self.spark.read.schema(df.schema).parquet(f"{staged}/{name}")
-
-        try:
-            files = kept_at("files", files.where(corpus.indexable(F.col("path"))).select("path", "content"))
-            known = self.table("file")
-            fresh = kept_at("fresh", corpus.changed(corpus.file_rows(files), known))
-            wanted = files.join(fresh.select("path"), "path", "left_semi")
-            made = kept_at("made", extract.extracted(wanted))
-            nodes = corpus.first_per_id(made.where("edge_type is null"))
-            chunks = V.embedded(chunking.chunks(wanted), "content", self.embedder).select("file_path", F.lit(None).cast("string").alias("entity_id"), F.lit("file").alias("entity_type"), "content", "start_line", "end_line", "embedding")
-            kept = corpus.cascade({"chunk": self.table("chunk"), "entity": self.table("entity")}, fresh.select("path"))
-            edges = corpus.edges_without_files(self.table("edge"), fresh.select("path"))
-            self._commit({
-                "chunk": kept["chunk"].unionByName(chunks), "entity": kept["entity"].unionByName(nodes), "edge": edges.unionByName(made.where("edge_type is not null")),
-                "file": corpus.upserted(known, fresh),
-            })
-        finally:
-            self.commits.remove(staged)
+        self.initialize()
+        seen = {name: Observation() for name in ("files", "changed", "made", "chunks")}
+        rows = F.count(F.lit(1)).alias("n")
+        wanted = files.where(corpus.indexable(F.col("path"))).select("path", "content").observe(seen["files"], rows, F.sum(F.octet_length("content")).alias("bytes"))
+        fresh = cut(corpus.changed(corpus.file_rows(wanted, keep_content=True), self.store.table("file")).observe(seen["changed"], rows))
+        made = cut(extract.extracted(fresh).observe(seen["made"], F.count_if(F.col("edge_type").isNull()).alias("entities"), F.count_if(F.col("edge_type").isNotNull()).alias("edges")))
+        chunks = V.embedded(chunking.chunks(fresh), "content", self.embedder).select("file_path", F.lit(None).cast("string").alias("entity_id"), F.lit("file").alias("entity_type"), "content", "start_line", "end_line", "embedding")
+        self.store.replace(fresh, {
+            "chunk": chunks.observe(seen["chunks"], rows), "entity": corpus.first_per_id(made.where("edge_type is null")), "edge": made.where("edge_type is not null"), "file": fresh,
+        })
+        self.run = {"files": seen["files"].get["n"], "bytes": seen["files"].get["bytes"] or 0, "changed": seen["changed"].get["n"]}
+        if self.run["changed"]:
+            self.run |= {"chunks": seen["chunks"].get["n"]} | seen["made"].get
         return self.stats()
 
     def remove_file(self, path: str) -> None:
-        paths = self.spark.createDataFrame([(path,)], "path string")
-        self._commit(corpus.cascade({name: self.table(name) for name in ("chunk", "entity", "file")}, paths) | {"edge": corpus.edges_without_files(self.table("edge"), paths)})
+        self.store.replace(self.spark.createDataFrame([(path,)], "path string"), {})
 
     # Questions
 

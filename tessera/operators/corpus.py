@@ -15,10 +15,11 @@ INDEX_EXTENSIONS = (
 )
 
 
-def file_rows(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """path, name, extension, hash, size of each file."""
+def file_rows(files: DataFrame, path: str = "path", content: str = "content", keep_content: bool = False) -> DataFrame:
+    """path, name, extension, hash, size of each file; and its content, if asked for."""
     p, c = F.col(path), F.col(content)
-    return files.select(p.alias("path"), X.file_name(p).alias("name"), X.extension(p).alias("extension"), F.sha2(c, 256).alias("hash"), F.octet_length(c).cast("long").alias("size"))
+    more = [c.alias("content")] if keep_content else []
+    return files.select(p.alias("path"), X.file_name(p).alias("name"), X.extension(p).alias("extension"), F.sha2(c, 256).alias("hash"), F.octet_length(c).cast("long").alias("size"), *more)
 
 
 def indexable(path: Column, extensions: tuple[str, ...] = INDEX_EXTENSIONS) -> Column:

@@ -1,49 +1,43 @@
-"""Incremental ingest: a file-source stream whose batches are merged into the snapshot of file rows."""
+"""Incremental ingest: a file-source stream whose batches are merged into a partitioned store of file rows."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.corpus import changed, file_rows, upserted
-from tessera.sources.commits import Commits
+from tessera.operators.corpus import changed, file_rows
+from tessera.schemas import struct
+from tessera.session import cut, shared_folder
+from tessera.sources.store import Store, Table
 
+__all__ = ["ingest", "merge_batch", "shared_folder", "snapshot", "store_of"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the cluster's checkpoint folder, or a temporary one in local mode."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tessera-")
-    return folder
 
+def store_of(spark: SparkSession, root: str, parts: int = 16) -> Store:
+    store = Store(spark, root, {"file": Table(struct("path string;name string;extension string;hash string;size long"), "path")}, parts=parts)
+    if not store.exists():
+        store.create()
+    return store
 
-def merge_batch(spark: SparkSession, batch: DataFrame, store: str) -> None:
-    """Merges one batch of (path, content) into the store: a new snapshot is written, then committed. Repeating a batch changes nothing."""
-    known = snapshot(spark, store)
+
+def merge_batch(spark: SparkSession, batch: DataFrame, root: str) -> None:
+    """Merges one batch of (path, content) into the store: the partitions of new and changed files are rewritten. Repeating a batch changes nothing."""
+    store = store_of(spark, root)
     # of several rows for a path in one batch the last by hash counts, so the outcome doesn't depend on their order
     incoming = file_rows(batch).groupBy("path").agg(F.max_by(F.struct("name", "extension", "hash", "size"), "hash").alias("_r")).select("path", "_r.*")
-    fresh = changed(incoming, known)
-    target = f"{store}/files-{uuid.uuid4()}"
-    upserted(known, fresh).write.parquet(target)
-    Commits(spark, store).add({"file": target})
+    fresh = cut(changed(incoming, store.table("file")))
+    store.replace(fresh, {"file": fresh})
 
 
-def snapshot(spark: SparkSession, store: str) -> DataFrame:
-    schema = "path string, name string, extension string, hash string, size long"
-    target = Commits(spark, store).latest().get("file")
-    return spark.read.schema(schema).parquet(target) if target else spark.createDataFrame([], schema)
+def snapshot(spark: SparkSession, root: str) -> DataFrame:
+    return store_of(spark, root).table("file")
 
 
 def ingest(spark: SparkSession, source: str, schema: str, store: str, path, content) -> DataFrame:
     """Runs a stream over the Parquet files of a directory until it has seen all that is there, and returns the snapshot. path, content: columns of it."""
     rows = spark.readStream.schema(schema).parquet(source).select(path.alias("path"), content.alias("content"))
-    query = rows.writeStream.foreachBatch(lambda batch, _: merge_batch(spark, batch, store)).option("checkpointLocation", os.path.join(store, "progress")).trigger(availableNow=True).start()
+    query = rows.writeStream.foreachBatch(lambda batch, _: merge_batch(batch.sparkSession, batch, store)).option("checkpointLocation", os.path.join(store, "progress")).trigger(availableNow=True).start()
     query.awaitTermination()
     return snapshot(spark, store)
