@@ -1,4 +1,4 @@
-"""Entities and relations from source text: Python by its own grammar, brace languages by a scanner, the rest by patterns.
+"""Entities and relations from source text: Python by its own grammar, brace languages by a scanner, the rest by the patterns of `blocks`.
 
 A file gives tagged rows of the schema `Extracted`: nodes (kind set) and edges (edge_type set). Rows are per file and in
 order, so the work is a narrow map over files.
@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import ast
 import bisect
-import itertools
-import operator
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera import schemas
+from tessera.functions import text as X
+from tessera.operators import blocks
 from tessera.operators.stats import CALL_KEYWORDS, OTHER_BRANCHES, RUST_BRANCHES
+from tessera.session import cut
 
 COLUMNS = schemas.Extracted.fieldNames()
 _IDENT = r"[^\W\d]\w*"
@@ -545,62 +547,6 @@ def python(path: str, text: str) -> list[dict]:
     return rows.done()
 
 
-# The fallback's patterns and stop words.
-STRUCT_PATTERNS = (r"(?m)^(\s*)(pub\s+)?struct\s+(\w+)", r"(?m)^(\s*)(pub\s+)?enum\s+(\w+)", r"(?m)^(\s*)(export\s+|public\s+|abstract\s+)?(class)\s+(\w+)", r"(?m)^(\s*)type\s+(\w+)\s+struct", r"(?m)^(\s*)(export\s+|public\s+)?interface\s+(\w+)")
-FUNCTION_PATTERNS = (
-    (r"(?m)^(\s*)(pub\s+)?(async\s+)?fn\s+(\w+)", True), (r"(?m)^(\s*)(export\s+)?(async\s+)?function\s+(\w+)", True),
-    (r"(?m)^(\s*)(export\s+)?(const|let|var)\s+(\w+)\s*=\s*(async\s*)?\([^)]*\)\s*=>", False), (r"(?m)^(\s*)(async\s+)?def\s+(\w+)", True), (r"(?m)^(\s*)func\s+(\([^)]*\)\s+)?(\w+)", False),
-    (r"(?m)^(\s*)(public|private|protected)?\s*(static\s+)?(async\s+)?(\w+)\s+(\w+)\s*\(", False),
-)
-STRUCT_STOP = {"pub", "export", "public", "class", "struct", "abstract"}
-FUNCTION_STOP = {"pub", "async", "fn", "function", "export", "const", "let", "var", "def", "func", "public", "private", "protected", "static"}
-NO_FUNCTION = {"if", "for", "while", "match", "switch", "return", "new", "void", "int", "string", "bool"}
-
-
-def _named(m: re.Match, stop: set[str]) -> str:
-    """The last group, trimmed, that is a word and none of the stop words."""
-    words = [g.strip() for g in (m[0], *m.groups()) if g]
-    return next((w for w in reversed(words) if re.fullmatch(r"\w+", w) and w not in stop), "")
-
-
-def _indent(line: str) -> int:
-    return len(line) - len(line.lstrip())
-
-
-def block_end(lines: list[str], begin: int) -> int:
-    """1-based last line of the block that begins at a 0-based line: the first line behind at which the running balance of
-    brackets is none after a block has opened, or the line before if that one belongs to what follows; 50 lines otherwise."""
-    rest = itertools.islice(lines, begin, None)
-    balances = itertools.accumulate(line.count("{") - line.count("}") for line in rest)
-    opens = itertools.accumulate(("{" in line or line.strip().endswith(":") for line in itertools.islice(lines, begin, None)), operator.or_)
-    closed = next((k for k, (balance, opened) in enumerate(zip(balances, opens), begin) if k > begin and opened and balance <= 0), None)
-    if closed is None:
-        return min(begin + 50, len(lines))
-    follows = lines[closed].strip() and _indent(lines[closed]) <= _indent(lines[begin]) and "}" not in lines[closed]
-    return closed if follows else closed + 1
-
-
-def fallback(path: str, text: str) -> list[dict]:
-    """Structs and functions by pattern, in the order of patterns and places, with the calls of each function's block."""
-    rows, lines = Rows(path), text.split("\n")
-    kinds = [(p, "struct", STRUCT_STOP, True) for p in STRUCT_PATTERNS] + [(p, "function", FUNCTION_STOP, simple) for p, simple in FUNCTION_PATTERNS]
-    for pattern, kind, stop, simple in kinds:
-        for m in re.finditer(pattern, text):
-            name = _named(m, stop if simple else set())
-            if not name or kind == "function" and name in NO_FUNCTION:
-                continue
-            begin = text.count("\n", 0, m.start()) + 1
-            end = block_end(lines, min(begin - 1, len(lines) - 1))
-            visible = "public" if "pub" in m[0] or "export" in m[0] else "private"
-            own = rows.node(kind, name, start_line=begin, end_line=end, visibility=visible, is_async="async" in m[0] if kind == "function" else None)
-            rows.edge("contains", f"file:{path}", own)
-            if kind == "function":
-                for call in re.findall(r"\b(\w+)\s*\(", "\n".join(lines[begin - 1 : end])):
-                    if call not in CALL_KEYWORDS:
-                        rows.edge("calls", own, f"function:?:{call}", call_type="direct", is_conditional=False, is_in_loop=False)
-    return rows.done()
-
-
 PARSERS: dict[str, Callable[[str, str], list[dict]]] = {"rs": rust, "ts": typescript, "tsx": typescript, "js": typescript, "jsx": typescript, "mjs": typescript, "cjs": typescript, "py": python, "pyi": python, "go": go, "java": java, "cs": csharp}
 
 
@@ -609,23 +555,29 @@ def register(extension: str, parser: Callable[[str, str], list[dict]]) -> None:
     PARSERS[extension.lower()] = parser
 
 
-def extract_file(path: str, text: str) -> list[dict]:
-    """Rows of one file: by its language's parser, by patterns if there is none or it fails."""
-    parser = PARSERS.get(path.rpartition(".")[2].lower() if "." in path.rpartition("/")[2] else "")
-    if parser:
-        try:
-            return parser(path, text)
-        except (SyntaxError, ValueError, RecursionError, IndexError, KeyError):
-            pass
-    return fallback(path, text)
+def extract_file(path: str, text: str, parsers: dict[str, Callable[[str, str], list[dict]]] = PARSERS) -> list[dict] | None:
+    """Rows of one file by its language's parser; None if there is none or it fails."""
+    parser = parsers.get(path.rpartition(".")[2].lower() if "." in path.rpartition("/")[2] else "")
+    try:
+        return parser(path, text) if parser else None
+    except (SyntaxError, ValueError, RecursionError, IndexError, KeyError):
+        return None
 
 
-def extracted(files: DataFrame) -> DataFrame:
-    """files: path, content → rows of the schema Extracted."""
+#: The kind of a row that stands for a file whose parser failed.
+FAILED = "failed"
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """files: path, content → rows of the schema Extracted, one of kind FAILED for a file that its parser can't read."""
+    parsers = dict(PARSERS)  # as they are registered here, not in the workers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for path, content in zip(batch["path"], batch["content"]) if content for r in extract_file(path, content)]
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                own = extract_file(path, content, parsers) if content else []
+                rows += [dict.fromkeys(COLUMNS) | {"file_path": path, "kind": FAILED, "ordinal": 0}] if own is None else own
             out = pd.DataFrame(rows, columns=COLUMNS)
             for c, kind in zip(COLUMNS, schemas.Extracted):
                 if kind.dataType in (schemas.I,):
@@ -635,3 +587,14 @@ def extracted(files: DataFrame) -> DataFrame:
             yield out
 
     return files.select("path", "content").mapInPandas(run, schemas.Extracted)
+
+
+def extracted(files: DataFrame) -> DataFrame:
+    """files: path, content → rows of the schema Extracted: by parsers where there is one that can read the file, by patterns elsewhere."""
+    files = files.select("path", "content")
+    name = X.file_name(F.col("path"))
+    has_parser = F.coalesce(name.contains(".") & F.lower(F.substring_index(name, ".", -1)).isin(*PARSERS), F.lit(False))
+    made = cut(parsed(files.where(has_parser)))
+    failed = made.where(F.col("kind") == FAILED).select(F.col("file_path").alias("path"))
+    rest = files.where(~has_parser).unionByName(files.where(has_parser).join(failed, "path", "left_semi"))
+    return made.where(F.col("kind") != FAILED).unionByName(blocks.fallback_rows(rest))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import chunking, context, corpus, graph, stats, tasks
-from tessera.plans import extraction, incremental
+from tessera.plans import extraction, incremental, legacy
 from tessera.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -670,5 +670,5 @@ def answer_parse(spark, sf):
     return rows.where("a is not null").select("event_id", "a.summary", F.size("a.findings").alias("findings"), F.size("a.dependencies").alias("dependencies"))
 
 
-QUERIES |= extraction.QUERIES | incremental.QUERIES
-ORACLE_SQL |= extraction.ORACLE_SQL | incremental.ORACLE_SQL
+QUERIES |= extraction.QUERIES | incremental.QUERIES | legacy.QUERIES
+ORACLE_SQL |= extraction.ORACLE_SQL | incremental.ORACLE_SQL | legacy.ORACLE_SQL

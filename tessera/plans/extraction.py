@@ -141,6 +141,14 @@ function|function:{path}:draw|draw|draw|2|4|private|n||||||||||
 edge|contains|file:{path}|function:{path}:draw|||
 edge|calls|function:{path}:draw|function:?:draw|direct|n|n
 edge|calls|function:{path}:draw|function:?:paint|direct|n|n
+"""),
+    "src/broken.rs": ("Half", """
+struct|struct:{path}:{name}|{name}|{name}|1|5|public|||||||||||
+edge|contains|file:{path}|struct:{path}:{name}|||
+function|function:{path}:still_found|still_found|still_found|3|5|public|y||||||||||
+edge|contains|file:{path}|function:{path}:still_found|||
+edge|calls|function:{path}:still_found|function:?:still_found|direct|n|n
+edge|calls|function:{path}:still_found|function:?:step|direct|n|n
 """),
 }
 NODE = ("kind", "id", "name", "qualified_name", "start_line", "end_line", "visibility", "is_async", "parent", "return_type", "signature", "doc_comment", "cyclomatic", "loc", "bases", "members", "fields", "attributes")
@@ -276,11 +284,11 @@ def parsers_by_language(spark, _):
 HEADS = (".rs", ".py", ".ts")
 
 
-@query(f"WITH {_found_sql(*HEADS)} SELECT id, signature, regexp_matches(name, '^\\p{{Lu}}') AS upper, regexp_full_match(name, '\\w+') AS word, regexp_replace(file_path, '^1/', '') AS relative, regexp_replace(regexp_replace(return_type, '^Result<', ''), '>$', '') AS inner_type FROM found WHERE kind = 'function'")
+@query(f"WITH {_found_sql(*HEADS)} SELECT id, signature, regexp_matches(name, '^\\p{{Lu}}') AS upper, regexp_full_match(name, '\\w+') AS word, regexp_replace(file_path, '^1/', '') AS relative, regexp_replace(regexp_replace(return_type, '^Result<', ''), '>$', '') AS inner_type FROM found WHERE kind = 'function' AND signature IS NOT NULL")
 def name_helpers(spark, sf):
     """Signatures are made again from the lines of the files that functions begin at."""
     texts = sources(spark, sf, *HEADS).select(F.col("path").alias("file_path"), "content")
-    rows = found(spark, sf, *HEADS).where("kind = 'function'").join(texts, "file_path")
+    rows = found(spark, sf, *HEADS).where("kind = 'function' AND signature IS NOT NULL").join(texts, "file_path")
     inner = F.regexp_replace(F.regexp_replace("return_type", "^Result<", ""), ">$", "")
     head = X.signature(X.lines_between(F.col("content"), F.col("start_line"), F.col("end_line")))
     return rows.select("id", head.alias("signature"), X.capital(F.col("name")).alias("upper"), X.word(F.col("name")).alias("word"), X.without_prefix(F.col("file_path"), "1").alias("relative"), inner.alias("inner_type"))

@@ -4,9 +4,10 @@ import os
 
 import pytest
 
+from plain import block_end
 from tessera.engine import Engine
 from tessera.functions import vectors as V
-from tessera.operators import extract, graph, tasks
+from tessera.operators import graph, tasks
 from tessera.schemas import struct
 from tessera.sources.store import Store, Table
 
@@ -102,7 +103,7 @@ def test_more_query_vectors_than_travel_at_once(spark, monkeypatch):
 
 def test_block_ends():
     lines = ["fn a() {", "  if x {", "  }", "}", "fn b() {}", "def c():", "    pass", "", "x = 1"]
-    assert [extract.block_end(lines, k) for k in (0, 4, 5)] == [4, 5, 7]
+    assert [block_end(lines, k) for k in (0, 4, 5)] == [4, 5, 7]
 
 
 def test_cursor_of_a_finished_plan(spark):
