@@ -15,7 +15,7 @@ from tessera.operators import chunking, context, corpus, extract, graph, stats
 from tessera.session import cut
 from tessera.sources.config import Config
 from tessera.sources.store import PARTS, Store, Table
-from tessera.sources.trees import read_tree
+from tessera.sources.trees import list_tree, read_tree, unreadable
 
 NODES = ("function", "struct", "trait", "impl", "enum", "const", "static")
 TABLES = {
@@ -54,9 +54,11 @@ class Engine:
 
     def count_indexable(self, root: str) -> int:
         """Files that would be indexed; none is opened."""
-        from tessera.sources.trees import walk
+        return list_tree(self.spark, root, extensions=",".join(corpus.INDEX_EXTENSIONS)).count()
 
-        return sum(1 for _ in walk(root, corpus.INDEX_EXTENSIONS))
+    def unreadable(self, root: str) -> DataFrame:
+        """The files of a directory that indexing leaves out, and why."""
+        return unreadable(self.spark, root, extensions=",".join(corpus.INDEX_EXTENSIONS))
 
     def index(self, files: DataFrame) -> DataFrame:
         """Indexes files (path, content): unchanged ones are skipped, what came from changed ones is replaced as a whole. Returns the statistics."""

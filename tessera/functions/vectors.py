@@ -10,11 +10,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that travel as a constant.
-MOST = 256
+#: Vectors of a block: of queries, and of what is searched.
+QUERIES, CHUNKS = 1024, 16384
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 Embedder = Callable[[Sequence[str]], list[list[float]]]
 
@@ -32,20 +34,56 @@ def top_k(chunks: DataFrame, query: Sequence[float], k: int, vector: str = "embe
     return chunks.withColumn("score", F.round(cosine(F.col(vector), literal), 6)).orderBy(F.desc("score"), *ties).limit(k)
 
 
-def top_k_of_each(queries: Sequence[tuple[int, Sequence[float]]], chunks: DataFrame, k: int, chunk_id: str, vector: str = "embedding") -> DataFrame:
-    """The k most similar chunks of each given query: query_id, chunk_id, score, rank.
-
-    The query vectors travel as a constant, MOST of them at once: more come in blocks, each one more pass over the chunks.
-    Each task keeps k rows a query before anything is shuffled (WindowGroupLimit).
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows; one that is null or of another length than the first whole one is not a number."""
+    rows = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    size = int(sizes[sizes > 0][0]) if (sizes > 0).any() else 0
+    values = rows.flatten()
+    if (sizes == size).all() and not values.null_count:
+        return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)
+    whole = [r if r is not None and len(r) == size and None not in r else [np.nan] * size for r in rows.to_pylist()]
+    return np.array(whole, np.float64).reshape(len(rows), size)
+
+
+def _best_of_block(queries: pa.Table, chunks: pa.Table, k: int) -> pa.Table:
+    """The k best chunks of a block for each query of another."""
+    q, c = _matrix(queries.column("v")), _matrix(chunks.column("v"))
+    if not len(q) or not len(c) or q.shape[1] != c.shape[1]:
+        return _scored([], [], [])
+    lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.where(lengths > 0, np.round(q @ c.T / lengths, 6), np.nan)
+    order = np.lexsort(([-1 if x is None else x for x in chunks.column("id").to_pylist()],))
+    best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]  # what is no number comes last
+    ids, owners = np.array(chunks.column("id").to_pylist(), object), queries.column("id").to_pylist()
+    taken = np.take_along_axis(score, best, axis=1)
+    return _scored([i for i in owners for _ in range(best.shape[1])], ids[best.ravel()].tolist(), [None if np.isnan(x) else x for x in taken.ravel().tolist()])
+
+
+def _scored(owners: list, ids: list, scores: list) -> pa.Table:
+    return pa.table({"query_id": pa.array(owners, pa.int64()), "chunk_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
+
+
+def top_k_of_each(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str, vector: str = "embedding") -> DataFrame:
+    """The k most similar chunks of each query of a table: query_id, chunk_id, score, rank. Both tables: a whole number as id, and a vector.
+
+    Blocks of QUERIES queries meet blocks of CHUNKS chunks, each pair of blocks in one task as a product of matrices, of which
+    k chunks a query go on; these are ranked once more. So chunks are copied once a block of queries, queries once a block of
+    chunks, and no task holds more than two blocks. Ids of queries are distinct. Scores are rounded to six places; ties go to
+    smaller ids; vectors that are null, of no length, or of another size than the others come last, without a score.
     """
-    if len(queries) > MOST:
-        blocks = [top_k_of_each(queries[at : at + MOST], chunks, k, chunk_id, vector) for at in range(0, len(queries), MOST)]
-        return functools.reduce(DataFrame.union, blocks)
-    known = F.array(*[F.struct(F.lit(int(i)).cast("long").alias("id"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for i, v in queries])
-    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("_v"), F.explode(known).alias("_q"))
-    scored = rows.select(F.col("_q.id").alias("query_id"), "chunk_id", F.round(cosine(F.col("_v"), F.col("_q.v")), 6).alias("score"))
+    blocks_q, blocks_c = -(-queries.count() // QUERIES) or 1, -(-chunks.count() // CHUNKS) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def dealt(rows: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        block = F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+        return rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), block.alias(own)).select("*", every(m).alias(other))
+
+    q, c = dealt(queries, query_id, "_q", blocks_q, "_c", blocks_c), dealt(chunks, chunk_id, "_c", blocks_c, "_q", blocks_q)
+    met = q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInArrow(lambda a, b: _best_of_block(a, b, k), "query_id long, chunk_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 @functools.lru_cache(1 << 16)

@@ -1,14 +1,20 @@
-"""Overlapping line chunks as one native fold over the lines of a text."""
+"""Overlapping line chunks. Where a text is cut follows from prefix sums of its lines' sizes, by jumps from cut to cut, so the time is linear in the text."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import trimmed
-
 SIZE = 1000
 BACK = 2
+#: White space as Unicode lists it.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Bytes of texts that are turned into chunks before they are handed on.
+HANDED = 4 << 20
 
 
 def lines_of(content: Column) -> Column:
@@ -18,50 +24,66 @@ def lines_of(content: Column) -> Column:
     return F.when(F.length(content) > 0, F.transform(lines, lambda x: F.regexp_replace(x, "\r$", ""))).otherwise(F.array().cast("array<string>"))
 
 
-def _cuts(lines: Column, fixed: bool) -> Column:
-    """array<struct<low, high, then, upto, first>>: a chunk is the lines low..high-1 and then..upto-1 (from 0); first: its start line.
+def cuts(sizes: np.ndarray, fixed: bool = False) -> list[tuple[int, int, int, int, int]]:
+    """low, high, then, upto, first: a chunk is the lines low..high-1 and then..upto-1 (from 0); first: its start line. sizes: bytes of each line with its end.
 
     When the buffer reaches SIZE bytes at line c, the next one begins with the lines from o - 1 on up to c, o = max(c - BACK, 0).
     Near the top that reaches past c; those lines then come twice, and the start line is 0, unless fixed is set.
     """
-    sizes = F.transform(lines, lambda x: F.octet_length(x) + 1)
-    n = F.size(lines)
-    cut = "struct<low:int,high:int,then:int,upto:int,first:int>"
-    zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("then"), F.lit(0).alias("size"), F.lit(1).alias("first"), F.array().cast(f"array<{cut}>").alias("out"))
-
-    def step(s: Column, size: Column) -> Column:
-        c = s["c"] + 1
-        full = s["size"] + size >= SIZE
-        o = F.greatest(c - BACK, F.lit(0))
-        low = F.greatest(o - 1, F.lit(0))
-        high = F.least(c if fixed else low + (c - o + 1), n)
-        kept = F.aggregate(F.slice(sizes, low + 1, high - low), F.lit(0), lambda a, x: a + x)
-        made = F.struct(s["low"].alias("low"), s["high"].alias("high"), s["then"].alias("then"), c.alias("upto"), s["first"].alias("first"))
-        begin = F.greatest(o, F.lit(1)) if fixed else o
-        return F.struct(
-            c.alias("c"),
-            F.when(full, low).otherwise(s["low"]).alias("low"),
-            F.when(full, high).otherwise(s["high"]).alias("high"),
-            F.when(full, c).otherwise(s["then"]).alias("then"),
-            F.when(full, kept).otherwise(s["size"] + size).cast("int").alias("size"),
-            F.when(full, begin).otherwise(s["first"]).alias("first"),
-            F.when(full, F.concat(s["out"], F.array(made))).otherwise(s["out"]).alias("out"),
-        )
-
-    def finish(s: Column) -> Column:
-        rest = F.struct(s["low"].alias("low"), s["high"].alias("high"), s["then"].alias("then"), s["c"].alias("upto"), s["first"].alias("first"))
-        return F.concat(s["out"], F.array(rest))
-
-    return F.aggregate(sizes, zero, step, finish)
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    n = len(sizes)
+    out, low, high, then, first, kept = [], 0, 0, 0, 1, 0
+    while True:
+        upto = max(int(np.searchsorted(before, before[then] + SIZE - kept)), then + 1)
+        if upto > n:
+            break
+        out.append((low, high, then, upto, first))
+        o = max(upto - BACK, 0)
+        low = max(o - 1, 0)
+        high = min(upto if fixed else low + upto - o + 1, n)
+        then, first, kept = upto, max(o, 1) if fixed else o, int(before[high] - before[low])
+    out.append((low, high, then, n, first))
+    return out
+
+
+def _chunked(content: str, fixed: bool) -> Iterator[tuple[int, int, int, str]]:
+    """ordinal, start_line, end_line, content."""
+    data = content.encode()
+    if b"\r" in data:
+        data = data.replace(b"\r\n", b"\n").removesuffix(b"\r")
+    marks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    ends = marks if data.endswith(b"\n") else np.append(marks, len(data))
+    begins = np.concatenate([[0], marks + 1])[: len(ends)]
+    found = cuts(ends - begins + 1, fixed)
+    for ordinal, (low, high, then, upto, first) in enumerate(found):
+        parts = [data[begins[a] : ends[b - 1]] for a, b in ((low, high), (then, upto)) if b > a]
+        text = b"\n".join(parts).decode().strip(SPACES)
+        if text or ordinal + 1 < len(found):  # only the rest behind the last full chunk may be blank and then falls away
+            yield ordinal, first, upto, text
 
 
 def chunks(files: DataFrame, path: str = "path", content: str = "content", fixed: bool = False) -> DataFrame:
     """file_path, ordinal, start_line, end_line, content of every chunk; files without text have none."""
-    rows = files.select(F.col(path).alias("file_path"), lines_of(F.col(content)).alias("_lines"))
-    cuts = rows.where(F.size("_lines") > 0).select("file_path", "_lines", F.posexplode(_cuts(F.col("_lines"), fixed)).alias("ordinal", "_cut"))
-    part = lambda a, b: F.slice("_lines", F.col(a) + 1, F.greatest(F.col(b) - F.col(a), F.lit(0)))
-    text = trimmed(F.array_join(F.concat(part("_cut.low", "_cut.high"), part("_cut.then", "_cut.upto")), "\n"))
-    last = F.col("_cut.upto") == F.size("_lines")
-    made = cuts.select("file_path", "ordinal", F.col("_cut.first").alias("start_line"), F.col("_cut.upto").alias("end_line"), text.alias("content"), last.alias("_last"))
-    # only the rest behind the last full chunk may be blank and then falls away
-    return made.where((F.col("content") != "") | ~F.col("_last")).drop("_last")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: tuple[list, ...] = ([], [], [], [], [])
+        waiting = 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                if text:
+                    for made in _chunked(text, fixed):
+                        for column, value in zip(rows, (name, *made)):
+                            column.append(value)
+                    waiting += len(text)
+                if waiting > HANDED:
+                    yield _batch(rows)
+                    rows, waiting = ([], [], [], [], []), 0
+        yield _batch(rows)
+
+    return files.select(path, content).mapInArrow(run, "file_path string, ordinal int, start_line int, end_line int, content string")
+
+
+def _batch(rows: tuple[list, ...]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=["file_path", "ordinal", "start_line", "end_line", "content"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.session import cut
 
 # Fixed values.
 MAX_FILE, MAX_TOTAL = 100 * 1024, 500 * 1024
@@ -46,9 +47,11 @@ def rendered_tree(paths: DataFrame, path: str = "path") -> str:
 def within_budget(files: DataFrame, path: str = "path", size: str = "size", max_file: int = MAX_FILE, max_total: int = MAX_TOTAL, excluded: tuple[str, ...] = (), mode: str = "substring") -> DataFrame:
     """The files in path order, each of max_file bytes at most, up to the first that would exceed max_total in all.
 
-    Of files that aren't empty no more than max_total can be taken, so the running sum is over the first max_total + 1 of them
-    (a top-k, no full sort), however many files there are. Empty files are taken up to the one at which the scan stops. It
-    is decided on paths and sizes alone; the taken files' other columns are looked up by path.
+    Of files that aren't empty no more than max_total can be taken, so for a budget of up to ONE_TASK bytes the running sum is
+    over the first max_total + 1 of them (a top-k, no full sort), however many files there are. For larger ones files are dealt
+    out by ranges of the path, whose sums tell in which range the budget ends; ranges behind it are not summed up. Empty files
+    are taken up to the one at which the scan stops. It is decided on paths and sizes alone; the taken files' other columns
+    are looked up by path.
     """
     if set(files.columns) > {path, size}:
         taken = within_budget(files.select(path, size), path, size, max_file, max_total, excluded, mode)
@@ -56,28 +59,54 @@ def within_budget(files: DataFrame, path: str = "path", size: str = "size", max_
     fit = files.where(F.col(size) <= max_file)
     if excluded:
         fit = fit.where(~X.in_excluded_dir(F.col(path), list(excluded), mode))
-    some = fit.where(F.col(size) > 0).orderBy(path).limit(max_total + 1)
-    running = some.withColumn("_sum", F.sum(size).over(Window.orderBy(path).rowsBetween(Window.unboundedPreceding, 0)))
+    running = _running(fit.where(F.col(size) > 0), path, size, max_total)
     stop = running.where(F.col("_sum") > max_total).agg(F.min(path)).scalar()
     empty = fit.where(F.col(size) == 0).where(stop.isNull() | (F.col(path) < stop))
     return running.where(F.col("_sum") <= max_total).drop("_sum").unionByName(empty)
 
 
+#: Rows that a single task may sum up in order.
+ONE_TASK = 1 << 20
+
+
+def _running(rows: DataFrame, path: str, size: str, most: int) -> DataFrame:
+    """rows with _sum, the sizes up to and with each in path order; at least those up to the first beyond `most`."""
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    if most < ONE_TASK:
+        return rows.orderBy(path).limit(most + 1).withColumn("_sum", F.sum(size).over(upto(Window.orderBy(path))))
+    dealt = cut(rows.repartitionByRange(path).withColumn("_range", F.spark_partition_id()))
+    ranges = dealt.groupBy("_range").agg(F.sum(size).alias("_own")).withColumn("_before", F.sum("_own").over(upto(Window.orderBy("_range"))) - F.col("_own"))
+    begun = F.broadcast(ranges.where(F.col("_before") <= most).drop("_own"))  # a row for each partition
+    return dealt.join(begun, "_range").withColumn("_sum", F.col("_before") + F.sum(size).over(upto(Window.partitionBy("_range").orderBy(path)))).drop("_range", "_before")
+
+
 def prompt_parts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """ordinal-free parts of a prompt: path and its section."""
     return files.select(F.col(path).alias("path"), F.concat(F.lit("### "), F.col(path), F.lit("\n```\n"), F.col(content), F.lit("\n```\n")).alias("part"))
 
 
+#: Hits whose names are broadcast; a search gives 15.
+FEW_HITS = 10_000
+
+
 def smart_sections(hits: DataFrame, calls: DataFrame, n: int = 5) -> DataFrame:
     """Search hits with their relations. hits: rank, path, score, start_line, end_line, preview, entity_id, entity_type.
 
-    Adds: source (of a path's first hit), part, and the relation lines, at most n names each.
+    Adds: source (of a path's first hit), part, and the relation lines, at most n names each. The hits are found first; of the
+    calls only those of their names go on, and no more than n names of each are put together.
     """
-    from tessera.operators.graph import lists
+    from tessera.operators.graph import first_names
 
+    hits = cut(hits)
     name = X.bare_name(F.col("entity_id"))
-    deps = lists(calls, "caller_name", "callee_name", n).select(F.col("caller_name").alias("_n"), F.col("names").alias("_deps"))
-    hit = lists(calls, "callee_name", "caller_name", n).select(F.col("callee_name").alias("_n"), F.col("names").alias("_hit"))
+    names = hits.select(name.alias("_n")).where("_n is not null").distinct()
+    names = F.broadcast(names) if hits.count() <= FEW_HITS else names
+
+    def related(by: str, other: str, into: str) -> DataFrame:
+        own = calls.select(by, other).join(names, F.col(by) == F.col("_n"), "left_semi")
+        return first_names(own, by, other, n).select(F.col(by).alias("_n"), F.col("names").alias(into))
+
+    deps, hit = related("caller_name", "callee_name", "_deps"), related("callee_name", "caller_name", "_hit")
     first = F.row_number().over(Window.partitionBy("path").orderBy("rank")) == 1
     span = F.concat(F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
     lead = F.concat(F.lit("- **"), F.col("entity_type"), F.lit("** `"), F.col("entity_id"), F.lit("`"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -54,9 +54,20 @@ def impact(calls: DataFrame, entity: str, loose: bool = False) -> DataFrame:
 
 
 def lists(calls: DataFrame, by: str, other: str, n: int | None = None) -> DataFrame:
-    """For each name the distinct names at the other end, in order, joined by commas; the first n of them."""
+    """For each name the distinct names at the other end, in order, joined by commas, and how many they are; of the names the first n only.
+
+    With n, no more than n names of a name ever meet: each task keeps n of its own (WindowGroupLimit), and they are counted apart.
+    """
     pairs = calls.select(by, other).distinct()
-    return pairs.groupBy(by).agg(X.listed(F.col(other), n).alias("names"), F.count(F.lit(1)).alias("n"))
+    if n is None:
+        return pairs.groupBy(by).agg(X.listed(F.col(other), n).alias("names"), F.count(F.lit(1)).alias("n"))
+    return first_names(calls, by, other, n).join(pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n")), by)
+
+
+def first_names(calls: DataFrame, by: str, other: str, n: int) -> DataFrame:
+    """For each name the first n distinct names at the other end, in order, joined by commas."""
+    ranked = calls.select(by, other).where(F.col(by).isNotNull() & F.col(other).isNotNull()).distinct().withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(other)))
+    return ranked.where(F.col("_rank") <= n).groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(other)), ", ").alias("names"))
 
 
 def style(category: Column) -> tuple[Column, Column]:

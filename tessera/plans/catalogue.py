@@ -256,8 +256,16 @@ def search_with_filter(spark, sf):
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5""")
 def semantic_search_batch(spark, sf):
     rows = t(spark, sf, "embeddings")
-    chosen = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"), F.min("vec_id").alias("id")).limit(V.MOST + 1).collect()  # one query a label
-    return V.top_k_of_each([(r["id"], r["v"]) for r in chosen], rows, 5, "vec_id")
+    chosen = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("id"))  # one query a label
+    return V.top_k_of_each(chosen, rows, 5, "id", "vec_id")
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {COSINE.format(a='e.embedding', b='q.embedding')} AS score FROM embeddings e, embeddings q)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 3""")
+def semantic_search_all(spark, sf):
+    """Every vector of the table asks."""
+    rows = t(spark, sf, "embeddings")
+    return V.top_k_of_each(rows, rows, 3, "vec_id", "vec_id")
 
 
 @query("SELECT doc_id, left(text, 200) AS preview, array_to_string(string_split(left(text, 200), chr(10))[1:3], chr(10)) AS lines FROM documents")

@@ -1,9 +1,13 @@
-"""Directory trees as a Spark data source: listed on the driver, read in partitions.
+"""Directory trees as a Spark data source, listed and read in partitions.
+
+The driver looks only at folders of the top levels, until there are enough to deal out; each partition lists what is below
+its folder itself, and where folders are few, each is dealt out to several partitions by a hash of the paths.
 
 Spark's own file sources hide names that begin with an underscore, so `__init__.py` would be lost. Hidden entries are
 skipped; .gitignore and .ignore files are honoured, those of the folders above too (.gitignore as far up as the repository
 goes), and the repository's and the user's own lists of excluded names. An .ignore file counts for more than all others, a
-deeper file for more than one above it. Files that aren't valid UTF-8 are left out (strict=true: they fail the read).
+deeper file for more than one above it. Files that can't be read or aren't valid UTF-8 are rows of `unreadable`
+and left out elsewhere (strict=true: they fail the read).
 """
 
 from __future__ import annotations
@@ -11,10 +15,12 @@ from __future__ import annotations
 import fnmatch
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -75,38 +81,68 @@ def _rules_above(root: str) -> Rules:
     return out
 
 
-def walk(root: str, extensions: tuple[str, ...] | None = None, max_size: int | None = None) -> Iterator[tuple[str, int]]:
+def _folder(root: str, base: str, rules: Rules) -> tuple[list[os.DirEntry], list[tuple[str, Rules]]]:
+    """The files of one folder that no rule drops, in order, and the folders below it with what holds there."""
+    try:
+        with os.scandir(os.path.join(root, base)) as found:
+            entries = sorted(found, key=lambda e: e.name)
+    except OSError:
+        return [], []
+    for e in entries:
+        if e.name in (".gitignore", ".ignore"):
+            rules = rules.with_file(e.path, base)
+    files, below = [], []
+    for e in entries:
+        path = f"{base}/{e.name}" if base else e.name
+        if e.name.startswith(".") or rules.ignore(path, e.is_dir(follow_symlinks=False)):
+            continue
+        if e.is_dir(follow_symlinks=False):
+            below.append((path, rules))
+        elif e.is_file():
+            files.append(e)
+    return files, below
+
+
+@dataclass
+class Part(InputPartition):
+    """A folder, with all below it or its own files only; of these the k-th of n shares by a hash of the path."""
+
+    base: str
+    rules: Rules
+    deep: bool
+    k: int = 0
+    n: int = 1
+
+
+def planned(root: str, wanted: int, levels: int = 3) -> list[Part]:
+    """Folders of the top levels, as many as wanted if there are; fewer folders are shared."""
+    parts = [Part("", _rules_above(root), True)]
+    for _ in range(levels):
+        if len(parts) >= wanted or not any(p.deep for p in parts):
+            break
+        found = [(p, _folder(root, p.base, p.rules)[1] if p.deep else []) for p in parts]
+        parts = [x for p, below in found for x in [Part(p.base, p.rules, False), *(Part(base, rules, True) for base, rules in below)]]
+    shares = max(1, wanted // len(parts))
+    return [Part(p.base, p.rules, p.deep, k, shares) for p in parts for k in range(shares)]
+
+
+def walk(root: str, extensions: tuple[str, ...] | None = None, max_size: int | None = None, part: Part | None = None) -> Iterator[tuple[str, int]]:
     """Relative path and size of the files to index, in order; no file is opened."""
-    waiting: list[tuple[str, Rules]] = [("", _rules_above(root))]
+    part = part or Part("", _rules_above(root), True)
+    waiting = [(part.base, part.rules)]
     while waiting:
         base, rules = waiting.pop()
-        try:
-            entries = sorted(os.scandir(os.path.join(root, base)), key=lambda e: e.name)
-        except OSError:
-            continue
-        for e in entries:
-            if e.name in (".gitignore", ".ignore"):
-                rules = rules.with_file(e.path, base)
-        below = []
-        for e in entries:
+        files, below = _folder(root, base, rules)
+        for e in files:
             path = f"{base}/{e.name}" if base else e.name
-            if e.name.startswith(".") or rules.ignore(path, e.is_dir(follow_symlinks=False)):
+            stem, dot, extension = e.name.rpartition(".")
+            if extensions is not None and (not dot or not stem or extension not in extensions) or part.n > 1 and zlib.crc32(path.encode(errors="surrogateescape")) % part.n != part.k:
                 continue
-            if e.is_dir(follow_symlinks=False):
-                below.append((path, rules))
-            elif e.is_file():
-                stem, dot, extension = e.name.rpartition(".")
-                if extensions is not None and (not dot or not stem or extension not in extensions):
-                    continue
-                size = e.stat().st_size
-                if max_size is None or size <= max_size:
-                    yield path, size
-        waiting += reversed(below)
-
-
-@dataclass
-class Files(InputPartition):
-    names: list[str]
+            size = e.stat().st_size
+            if max_size is None or size <= max_size:
+                yield path, size
+        if part.deep:
+            waiting += reversed(below)
 
 
 class TreeReader(DataSourceReader):
@@ -116,45 +152,59 @@ class TreeReader(DataSourceReader):
         self.extensions = tuple(listed.split(",")) if listed else None
         self.max_size = int(options["maxsize"]) if options.get("maxsize") else None
         self.strict = options.get("strict", "false").lower() == "true"
-        self.bytes = int(options.get("partitionbytes", 16 << 20))
-
-    def partitions(self) -> list[Files]:
-        out, names, size = [], [], 0
-        for name, n in walk(self.root, self.extensions, self.max_size):
-            names.append(name)
-            size += n
-            if size >= self.bytes:
-                out.append(Files(names))
-                names, size = [], 0
-        return [*out, Files(names)] if names or not out else out
-
-    def read(self, partition: Files) -> Iterator[tuple]:
-        for name in partition.names:
+        self.opens = options.get("open", "true").lower() == "true"
+        self.wanted = int(options.get("partitions", 16))
+
+    def partitions(self) -> list[Part]:
+        return planned(self.root, self.wanted)
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        for name, size in walk(self.root, self.extensions, self.max_size, partition):
+            shown = name.encode(errors="surrogateescape").decode(errors="replace")  # names may be no UTF-8 either
+            if not self.opens:
+                yield shown, size, None, None
+                continue
             try:
                 with open(os.path.join(self.root, name), encoding="utf-8", newline="") as f:
-                    yield name, f.read()
-            except (OSError, UnicodeDecodeError):
+                    yield shown, size, f.read(), None
+            except (OSError, UnicodeDecodeError) as error:
                 if self.strict:
                     raise
+                yield shown, size, None, type(error).__name__
 
 
 class TreeSource(DataSource):
-    """Options: path, extensions (comma-separated), maxSize, strict, partitionBytes. Columns: path, content."""
+    """Options: path, extensions (comma-separated), maxSize, strict, open (false: paths and sizes only), partitions (about as many)."""
 
     @classmethod
     def name(cls) -> str:
         return "source_tree"
 
     def schema(self) -> str:
-        return "path string, content string"
+        return "path string, size long, content string, fault string"
 
     def reader(self, schema) -> TreeReader:
         return TreeReader(dict(self.options))
 
 
-def read_tree(spark: SparkSession, root: str, **options):
+def _tree(spark: SparkSession, root: str, **options) -> DataFrame:
     spark.dataSource.register(TreeSource)
     reader = spark.read.format("source_tree").option("path", root)
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.load()
+
+
+def read_tree(spark: SparkSession, root: str, **options) -> DataFrame:
+    """path, content."""
+    return _tree(spark, root, **options).where(F.col("fault").isNull()).select("path", "content")
+
+
+def list_tree(spark: SparkSession, root: str, **options) -> DataFrame:
+    """path, size; no file is opened."""
+    return _tree(spark, root, open="false", **options).select("path", "size")
+
+
+def unreadable(spark: SparkSession, root: str, **options) -> DataFrame:
+    """path, size, fault of the files that read_tree leaves out."""
+    return _tree(spark, root, **options).where(F.col("fault").isNotNull()).select("path", "size", "fault")

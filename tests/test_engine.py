@@ -144,7 +144,9 @@ def test_last_and_first_wins(spark):
         assert ids["a"] == "struct:g.rs:2:a" and ids["m::a"] == "fn:f.rs:1:a" and ids["b"] == "fn:h.rs:4:b" and ids["function:f.rs:b"] == "fn:f.rs:3:b"
 
 
-def test_budget_stops_at_the_first_overflow(spark):
+@pytest.mark.parametrize("one_task", [context.ONE_TASK, 10])
+def test_budget_stops_at_the_first_overflow(spark, monkeypatch, one_task):
+    monkeypatch.setattr(context, "ONE_TASK", one_task)
     draw = random.Random(1)
     for _ in range(6):
         files = [(f"p{k:03}", draw.choice([0, 0, 5, 20, 60, 200])) for k in range(40)]

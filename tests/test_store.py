@@ -2,12 +2,13 @@
 
 import os
 
+import numpy as np
 import pytest
 
 from plain import block_end
 from tessera.engine import Engine
 from tessera.functions import vectors as V
-from tessera.operators import graph, tasks
+from tessera.operators import chunking, context, graph, tasks
 from tessera.schemas import struct
 from tessera.sources.store import Store, Table
 
@@ -94,11 +95,42 @@ def test_columns_that_older_files_lack_have_defaults(spark, tmp_path):
     assert [tuple(r) for r in Store(spark, str(tmp_path / "s"), new).table("file").collect()] == [("a", "private", None)]
 
 
-def test_more_query_vectors_than_travel_at_once(spark, monkeypatch):
-    monkeypatch.setattr(V, "MOST", 2)
-    rows = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(6)], "id long, embedding array<double>")
-    found = V.top_k_of_each([(k, [1.0, float(k)]) for k in range(5)], rows, 1, "id").collect()
-    assert sorted((r.query_id, r.chunk_id) for r in found) == [(k, k) for k in range(5)]
+@pytest.mark.parametrize("blocks", [(2, 3), (1, 100), (1024, 16384)])
+def test_blocks_of_queries_meet_blocks_of_chunks(spark, monkeypatch, blocks):
+    monkeypatch.setattr(V, "QUERIES", blocks[0])
+    monkeypatch.setattr(V, "CHUNKS", blocks[1])
+    schema = "id long, embedding array<double>"
+    rows = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(6)] + [(6, [0.0, 0.0]), (7, None), (8, [1.0]), (9, [1.0, 5.0])], schema)
+    found = V.top_k_of_each(rows.where("id < 6"), rows, 2, "id", "id").collect()
+    assert len(found) == 12 and {(r.query_id, r.chunk_id) for r in found if r.rank == 1} == {(k, k) for k in range(6)}
+    assert [(r.chunk_id, r.score) for r in found if r.query_id == 5] == [(5, 1.0), (9, 1.0)]  # a tie
+    every = V.top_k_of_each(rows.where("id = 1"), rows, 20, "id", "id").collect()
+    assert [r["rank"] for r in every] == list(range(1, len(every) + 1)) and {r.chunk_id for r in every if r.score is not None} == {0, 1, 2, 3, 4, 5, 9}
+    assert V.top_k_of_each(rows.limit(0), rows, 2, "id", "id").count() == 0 == V.top_k_of_each(rows, rows.limit(0), 2, "id", "id").count()
+
+
+def test_relations_of_hits_filter_calls_first(spark):
+    calls = spark.createDataFrame([("a", f"x{k:02}") for k in range(20)] * 3 + [("b", "a"), ("c", "d")], "caller_name string, callee_name string")
+    hits = spark.createDataFrame([(1, "p", 0.5, 1, 2, "text", "function:p:a", "function"), (2, "p", 0.4, 3, 4, None, "function:p:`b`", "function"), (3, "q", 0.3, 1, 1, "t", None, "file")], "rank long, path string, score double, start_line int, end_line int, preview string, entity_id string, entity_type string")
+    made = context.smart_sections(hits, calls)
+    found = {r["rank"]: r for r in made.collect()}
+    assert found[1].calls == "- **function** `function:p:a` calls: x00, x01, x02, x03, x04" and found[1].called_by == "- **function** `function:p:a` is called by: b"
+    assert found[2].calls.endswith("calls: a") and found[2].called_by is None and found[3].calls is None
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("LeftSemi, BuildRight") == 2 and plan.count("WindowGroupLimit") == 4  # broadcast first; partial and final
+    assert [tuple(r) for r in graph.lists(calls, "caller_name", "callee_name", 2).orderBy("caller_name").collect()] == [("a", "x00, x01", 20), ("b", "a", 1), ("c", "d", 1)]
+
+
+def test_cuts_take_linear_time():
+    import time
+
+    took = []
+    for n in (200_000, 2_000_000):
+        sizes = np.random.default_rng(1).integers(1, 90, n)
+        begin = time.perf_counter()
+        assert chunking.cuts(sizes)[-1][3] == n
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 40 * took[0]
 
 
 def test_block_ends():
