@@ -40,33 +40,40 @@ from tessera.llm.common import runs_of_texts, stored
 from tessera.llm.token_counts import MARK, provable_cuts
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: An id of B has that many bits in a pair.
-BITS = 15
+#: An id of B has that many bits in a pair; either id has that many in a transition.
+BITS, TOKEN_BITS = 15, 17
 #: Pairs that travel to all executors, 17 bytes each.
 BROADCAST = 1 << 21
-#: Parts that are looked up at once.
-SLICE = 200_000
+#: Parts that are looked up at once; parts that A encodes at once.
+SLICE, JOINED = 200_000, 100
 
 
 class Transducer:
-    """States are numbers; 0 has no suffix. A state leads for A (1), B (2) or none (0)."""
+    """States are numbers; 0 has no suffix. A state leads for A (1), B (2) or none (0). A transition's key is state and token in one number."""
 
     REMEMBERED = 1_000_000
 
     def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]):
         self.bytes = (a_bytes, b_bytes)
-        self.states: dict[tuple[int, bytes], int] = {(0, b""): 0}
+        self.said = tuple([str(k) for k in range(len(x))] for x in self.bytes)
+        self.forget()
+
+    def forget(self) -> None:
+        self.states: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
         self.leads: list[int] = [0]
         self.suffix: list[bytes] = [b""]
-        self.moves: dict[tuple[int, int], int] = {}
+        self.moves: dict[int, int] = {}
 
     def _state(self, lead: int, suffix: bytes) -> int:
-        key = (lead if suffix else 0, suffix)
-        if key not in self.states:
-            self.states[key] = len(self.leads)
-            self.leads.append(key[0])
+        if not suffix:
+            return 0
+        known = self.states[lead - 1]
+        state = known.get(suffix)
+        if state is None:
+            state = known[suffix] = len(self.leads)
+            self.leads.append(lead)
             self.suffix.append(suffix)
-        return self.states[key]
+        return state
 
     def _moved(self, state: int, token: int) -> int:
         """The state after the side behind (A, if none leads) has taken a token; -1 if its bytes are not those that dangle."""
@@ -77,30 +84,38 @@ class Transducer:
             return self._state(lead, suffix[len(new) :])
         return self._state(own, new[len(suffix) :]) if new.startswith(suffix) else -1
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[int]] | None:
-        """The groups, and the links as pairs of ids in one number; None if the bytes differ."""
-        if len(self.moves) > self.REMEMBERED or len(self.leads) > self.REMEMBERED:
-            self.__init__(*self.bytes)
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]] | None:
+        """The groups as text, and the links as pairs of ids in one number; None if the bytes differ."""
         moves, leads = self.moves, self.leads
-        groups, links = [], []
-        state = i = j = begun_a = begun_b = 0
-        while i < len(a) or j < len(b):
-            by_a = leads[state] != 1
-            if i == len(a) if by_a else j == len(b):
-                return None
-            token = a[i] if by_a else b[j]
-            if state:
-                links.append(token << BITS | b[j - 1] if by_a else a[i - 1] << BITS | token)
-            i, j = i + by_a, j + (not by_a)
-            key = (state, token)
+        said_a, said_b = self.said
+        groups, links, of_a, of_b = [], [], [], []
+        state = i = j = last_a = last_b = 0
+        n, m = len(a), len(b)
+        while i < n or j < m:
+            if leads[state] == 1:
+                if j == m:
+                    return None
+                token = last_b = b[j]
+                links.append(last_a << BITS | token)
+                of_b.append(said_b[token])
+                j += 1
+            else:
+                if i == n:
+                    return None
+                token = last_a = a[i]
+                if state:
+                    links.append(token << BITS | last_b)
+                of_a.append(said_a[token])
+                i += 1
+            key = state << TOKEN_BITS | token
             state = moves.get(key, -2)
             if state == -2:
-                state = moves[key] = self._moved(*key)
+                state = moves[key] = self._moved(key >> TOKEN_BITS, token)
             if state < 0:
                 return None
             if not state:
-                groups.append((a[begun_a:i], b[begun_b:j]))
-                begun_a, begun_b = i, j
+                groups.append(f"{','.join(of_a)}|{','.join(of_b)}")
+                of_a, of_b = [], []
         return (groups, links) if not state else None
 
 
@@ -130,7 +145,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         n = self.b.get_piece_size()
-        if n > 1 << BITS or self.a.get_vocab_size() > 1 << 31 - BITS:
+        if n > 1 << BITS or self.a.get_vocab_size() > 1 << min(31 - BITS, TOKEN_BITS):
             raise ValueError("a vocabulary is too large for pairs of 31 bits")
         pieces = [self.b.id_to_piece(i) for i in range(n)]
         entries = self.a.get_vocab(with_added_tokens=False)
@@ -138,6 +153,7 @@ class Aligner:
         for entry, i in entries.items():
             of_a[i] = byte_level(entry)
         self.transducer = Transducer(of_a, [piece_bytes(p) for p in pieces])
+        self.a_sizes = np.fromiter(map(len, of_a), np.int64, len(of_a))
         by_mark, single = provable_cuts([p for i, p in enumerate(pieces) if not (self.b.is_control(i) or self.b.is_byte(i) or self.b.is_unknown(i))])
         self.mark = [i for i in (self.b.piece_to_id(MARK),) if pieces[i] == MARK]
         self.usable = by_mark and bool(self.mark) and self._plain_a(a_file) and self.b.encode("a", out_type=str)[0].startswith(MARK)
@@ -181,25 +197,53 @@ class Aligner:
         if len(self.places) > self.REMEMBERED:
             self.clear()
 
+    def _a_ids(self, parts: list[str]) -> list[list[int]]:
+        """A's ids of each part. Parts begin where a token does, behind whatever ends with another character than white space: so they are encoded JOINED at once, and told apart by their bytes."""
+        out: list[list[int]] = [[]] * len(parts)
+        joined = [k for k, p in enumerate(parts) if self.usable and not p[-1].isspace()]
+        alone = sorted(set(range(len(parts))) - set(joined))
+        sizes = self.a_sizes
+        runs = [joined[k : k + JOINED] for k in range(0, len(joined), JOINED)]
+        for run, found in zip(runs, self.a.encode_batch_fast(["".join([parts[k] for k in run]) for run in runs], add_special_tokens=False)):
+            ids = found.ids
+            ends = np.cumsum(sizes[ids])
+            want = np.cumsum([len(parts[k].encode()) for k in run])
+            cut = np.searchsorted(ends, want)
+            if ends[-1] != want[-1] or (ends[cut] != want).any():  # not what the proof says: each by itself
+                alone += run
+                continue
+            begin = 0
+            for k, end in zip(run, (cut + 1).tolist()):
+                out[k] = ids[begin:end]
+                begin = end
+        for k, found in zip(alone, self.a.encode_batch_fast([parts[k] for k in alone], add_special_tokens=False)):
+            out[k] = found.ids
+        return out
+
     def learn(self, parts: Iterable[str]) -> None:
         """Gives numbers to parts."""
-        new = [p for p in dict.fromkeys(parts) if p not in self.places]
+        places = self.places
+        new = [p for p in dict.fromkeys(parts) if p not in places]
         if not new:
             return
-        sizes, pairs, ends = np.zeros((len(new), 5), np.int64), [], []
-        for k, (p, a, b) in enumerate(zip(new, self.a.encode_batch(new, add_special_tokens=False), self._b_ids(new))):
-            a, raw = a.ids, p.encode()
-            of_a, of_b = self.transducer.bytes
-            found = self.transducer.align(a, b) if b"".join([of_a[x] for x in a]) == raw == b"".join([of_b[x] for x in b]) else None
+        if len(self.transducer.moves) > Transducer.REMEMBERED:
+            self.transducer.forget()
+        align, bytes_a = self.transducer.align, self.transducer.bytes[0].__getitem__
+        sizes, pairs, ends = [], [], []
+        for p, a, b in zip(new, self._a_ids(new), self._b_ids(new)):
+            # A spells the part, and B what A spells
+            found = align(a, b) if b"".join(map(bytes_a, a)) == p.encode() else None
             if found is None:
-                sizes[k, 4] = 1
+                sizes += 0, 0, 0, 0, 1
+                self.groups.append("")
             else:
-                sizes[k, :4] = len(a), len(b), len(found[0]), len(found[1])
-                pairs += found[1]
-            self.groups.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found[0]) if found else "")
+                groups, links = found
+                sizes += len(a), len(b), len(groups), len(links), 0
+                pairs += links
+                self.groups.append(";".join(groups))
             ends.append(len(pairs))
-            self.places[p] = len(self.places)
-        self.sizes = np.concatenate([self.sizes, sizes])
+            places[p] = len(places)
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64).reshape(-1, 5)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.array(ends, np.int64)])
         self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
 
@@ -223,19 +267,20 @@ def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[begin], np.add.reduceat(times, begin) if len(begin) else times
 
 
-def _aligned(tool: Aligner, slices: Iterable[list[str]]) -> tuple[list[int], str, np.ndarray, np.ndarray]:
-    """Counts, hash, distinct pairs and how often they are linked, of one text in slices of parts."""
+def _aligned(tool: Aligner, slices: Iterable[list[str]], known: bool = False) -> tuple[list[int], str, np.ndarray, np.ndarray]:
+    """Counts, hash, distinct pairs and how often they are linked, of one text in slices of parts. known: whether the parts have been learnt."""
     total, said, keys, times = np.zeros(5, np.int64), hashlib.sha256(), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for k, parts in enumerate(slices):
-        if k:
-            tool.forget()
-        tool.learn(parts)
-        at = np.fromiter(map(tool.places.__getitem__, parts), np.int64, len(parts))
+        if not known:
+            if k:
+                tool.forget()
+            tool.learn(parts)
+        places = list(map(tool.places.__getitem__, parts))
+        at = np.array(places, np.int64)
         total += tool.sizes[at].sum(axis=0)
-        said.update((";" * bool(k) + ";".join(map(tool.groups.__getitem__, at.tolist()))).encode())
-        own, count = _summed(at, np.ones(len(at), np.int64))
-        pairs = tool.linked(own)
-        keys, times = _summed(np.concatenate([keys, pairs]), np.concatenate([times, np.repeat(count, tool.ends[own + 1] - tool.ends[own])]))
+        said.update((";" * bool(k) + ";".join(map(tool.groups.__getitem__, places))).encode())
+        pairs = tool.linked(at)
+        keys, times = _summed(np.concatenate([keys, pairs]), np.concatenate([times, np.ones(len(pairs), np.int64)]))
     if total[4] or not total[0]:
         return [0] * 4, "", keys[:0], times[:0]
     return total[:4].tolist(), said.hexdigest(), keys, times
@@ -253,11 +298,11 @@ def align_rows(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> D
                 counts, hashes, pairs, times = [], [], [], []
                 tool.forget()
                 cut = [tool.parts(t) if t else () for t in texts.to_pylist()]
-                if len(cut) > 1:  # texts of a run are short enough to be cut and looked up together
+                if together := len(cut) > 1:  # texts of a run are short enough to be cut and looked up together
                     cut = [list(x) for x in cut]
                     tool.learn(chain.from_iterable(chain.from_iterable(cut)))
                 for slices in cut:
-                    n, said, keys, count = _aligned(tool, slices)
+                    n, said, keys, count = _aligned(tool, slices, together)
                     counts.append(n)
                     hashes.append(said)
                     pairs.append(np.asarray(keys, np.int32))

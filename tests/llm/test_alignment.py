@@ -62,7 +62,7 @@ def texts():
     return [(k, t) for k, t in enumerate(TEXTS)] + [(100 + k, "".join(draw.choices(alphabet, k=draw.randint(0, 60)))) for k in range(250)] + [(1, "a"), (1, "a"), (None, "no id"), (None, None)]
 
 
-@pytest.mark.parametrize("bounds", [(align.SLICE, align.BROADCAST, 300_000), (7, 40, 20), (7, 0, 20)])
+@pytest.mark.parametrize("bounds", [(align.SLICE, align.BROADCAST, align.Aligner.REMEMBERED), (7, 40, 20), (7, 0, 20)])
 def test_alignment_equals_brute_force(spark, monkeypatch, bounds):
     """Also in small slices, with hardly anything remembered, and with rare or all pairs joined by a shuffle."""
     monkeypatch.setattr(align, "SLICE", bounds[0])
@@ -98,8 +98,8 @@ def test_long_texts_come_in_slices(spark):
 
 def test_transitions_depend_on_suffix_and_token():
     made = align.Transducer([b"ab", b"c", b"d"], [b"a", b"bc", b"cd"])
-    assert made.align([0, 1], [0, 1]) == ([([0, 1], [0, 1])], [0 << align.BITS | 0, 0 << align.BITS | 1, 1 << align.BITS | 1])
-    assert set(made.states) == {(0, b""), (1, b"ab"), (1, b"b"), (2, b"c")} and len(made.moves) == 4
+    assert made.align([0, 1], [0, 1]) == (["0,1|0,1"], [0 << align.BITS | 0, 0 << align.BITS | 1, 1 << align.BITS | 1])
+    assert [set(x) for x in made.states] == [{b"ab", b"b"}, {b"c"}] and len(made.moves) == 4
     assert made.align([0, 1], [0, 1])[1] and len(made.moves) == 4
     assert made.align([0], [0]) is None and made.align([0, 2], [0, 1]) is None and made.align([], []) == ([], [])
 
