@@ -14,6 +14,7 @@ from tessera.functions import vectors as V
 from tessera.operators import chunking, context, corpus, extract, graph, stats
 from tessera.session import cut
 from tessera.sources.config import Config
+from tessera.sources.documents import write_document
 from tessera.sources.store import PARTS, Store, Table
 from tessera.sources.trees import list_tree, read_tree, unreadable
 
@@ -132,6 +133,13 @@ class Engine:
     def graph(self) -> tuple[DataFrame, DataFrame]:
         return graph.graph(self._graph_rows(), self.calls())
 
+    def write_graph(self, path: str) -> None:
+        """The document of graph_json as ordered parts, written in parallel (`sources.documents.read_document`)."""
+        nodes, edges = self.graph()
+        rows = [df.select(F.lit(k).alias("section"), F.struct(*df.columns[:3]).alias("place"), F.to_json(F.struct(*df.columns)).alias("text")) for k, df in enumerate((nodes, edges))]
+        order = [r.withColumn("place", F.to_json("place")) for r in rows]
+        write_document(order[0].unionByName(order[1]), path, ("place",), head='{"nodes":[', between=",\n", joint='],\n"edges":[', tail="]}\n")
+
     def graph_json(self) -> DataFrame:
         """One JSON document of nodes and edges for a viewer. A renderer: the graph goes into one row."""
         nodes, edges = self.graph()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.session import cut
+from tessera.sources.documents import write_document
 
 # Fixed values.
 MAX_FILE, MAX_TOTAL = 100 * 1024, 500 * 1024
@@ -29,19 +30,35 @@ def tree_entries(paths: DataFrame, path: str = "path") -> DataFrame:
     return rows.distinct()
 
 
+def tree_lines(paths: DataFrame, path: str = "path") -> DataFrame:
+    """entry, place (arrays in the order of the tree, directories first), text: a line of the tree for every file and directory.
+
+    The last entry below each directory is an aggregate, so a directory of very many files is no hot spot; what stands in
+    front of a name follows from which of the directories above it are the last of theirs.
+    """
+    entries = cut(tree_entries(paths, path))
+    last = entries.groupBy("parent").agg(F.max(F.struct((~F.col("is_dir")).alias("plain"), "name")).alias("_last"))
+    flagged = entries.join(last, "parent").withColumn("is_last", F.struct((~F.col("is_dir")).alias("plain"), "name") == F.col("_last")).drop("_last")
+    steps = entries.where("depth > 1").select("entry", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("at"), F.split("entry", "/").alias("_p"))
+    above = steps.select("entry", "at", F.array_join(F.slice("_p", 1, F.col("at")), "/").alias("_above"))
+    # of the directories only; what is below one of them is put together before it is shuffled
+    lead = above.join(flagged.where("is_dir").select(F.col("entry").alias("_above"), F.col("is_last").alias("_closed")), "_above").groupBy("entry").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "_closed"))), lambda x: F.when(x["_closed"], "    ").otherwise("│   ")), "").alias("lead")
+    )
+    names = F.split("entry", "/")
+    place = F.transform(names, lambda n, k: F.concat(F.when((k + 1 < F.col("depth")) | F.col("is_dir"), "0").otherwise("1"), n))
+    text = F.concat(F.coalesce("lead", F.lit("")), F.when(F.col("is_last"), "└── ").otherwise("├── "), "name", F.when(F.col("is_dir"), "/").otherwise(""))
+    return flagged.join(lead, "entry", "left").select("entry", place.alias("place"), text.alias("text"))
+
+
+def write_tree(paths: DataFrame, to: str, path: str = "path") -> None:
+    """The tree as an ordered document, written in parallel."""
+    write_document(tree_lines(paths, path).withColumn("section", F.lit(0)), to, ("place",), tail="")
+
+
 def rendered_tree(paths: DataFrame, path: str = "path") -> str:
-    """The tree as text, directories first. A renderer: it brings the entries to the driver."""
-    below: dict[str, list[tuple[bool, str, str]]] = {}
-    for r in tree_entries(paths, path).collect():
-        below.setdefault(r["parent"], []).append((not r["is_dir"], r["name"], r["entry"]))
-    out: list[str] = []
-    waiting = [(entry, name, plain, "", k == 0) for k, (plain, name, entry) in enumerate(sorted(below.get("", []), reverse=True))]
-    while waiting:
-        entry, name, plain, lead, last = waiting.pop()
-        out.append(f"{lead}{'└── ' if last else '├── '}{name}{'' if plain else '/'}")
-        lead += "    " if last else "│   "
-        waiting += [(e, n, p, lead, k == 0) for k, (p, n, e) in enumerate(sorted(below.get(entry, []), reverse=True))]
-    return "\n".join(out)
+    """The tree as text, directories first, for the files of a prompt: as many lines as its budget has files come to the driver."""
+    return "\n".join(r["text"] for r in tree_lines(paths, path).orderBy("place").collect())
 
 
 def within_budget(files: DataFrame, path: str = "path", size: str = "size", max_file: int = MAX_FILE, max_total: int = MAX_TOTAL, excluded: tuple[str, ...] = (), mode: str = "substring") -> DataFrame:

@@ -16,6 +16,7 @@ from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import chunking, context, corpus, graph, stats, tasks
 from tessera.plans import extraction, incremental, legacy
+from tessera.sources import documents
 from tessera.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -485,6 +486,16 @@ def graph_filter(spark, sf):
     return graph.nodes(entities(spark, sf)).where(F.col("category").isin("function", "impl")).select("key", (label.contains("asia") | label.contains("12")).alias("matches"))
 
 
+@query(GRAPH + "SELECT src, rel, dst FROM edges")
+def graph_document(spark, sf):
+    """The edges of the graph, written in parallel as one ordered document and read back from its parts."""
+    _, edges = graph.graph(entities(spark, sf), calls(spark, sf))
+    path = f"{ingest.shared_folder(spark)}/document-{uuid.uuid4()}"
+    documents.write_document(edges.select(F.lit(0).alias("section"), "src", "dst", F.to_json(F.struct("src", "rel", "dst")).alias("text")), path, ("src", "dst"))
+    text = spark.read.text(f"{path}/part-*")
+    return text.select(F.from_json("value", "src string, rel string, dst string").alias("e")).select("e.*")
+
+
 @query(GRAPH + "SELECT category, min(color) AS color, count(*) AS n FROM nodes GROUP BY category ORDER BY category")
 def graph_categories(spark, sf):
     return graph.nodes(entities(spark, sf)).groupBy("category").agg(F.min_by("color", "key").alias("color"), F.count(F.lit(1)).alias("n")).orderBy("category")
@@ -498,6 +509,15 @@ def dir_tree_entries(spark, sf):
     return context.tree_entries(files(spark, sf))
 
 
+@query(f"""WITH {FILES}, p AS (SELECT string_split(path, '/') AS p FROM files), s AS (SELECT p, unnest(range(1, len(p) + 1)) AS depth FROM p),
+e AS (SELECT DISTINCT array_to_string(p[1:depth], '/') AS entry, array_to_string(p[1:depth - 1], '/') AS parent, p[depth] AS name, depth, depth < len(p) AS is_dir FROM s),
+f AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY is_dir, name DESC) = 1 AS is_last FROM e)
+SELECT f.entry, coalesce(string_agg(CASE WHEN a.is_last THEN '    ' ELSE '│   ' END, '' ORDER BY a.depth) FILTER (a.entry IS NOT NULL), '') || CASE WHEN f.is_last THEN '└── ' ELSE '├── ' END || f.name || CASE WHEN f.is_dir THEN '/' ELSE '' END AS text
+FROM f LEFT JOIN f a ON starts_with(f.entry, a.entry || '/') GROUP BY f.entry, f.is_last, f.name, f.is_dir""")
+def dir_tree_lines(spark, sf):
+    return context.tree_lines(files(spark, sf)).select("entry", "text")
+
+
 @query(f"WITH {ROWS}, r AS (SELECT path, size, sum(size) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) AS running FROM rows WHERE size <= 102400) SELECT path, size FROM r WHERE running <= 512000")
 def context_budget(spark, sf):
     return context.within_budget(corpus.file_rows(files(spark, sf)).select("path", "size"))

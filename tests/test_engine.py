@@ -1,5 +1,6 @@
 """Sources, extraction, chunks, change detection, context, tasks, streaming, and the engine from end to end."""
 
+import json
 import os
 import random
 
@@ -12,7 +13,7 @@ from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import chunking, context, corpus, extract, graph, tasks
 from tessera.plans.extraction import FIXTURES
-from tessera.sources import config, trees
+from tessera.sources import config, documents, trees
 
 
 @pytest.fixture
@@ -127,6 +128,9 @@ def test_engine(spark, tree, tmp_path):
     assert nodes.where("category = 'impl'").first()["label"] == "Area for Shape"
     assert {r.rel for r in edges.collect()} == {"calls", "implements", "has_method"}
     assert '"nodes"' in engine.graph_json().first()["json"]
+    engine.write_graph(str(tmp_path / "graph"))
+    whole, written = json.loads(engine.graph_json().first()["json"]), json.loads("".join(documents.read_document(str(tmp_path / "graph"), 1)))
+    assert all(sorted(map(str, whole[k])) == sorted(map(str, written[k])) for k in ("nodes", "edges")) and written["edges"]
     with open(os.path.join(tree, "src/View.kt"), "w") as f:
         f.write("class Other {\n    fun draw() {\n        fill(1)\n    }\n}\n")
     engine.index_directory(tree)
@@ -162,11 +166,32 @@ def test_budget_stops_at_the_first_overflow(spark, monkeypatch, one_task):
         assert sorted(r.path for r in found.collect()) == want
 
 
-def test_tree_text(spark):
+def test_tree_text(spark, tmp_path):
     files = spark.createDataFrame([("b.rs",), ("a/z.rs",), ("a/c/d.rs",)], "path string")
+    context.write_tree(files, str(tmp_path / "tree"))
+    assert "".join(documents.read_document(str(tmp_path / "tree"))) == context.rendered_tree(files)
     assert context.rendered_tree(files) == "├── a/\n│   ├── c/\n│   │   └── d.rs\n│   └── z.rs\n└── b.rs"
 
 
+def test_documents_are_written_in_order(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") % 2).cast("int").alias("section"), F.col("id").alias("k"), F.concat(F.lit("r\u00e9"), "id").alias("text"))
+    to = str(tmp_path / "doc")
+    for n in (1, 4):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            documents.write_document(rows.repartition(3), to, ("k",), head="<", between=",", joint="|", tail=">")
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert "".join(documents.read_document(to)) == "<" + ",".join(f"ré{k}" for k in range(0, 5000, 2)) + "|" + ",".join(f"ré{k}" for k in range(1, 5000, 2)) + ">"
+    documents.write_document(rows.limit(0), to, ("k",), head="[", joint="][", tail="]")
+    assert "".join(documents.read_document(to, 1)) == "[][]" and os.listdir(to) == [documents.MANIFEST]
+    documents.write_document(rows.where("k < 4").withColumn("section", F.lit(2)), to, ("k",), head="[", joint="|", tail="]")
+    assert "".join(documents.read_document(to)) == "[||ré0\nré1\nré2\nré3]"
+    with pytest.raises(Exception, match="lost"):
+        documents.write_document(rows.withColumn("text", F.when(F.col("k") == 4999, F.raise_error(F.lit("lost"))).otherwise("x")), str(tmp_path / "none"), ("k",))
+    assert not os.path.exists(tmp_path / "none" / documents.MANIFEST)
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         X.simple_name(F.lit("impl a::Bc<T>")).alias("a"), X.task_name(F.lit(" Add  the New: parser, quickly please ")).alias("b"), X.json_block(F.lit('x {"k": 1} y')).alias("c"), X.sse_token(F.lit("data: [DONE]")).alias("d"),
