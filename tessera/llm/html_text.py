@@ -3,11 +3,15 @@
 A page is read once into a tree of block-level elements. Every block of text gives points for its length and its commas
 to the elements above it, fewer the further up; an element's points are discounted by the share of its text that stands
 in links. The best container, or the article element around it, is kept together with siblings that score alongside it.
-Scripts, buttons, labels, adverts within a line, and hidden elements give no points and no text. Elements that by tag, class, id or role stand beside an article
-(navigation, forms, notices, adverts, comments and the like) are left out too, but only once the page is read: one that
-holds the main element, the longest article, a top heading or most of the page's text is never left out, nor is one of
-some length with few links, tags of NEVER aside; both only score lower. If nothing is left, the page is scored again
-without these rules. A list of links is a menu if its links are short (MENU characters on average).
+Scripts, buttons, labels, adverts within a line, and hidden elements give no points and no text. Elements that by tag, or by a
+whole name in class, id or role, stand beside an article (navigation, forms, notices, adverts, comments and the like) are left
+out too, but only once the page is read: one that holds the main element, the longest article, a top heading or most of the
+page's text is never left out, nor is one of some length with few links, tags of NEVER aside; both only score lower. A name
+of which only a part is such a word acts only together with links, a form, comments, or a place outside the article. If
+nothing is left, the page is scored again without these rules. A list of links is a menu if its links are short (MENU
+characters on average) and neither a heading nor a line with a colon at its end leads to it.
+Beside the best container stay its siblings that continue it, however short: paragraphs, headings, lists and the like, and
+containers of paragraphs, if few links are in them.
 Spark's part is a narrow map over the rows: no shuffle, memory bounded by one page per task.
 
 Edge cases: null or empty html, or a page without text, gives an empty string; unclosed and misnested tags are closed as
@@ -45,8 +49,16 @@ CONTAINERS = frozenset("body main article section div td blockquote html center
 #: Words in class, id or role that mark parts beside the article.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar aside rail nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
-    "comment comments commentlist disqus reply replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login footer masthead toolbar widget widgets skip hidden complementary contentinfo search alert".split()
+    "header comment comments commentlist disqus reply replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login footer masthead toolbar widget widgets skip hidden complementary contentinfo search alert".split()
 )
+#: Words that say nothing in a name of words of BESIDE.
+NEUTRAL = frozenset("post posts story stories link links list item items box area block section container wrapper wrap panel bar site page top bottom left right global primary secondary inner outer form content buttons icons slot unit group row module main".split())
+#: Names that are as often a part of an article.
+EITHER = frozenset({"discussion"})
+COMMENTS = frozenset("header comment comments commentlist disqus reply replies respond".split())
+#: Elements of running text.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GOOD = frozenset("article body content entry main post text story blog page hentry".split())
 _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)|[!?/])")
 _ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
@@ -56,11 +68,15 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _COMMAS = re.compile("[,،、，]")
 
 
+SURE, UNSURE = 2, 1
+
+
 class _Page:
-    """Elements in page order: parent, tag, whether hidden, whether beside the article by its tag or words, bonus; and blocks (element, text, characters in links, links)."""
+    """Elements in page order: parent, tag, whether hidden, whether beside the article by its tag or a whole name (SURE) or a part of one (UNSURE), bonus; and blocks (element, text, characters in links, links)."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.hidden, self.beside, self.bonus, self.end = [-1], ["html"], [False], [False], [0.0], [0]
+        self.parent, self.tag, self.hidden, self.beside, self.bonus, self.end = [-1], ["html"], [False], [0], [0.0], [0]
+        self.remarks = [False]  # by class, id or role, an element of comments
         self.blocks: list[tuple[int, str, int, int]] = []
         self.open, self.count = [0], Counter({"html": 1})
         self.text: list[str] = []
@@ -97,28 +113,32 @@ class _Page:
                 return
 
     @staticmethod
-    def _marks(attributes: str) -> tuple[set[str], bool]:
-        """Words of class, id and role; whether the element is hidden."""
-        words, hidden = set(), False
+    def _marks(attributes: str) -> tuple[list[frozenset[str]], bool]:
+        """The words of each name in class, id and role; whether the element is hidden."""
+        names, hidden = [], False
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id", "role", "itemprop"):
-                words.update(_WORDS.findall(value))
+                names += [frozenset(_WORDS.findall(x)) for x in value.split()]
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
                 hidden = True
-        return words, hidden
+        return names, hidden
 
     def _begin(self, tag: str, attributes: str) -> None:
-        hidden, beside, bonus = self.hidden[self.open[-1]], tag in NEVER or tag in FORMS, 0.0
+        hidden, beside, bonus, remarks = self.hidden[self.open[-1]], SURE if tag in NEVER or tag in FORMS else 0, 0.0, False
         if tag in ("article", "main"):
             bonus += 25
         if tag == "header" and (self.count["article"] or self.count["main"]):
-            beside = False
+            beside = 0
         if attributes and not hidden:
-            words, unseen = self._marks(attributes)
+            names, unseen = self._marks(attributes)
+            words = frozenset().union(*names)
             hidden = unseen and tag not in ("html", "body")
+            remarks = bool(words & COMMENTS)
             if words & BESIDE and not (words & GOOD and not words & ADVERT and self._in_a_name_of_its_own(attributes)) and tag not in ("html", "body", "main", "h1"):
-                beside = beside or tag != "article" or bool(words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "related", "promo"})
+                whole = any(n & BESIDE and n <= BESIDE | NEUTRAL and not n <= EITHER for n in names)
+                if tag != "article" or words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "related", "promo"}:
+                    beside = max(beside, SURE if whole else UNSURE)
             if words & GOOD:
                 bonus += 25
         self.count[tag] += 1
@@ -126,6 +146,7 @@ class _Page:
         self.tag.append(tag)
         self.hidden.append(hidden)
         self.beside.append(beside)
+        self.remarks.append(remarks)
         self.bonus.append(bonus)
         self.end.append(0)
         self.open.append(len(self.tag) - 1)
@@ -142,8 +163,8 @@ class _Page:
             return True
         if tag in VOID or not attributes or attributes.endswith("/"):
             return False
-        words, hidden = self._marks(attributes)
-        return hidden or bool(words & ADVERT)
+        names, hidden = self._marks(attributes)
+        return hidden or any(n and n <= ADVERT for n in names)
 
     def _read(self, html: str) -> None:
         at, size, quotes = 0, len(html), True
@@ -227,7 +248,7 @@ class _Page:
     def main_text(self) -> str:
         if not self.blocks:
             return ""
-        return self._main_text(self.beside) or self._main_text([False] * len(self.tag))
+        return self._main_text(self.beside) or self._main_text([0] * len(self.tag))
 
     def _sums(self, dropped: list[bool]) -> tuple[list[int], list[int]]:
         """Characters, and characters in links, of each element with all in it."""
@@ -241,13 +262,13 @@ class _Page:
             links[self.parent[element]] += links[element]
         return chars, links
 
-    def _judged(self, beside: list[bool]) -> tuple[list[bool], list[float], list[bool]]:
-        """Whether each element is left out, what it keeps of its score, and whether it holds what marks an article."""
+    def _judged(self, beside: list[int]) -> tuple[list[bool], list[float], list[bool], list[bool]]:
+        """Whether each element is left out, what it keeps of its score, whether it holds what marks an article, and whether it is beside one."""
         n = len(self.tag)
         chars, links = self._sums([False] * n)
         apart = [False] * n  # in an element that may be beside the article, itself included
         for k in range(1, n):
-            apart[k] = beside[k] or apart[self.parent[k]]
+            apart[k] = beside[k] > 0 or apart[self.parent[k]]
         articles = [k for k in range(n) if self.tag[k] == "article" and chars[k] and not beside[k]]
         longest = max(articles, key=lambda k: (chars[k], not apart[k]), default=-1)
         marks, heads = [False] * n, [False] * n
@@ -256,22 +277,31 @@ class _Page:
             heads[k] = heads[k] or self.tag[k] == "h1" and chars[k] > 0
             marks[self.parent[k]] = marks[self.parent[k]] or marks[k]
             heads[self.parent[k]] = heads[self.parent[k]] or heads[k]
+        # a part of a name counts together with links, a form, comments, or a place outside the article
+        form, remarks, within = [t in FORMS for t in self.tag], [False] * n, [False] * n
+        for k in range(n - 1, 0, -1):
+            form[self.parent[k]] = form[self.parent[k]] or form[k]
+            remarks[self.parent[k]] = remarks[self.parent[k]] or remarks[k] or self.remarks[k]
+        for k in range(n):
+            within[k] = self.tag[k] in ("article", "main") or k > 0 and within[self.parent[k]]
+        marked = longest >= 0 or any(marks)
+        aside = [b == SURE or b == UNSURE and (2 * links[k] > chars[k] or form[k] or remarks[k] or marked and not within[k]) for k, b in enumerate(beside)]
         holds = [marks[k] or heads[k] and self.tag[k] not in ("nav", "header", "footer") for k in range(n)]
         dropped, keeps, below = [False] * n, [1.0] * n, [1.0] * n
         for k in range(1, n):
             above = self.parent[k]
             dropped[k], keeps[k], below[k] = dropped[above], below[above], below[above]
-            if beside[k]:
+            if aside[k]:
                 keeps[k], most = LOWERED, 2 * chars[k] > chars[0]
                 if not (holds[k] and most):
                     below[k] = LOWERED
                 if not (holds[k] or most):
                     dropped[k] = dropped[k] or self.tag[k] in NEVER or chars[k] < LONG or 2 * links[k] > chars[k]
-        return dropped, keeps, holds
+        return dropped, keeps, holds, aside
 
-    def _main_text(self, beside: list[bool]) -> str:
+    def _main_text(self, beside: list[int]) -> str:
         n = len(self.tag)
-        dropped, keeps, holds = self._judged(beside)
+        dropped, keeps, holds, apart = self._judged(beside)
         chars, links = self._sums(dropped)
         if not chars[0]:
             return ""
@@ -296,10 +326,15 @@ class _Page:
                 if self.tag[around] == "article":
                     break
             around = self.parent[around]
-        kept = {top}
+        kept, running = {top}, [0] * n  # characters in elements of running text
+        for element, text, *_ in self.blocks:
+            if not dropped[element] and self.tag[element] in TEXTUAL:
+                running[element] += len(text)
+        for k in range(n - 1, 0, -1):
+            running[self.parent[k]] += running[k]
         if top:
             for k in range(self.parent[top] + 1, n):
-                if self.parent[k] == self.parent[top] and k != top and chars[k] and not dropped[k] and self._alongside(k, top, final, chars, density):
+                if self.parent[k] == self.parent[top] and k != top and chars[k] and not dropped[k] and not apart[k] and self._alongside(k, top, final, chars, density, running):
                     kept.add(k)
         # what is beside the article counts within it only if it holds the best, a mark of the article, or scores alongside it
         out, inside, anchors = [], [False] * n, [0] * n
@@ -307,21 +342,34 @@ class _Page:
             anchors[element] += count
         for k in range(n - 1, 0, -1):
             anchors[self.parent[k]] += anchors[k]
+        led = self._led(dropped)
         for k in range(n):
             above = self.parent[k]
-            aside = beside[k] and not (k <= best < self.end[k] or holds[k] or final[k] >= max(10.0, 0.2 * final[best]))
-            inside[k] = k in kept or above >= 0 and inside[above] and not aside and not self._menu(k, links, anchors, density)
+            aside = apart[k] and not (k <= best < self.end[k] or holds[k] or final[k] >= max(10.0, 0.2 * final[best]))
+            inside[k] = k in kept or above >= 0 and inside[above] and not aside and not (self._menu(k, links, anchors, density) and not led[k])
         for element, text, *_ in self.blocks:
             if inside[element] and not dropped[element]:
                 out.append(text)
         return "\n".join(out)
 
-    def _alongside(self, k: int, top: int, final: list[float], chars: list[int], density: list[float]) -> bool:
-        if self.tag[k] in ("p", "pre", "blockquote"):
-            return density[k] < 0.25 and chars[k] > 80
-        if self.tag[k] in ("h1", "h2"):
-            return k < top and density[k] < 0.25
-        return final[k] >= max(10.0, 0.2 * final[top])
+    def _alongside(self, k: int, top: int, final: list[float], chars: list[int], density: list[float], running: list[int]) -> bool:
+        """Whether a sibling continues the best: running text of few links, whatever its length."""
+        if self.tag[k] in CONTAINERS or self.tag[k] in ("table", "dl", "ul", "ol"):
+            return density[k] < 0.25 and 2 * running[k] > chars[k] or final[k] >= max(10.0, 0.2 * final[top])
+        return density[k] < 0.25 and self.tag[k] in TEXTUAL or final[k] >= max(10.0, 0.2 * final[top])
+
+    def _led(self, dropped: list[bool]) -> list[bool]:
+        """Whether the block in front of an element, below the same parent, is a heading or ends with a colon."""
+        led, first = [False] * len(self.tag), {}
+        for at, (element, *_) in enumerate(self.blocks):
+            while element > 0 and element not in first:
+                first[element] = at
+                element = self.parent[element]
+        for k, at in first.items():
+            if at:
+                element, text, *_ = self.blocks[at - 1]
+                led[k] = not dropped[element] and self.parent[element] == self.parent[k] and (self.tag[element] in HEADINGS or text.endswith(":"))
+        return led
 
     def _menu(self, k: int, links: list[int], anchors: list[int], density: list[float]) -> bool:
         return self.tag[k] in ("ul", "ol", "dl") and density[k] > 0.8 and links[k] <= MENU * anchors[k]

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -147,6 +148,46 @@ def test_a_name_of_its_own_outweighs_a_word_of_another():
     assert html_text.main_text(page).endswith("Two eggs, some flour, and a little milk.")
 
 
+LONG = "<p>" + "A sentence of some length, with commas, that says what it has to say. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "kept"),
+    [
+        (f"<body><div><section><h2>A</h2>{LONG}</section><section><h2>B</h2><p>Short one.</p></section></div></body>", ["B", "Short one."]),
+        (f"<body><div>{LONG}</div><div><p>End.</p></div></body>", ["End."]),
+        (f"<body><div>{LONG}</div><p>Short closing line.</p></body>", ["Short closing line."]),
+        (f"<body><h3>Title of it</h3><div>{LONG}</div></body>", ["Title of it"]),
+        (f'<article>{LONG}<section id="discussion"><h2>Discussion</h2><p>Short.</p></section></article>', ["Discussion", "Short."]),
+        (f'<article>{LONG}<div class="related-work"><h2>Related work</h2><p>Short.</p></div></article>', ["Related work", "Short."]),
+        (f'<article>{LONG}<p>Use <span class="promo-code">SAVE20</span> to pay less.</p></article>', ["Use SAVE20 to pay less."]),
+        (f'<article>{LONG}<h2>References</h2><ul><li><a href="a">RFC 2119</a></li><li><a href="b">RFC 8174</a></li></ul></article>', ["References", "RFC 2119", "RFC 8174"]),
+        (f'<article>{LONG}<p>See also:</p><ul><li><a href="a">One</a></li></ul></article>', ["See also:", "One"]),
+    ],
+)
+def test_short_parts_of_an_article_stay(html, kept):
+    assert set(kept) <= set(html_text.main_text(html).split("\n")) and "A sentence" in html_text.main_text(html)
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="header">Name of the site</div>', "<div>A slogan of the site</div>", '<div class="cookie-notice"><p>We use cookies.</p></div>', '<section class="comments"><p>nice, thanks</p></section>', '<div class="related-posts"><ul><li><a href="a">Other</a></li></ul></div>',
+        '<section id="discussion"><h2>What you say</h2><div class="comment"><p>me too</p></div></section>', '<div class="newsletter-signup"><p>Subscribe now!</p></div>', '<div class="my-newsletter-x"><form><p>Mail</p></form></div>', '<ul><li><a href="a">Home</a></li><li><a href="b">News</a></li></ul>',
+        '<div class="sidebar"><p>Aside of it.</p></div>', '<div id="site-footer"><p>All rights.</p></div>', "<nav><a href=x>Menu</a></nav>", "<footer><p>Bottom</p></footer>",
+    ],
+)
+@pytest.mark.parametrize("page", ["<body>{0}<div>{1}</div></body>", "<body><div>{1}</div>{0}</body>", "<body>{0}<article>{1}</article></body>", "<body><article>{1}</article>{0}</body>"])
+def test_parts_beside_an_article_go(page, part):
+    assert html_text.main_text(page.format(part, LONG)) == html_text.main_text(LONG)
+
+
+def test_scores_find_the_article_where_no_tag_marks_it(spark, sf):
+    """Pages whose article and main elements are made plain ones give the same text."""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        assert html_text.main_text(re.sub(r"(</?)(article|main)\b", r"\1div", r.html)) == html_text.main_text(r.html)
+
+
 def test_html_of_nothing(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_text.extract(empty).collect() == []
