@@ -104,15 +104,17 @@ def id_map(entities: DataFrame) -> DataFrame:
 def resolved_calls(calls: DataFrame, ids: DataFrame) -> DataFrame:
     """Distinct call edges between known nodes: an end is looked up by id, then by name.
 
-    Distinct ends are looked up, not calls, so a caller with very many calls is no hot spot.
+    Distinct ends are looked up, callers and callees together and by id and name at once, so a caller with very many calls is
+    no hot spot and the id map is joined once.
     """
-    ends = calls.select("caller_id", "caller_name", "callee_id", "callee_name").distinct()
-    for end in ("caller", "callee"):
-        by_id = ids.select(F.col("id").alias(f"{end}_id"), F.col("key").alias(f"_{end}_by_id"))
-        by_name = ids.select(F.col("id").alias(f"{end}_name"), F.col("key").alias(f"_{end}_by_name"))
-        ends = ends.join(by_id, f"{end}_id", "left").join(by_name, f"{end}_name", "left")
-    src, dst = (F.coalesce(f"_{end}_by_id", f"_{end}_by_name") for end in ("caller", "callee"))
-    return ends.select(src.alias("src"), F.lit("calls").alias("rel"), dst.alias("dst")).dropna().distinct()
+    edges = calls.select("caller_id", "caller_name", "callee_id", "callee_name").distinct()
+    ends = edges.select(F.explode(F.array(*[F.struct(F.col(f"{e}_id").alias("end_id"), F.col(f"{e}_name").alias("end_name")) for e in ("caller", "callee")])).alias("e")).select("e.*").distinct()
+    asked = ends.select("end_id", "end_name", F.posexplode(F.array("end_id", "end_name")).alias("nth", "id"))
+    found = asked.join(ids, "id").groupBy("end_id", "end_name").agg(F.min_by("key", "nth").alias("key"))
+    for e, into in (("caller", "src"), ("callee", "dst")):
+        own = found.select(F.col("end_id").alias("_id"), F.col("end_name").alias("_name"), F.col("key").alias(into))
+        edges = edges.join(own, F.col(f"{e}_id").eqNullSafe(F.col("_id")) & F.col(f"{e}_name").eqNullSafe(F.col("_name"))).drop("_id", "_name")
+    return edges.select("src", F.lit("calls").alias("rel"), "dst").distinct()
 
 
 def implements_edges(entities: DataFrame, ids: DataFrame) -> DataFrame:
@@ -137,10 +139,9 @@ def known_only(edges: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def graph(entities: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the whole graph."""
-    found, ids = nodes(entities), id_map(entities)
-    edges = resolved_calls(calls, ids).unionByName(implements_edges(entities, ids)).unionByName(method_edges(entities, ids))
-    return found, known_only(edges, found).distinct()
+    """Nodes and edges of the whole graph. Both ends of every edge are keys of rows of entities, so they are nodes; each relation is distinct in itself."""
+    ids = id_map(entities)
+    return nodes(entities), resolved_calls(calls, ids).unionByName(implements_edges(entities, ids)).unionByName(method_edges(entities, ids))
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
