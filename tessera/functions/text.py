@@ -55,6 +55,18 @@ def lines_between(c: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(F.split(c, "\n"), first, last - first + 1), "\n")
 
 
+def stripped(c: Column, lead: str, tail: str = "") -> Column:
+    """Without all repetitions of lead in front and of tail behind; both are plain strings."""
+    quoted = lambda x: "".join(f"\\x{{{ord(k):x}}}" for k in x)
+    c = F.regexp_replace(c, f"^(?:{quoted(lead)})+", "") if lead else c
+    return F.regexp_replace(c, f"(?:{quoted(tail)})+$", "") if tail else c
+
+
+def to_the_minute(c: Column) -> Column:
+    """A time as year-month-day hour:minute."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm")
+
+
 def html_escaped(c: Column) -> Column:
     for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(raw), F.lit(name))

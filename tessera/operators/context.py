@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -22,6 +22,11 @@ EXCLUDED = (
 )
 
 
+def eligible(path: Column) -> Column:
+    """Whether a file goes into a plain context, by its extension; a name of EXTENSIONS without a dot is none."""
+    return X.extension(path).isin(*EXTENSIONS)
+
+
 def tree_entries(paths: DataFrame, path: str = "path") -> DataFrame:
     """entry, parent, name, depth, is_dir: every file and every directory above one."""
     parts = paths.select(F.split(path, "/").alias("_p"))

@@ -60,12 +60,33 @@ def parsed_answer(answer: Column) -> Column:
     return F.when(complete & whole, F.struct(parsed["summary"].alias("summary"), findings.alias("findings"), parsed["dependencies"].alias("dependencies"), parsed["suggested_approach"].alias("suggested_approach")))
 
 
-def research_prompt(task: str, context: str) -> str:
-    return f"Study the code below for this task and answer in JSON with summary, findings, dependencies and suggested_approach.\n\nTask: {task}\n\n{context}"
-
-
-def refinement_prompt(earlier: str, feedback: str) -> str:
-    return f"Revise the answer below.\n\nAnswer:\n{earlier}\n\nWhat to change:\n{feedback}"
+def research_prompt(task: Column, context: Column) -> Column:
+    """What is asked of a model for a task, given the context found for it."""
+    lead = "Study the code below for this task and answer in JSON with summary, findings, dependencies and suggested_approach."
+    return F.concat(F.lit(f"{lead}\n\nTask: "), task, F.lit("\n\n"), F.coalesce(context, F.lit("")))
+
+
+def refinement_prompt(summary: Column, approach: Column, feedback: Column) -> Column:
+    """What is asked of a model about an earlier answer."""
+    part = lambda title, c: F.concat(F.lit(f"{title}:\n"), F.coalesce(c, F.lit("")))
+    return F.concat_ws("\n\n", F.lit("Revise the answer below."), part("Summary", summary), part("Suggested approach", approach), part("What to change", feedback))
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    """rows of the schema ResearchDoc → task_name, text: each as Markdown. Empty or null lists have no section."""
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(dict(rows.dtypes)[c]))
+    files = lambda f: F.transform(F.coalesce(f["related_files"], F.array().cast("array<string>")), lambda x: F.concat(F.lit("- `"), x, F.lit("`")))
+    finding = lambda f: F.concat(F.array(F.concat(F.lit("### "), f["title"]), F.lit(""), f["description"], F.lit("")), files(f))
+    dependency = lambda d: F.array(F.concat(F.lit("### "), d["name"]), F.lit(""), d["description"], F.lit(""))
+    section = lambda title, c, lines: F.when(F.size(none(c)) > 0, F.concat(F.array(F.lit(f"## {title}"), F.lit("")), lines)).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(
+        F.array(F.concat(F.lit("# Research: "), "task_name"), F.lit(""), F.lit("## Summary"), F.lit(""), F.col("summary"), F.lit("")),
+        section("Codebase analysis", "codebase_analysis", F.flatten(F.transform(none("codebase_analysis"), finding))),
+        section("Dependencies", "dependencies", F.flatten(F.transform(none("dependencies"), dependency))),
+        F.array(F.lit("## Suggested approach"), F.lit(""), F.col("suggested_approach"), F.lit("")),
+        section("Sources", "sources", F.transform(none("sources"), lambda x: F.concat(F.lit("- "), x))),
+    )
+    return rows.select("task_name", F.array_join(lines, "\n").alias("text"))
 
 
 def markdown(doc: dict) -> str:

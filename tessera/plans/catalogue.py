@@ -12,11 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import schemas
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import chunking, context, corpus, graph, stats, tasks
 from tessera.plans import extraction, incremental, legacy
 from tessera.sources import documents
+from tessera.sources.store import with_defaults
 from tessera.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -698,5 +700,61 @@ def answer_parse(spark, sf):
     return rows.where("a is not null").select("event_id", "a.summary", F.size("a.findings").alias("findings"), F.size("a.dependencies").alias("dependencies"))
 
 
+@query(r"SELECT conv_id, turn, 'Study the code below for this task and answer in JSON with summary, findings, dependencies and suggested_approach.' || chr(10) || chr(10) || 'Task: ' || role || chr(10) || chr(10) || coalesce(text, '') AS research, 'Revise the answer below.' || chr(10) || chr(10) || 'Summary:' || chr(10) || role || chr(10) || chr(10) || 'Suggested approach:' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || 'What to change:' || chr(10) || 'all' AS refinement FROM conversations")
+def task_prompts(spark, sf):
+    role, said = F.col("role"), F.col("text")
+    return t(spark, sf, "conversations").select("conv_id", "turn", tasks.research_prompt(role, said).alias("research"), tasks.refinement_prompt(role, said, F.lit("all")).alias("refinement"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, CAST(l_orderkey AS VARCHAR) AS task_name, l_linenumber AS n, CAST(l_partkey AS VARCHAR) AS part, CAST(l_suppkey AS VARCHAR) AS supp, l_returnflag AS flag, l_linestatus AS status FROM lineitem),
+g AS (SELECT task_name, string_agg('### part ' || part || chr(10) || chr(10) || flag || chr(10) || CASE WHEN status = 'F' THEN chr(10) || '- `f' || part || '`' ELSE '' END, chr(10) ORDER BY n, part, supp, flag, status) FILTER (flag <> 'N') AS findings,
+  string_agg('### s' || supp || chr(10) || chr(10) || status || chr(10), chr(10) ORDER BY n, part, supp, flag, status) FILTER (flag = 'N') AS dependencies, string_agg('- n' || CAST(n AS VARCHAR), chr(10) ORDER BY n, part, supp, flag, status) FILTER (status = 'O') AS sources, count(*) AS lines FROM l GROUP BY task_name)
+SELECT task_name, '# Research: ' || task_name || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || CAST(lines AS VARCHAR) || ' lines' || chr(10) || chr(10) || coalesce('## Codebase analysis' || chr(10) || chr(10) || findings || chr(10), '') || coalesce('## Dependencies' || chr(10) || chr(10) || dependencies || chr(10), '')
+  || '## Suggested approach' || chr(10) || chr(10) || 'go' || chr(10) || coalesce(chr(10) || '## Sources' || chr(10) || chr(10) || sources, '') AS text FROM g""")
+def research_documents(spark, sf):
+    """Orders as research documents: lines that came back are findings, the others dependencies."""
+    text = lambda c: F.col(c).cast("string")
+    order = [F.col(c).alias(f"o{k}") for k, c in enumerate(("l_linenumber", "part", "supp", "l_returnflag", "l_linestatus"))]
+    lines = t(spark, sf, "lineitem").withColumns({"part": text("l_partkey"), "supp": text("l_suppkey")})
+    back, files = F.col("l_returnflag") != "N", F.when(F.col("l_linestatus") == "F", F.array(F.concat(F.lit("f"), "part")))
+    finding = F.struct(*order, F.concat(F.lit("part "), "part").alias("title"), F.col("l_returnflag").alias("description"), files.alias("related_files"))
+    dependency = F.struct(*order, F.concat(F.lit("s"), "supp").alias("name"), F.col("l_linestatus").alias("description"), F.lit(True).alias("is_external"))
+    listed = lambda which, x: F.array_sort(F.collect_list(F.when(which, x)))
+    rows = lines.groupBy(text("l_orderkey").alias("task_name")).agg(
+        F.concat(F.count(F.lit(1)).cast("string"), F.lit(" lines")).alias("summary"), listed(back, finding).alias("codebase_analysis"), listed(~back, dependency).alias("dependencies"), F.lit("go").alias("suggested_approach"),
+        F.transform(listed(F.col("l_linestatus") == "O", F.struct(*order)), lambda x: F.concat(F.lit("n"), x["o0"].cast("string"))).alias("sources"),
+    )
+    return tasks.documents(rows)
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS created FROM orders")
+def task_times(spark, sf):
+    return t(spark, sf, "orders").select("o_orderkey", X.to_the_minute(F.col("o_orderdate")).alias("created"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(repeat('Brand#', p_partkey % 3) || p_brand || repeat('.x', p_size % 3), '^(Brand#)+', ''), '([.]x)+$', '') AS name FROM part")
+def stripped_names(spark, sf):
+    wrapped = F.concat(F.repeat(F.lit("Brand#"), (F.col("p_partkey") % 3).cast("int")), "p_brand", F.repeat(F.lit(".x"), F.col("p_size") % 3))
+    return t(spark, sf, "part").select("p_partkey", X.stripped(wrapped, "Brand#", ".x").alias("name"))
+
+
+@query(f"SELECT {CODE_PATH} AS path FROM documents WHERE lang IN ('en', 'fr') UNION ALL SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.tar.kts' FROM documents WHERE lang = 'es'")
+def context_files(spark, sf):
+    """Files for a plain context: extensions count as they are written, and names such as Makefile are no extensions."""
+    rows = t(spark, sf, "documents")
+    others = rows.where("lang = 'es'").select(F.explode(F.array(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".tar.kts")), F.concat("source", F.lit("/Makefile")))).alias("path"))
+    paths = rows.select(_code_path().alias("path")).unionByName(others)
+    return paths.where(context.eligible(F.col("path")))
+
+
+@query("SELECT c_custkey AS id, coalesce(CASE WHEN c_acctbal >= 0 THEN c_mktsegment END, 'private') AS visibility, 0 AS start_line, CASE WHEN c_acctbal >= 0 THEN c_name END AS doc_comment, CAST(NULL AS VARCHAR) AS note FROM customer")
+def column_defaults(spark, sf):
+    """Columns that rows lack or leave null have their defaults."""
+    good = F.col("c_acctbal") >= 0
+    rows = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(good, F.col("c_mktsegment")).alias("visibility"), F.when(good, F.col("c_name")).alias("doc_comment"))
+    return with_defaults(rows, schemas.struct("id long;visibility string;start_line int;doc_comment string?;note string?"), {"visibility": "private", "start_line": 0})
+
+
+ORACLE_SQL["chunk_embeddings"] = extraction.ORACLE_SQL.pop("chunk_embeddings").replace("{chunks}", CHUNKS.rstrip())
 QUERIES |= extraction.QUERIES | incremental.QUERIES | legacy.QUERIES
 ORACLE_SQL |= extraction.ORACLE_SQL | incremental.ORACLE_SQL | legacy.ORACLE_SQL

@@ -28,6 +28,7 @@ FIXTURES = {
     "src/View.kt": "class View {\n    fun draw() {\n        paint(1)\n    }\n}\n",
     "README.md": "# Notes\n\nCall run() first.\n",
     "empty.py": "",
+    "src/global.rs": '/// Calls so far.\npub static mut COUNT: u32 = 0;\nstatic NAME: &str = "x";\n',
 }
 
 
@@ -141,6 +142,12 @@ function|function:{path}:draw|draw|draw|2|4|private|n||||||||||
 edge|contains|file:{path}|function:{path}:draw|||
 edge|calls|function:{path}:draw|function:?:draw|direct|n|n
 edge|calls|function:{path}:draw|function:?:paint|direct|n|n
+"""),
+    "src/global.rs": ("COUNT", """
+static|static:{path}:{name}|{name}|{name}|2|2|public|||u32||Calls so far.||||||
+edge|contains|file:{path}|static:{path}:{name}|||
+static|static:{path}:NAME|NAME|NAME|3|3|private|||&str||||||||
+edge|contains|file:{path}|static:{path}:NAME|||
 """),
     "src/broken.rs": ("Half", """
 struct|struct:{path}:{name}|{name}|{name}|1|5|public|||||||||||
@@ -231,6 +238,7 @@ LISTINGS = {
     "enum": ("list_enums", ("id", "name", "qualified_name", "file_path", "start_line", "end_line", "visibility", "doc_comment", "members", "attributes")),
     "impl": ("list_impls", ("id", "name", "file_path", "start_line", "end_line", "parent", "return_type", "members")),
     "const": ("list_constants", ("id", "name", "qualified_name", "file_path", "start_line", "visibility", "return_type")),
+    "static": ("list_statics", ("id", "name", "qualified_name", "file_path", "start_line", "end_line", "visibility", "return_type", "doc_comment")),
     "function": ("list_function_entities", ("id", "name", "qualified_name", "file_path", "start_line", "end_line", "visibility", "doc_comment", "signature", "parent", "is_async", "return_type", "cyclomatic", "loc", "attributes")),
 }
 
@@ -335,6 +343,16 @@ ASKED = "async load rows for row in read"
 CHUNKED = ", ".join(f"({_quoted(p)}, {_quoted(c.strip())}, {len(c.splitlines())})" for p, c in FIXTURES.items() if c)
 
 
+@query(f"""{{chunks}}, k AS (SELECT file_path || ':' || CAST(ordinal AS VARCHAR) AS k, content FROM chunks), b AS ({_hashed('k', 'k', 64)}), n AS (SELECT k, count(*) FILTER (c <> 0) AS used FROM b GROUP BY k)
+SELECT file_path, ordinal, start_line, 64 AS dimension, coalesce(used, 0) AS used FROM chunks LEFT JOIN n ON n.k = file_path || ':' || CAST(ordinal AS VARCHAR)""")
+def chunk_embeddings(spark, sf):
+    """Every chunk of the documents with its own vector."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    files = spark.read.parquet(f"{sf}/documents.parquet").select(path.alias("path"), F.col("text").alias("content"))
+    rows = V.embedded(chunking.chunks(files), "content", V.hashing_embedder(64))
+    return rows.select("file_path", "ordinal", "start_line", F.size("embedding").alias("dimension"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("used"))
+
+
 @query(f"""WITH f(path, content, n) AS (VALUES {CHUNKED}), q(one, content) AS (VALUES (1, '{ASKED}')), b AS ({_hashed('f', 'path', 384)}), a AS ({_hashed('q', 'one', 384)}), norms AS (SELECT path, sqrt(sum(c * c)) AS norm FROM b GROUP BY path)
 SELECT path, 1 AS start_line, any_value(n) AS end_line FROM b JOIN a USING (bucket) JOIN norms USING (path) JOIN f USING (path) GROUP BY path ORDER BY round(sum(b.c * a.c) / any_value(norm), 6) DESC, path LIMIT 3""")
 def search_fixtures(spark, _):

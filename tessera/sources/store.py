@@ -37,6 +37,13 @@ class Table:
     defaults: Mapping[str, object] = field(default_factory=dict)
 
 
+def with_defaults(rows: DataFrame, schema: T.StructType, defaults: Mapping[str, object]) -> DataFrame:
+    """rows with the columns of a schema: those they lack, or leave null, have their default, or null."""
+    there = {c.lower() for c in rows.columns}
+    own = lambda f: F.col(f.name) if f.name.lower() in there else F.lit(None).cast(f.dataType)
+    return rows.select(*[(F.coalesce(own(f), F.lit(defaults[f.name])) if f.name in defaults else own(f)).alias(f.name) for f in schema.fields])
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, tables: Mapping[str, Table], last: str = "file", parts: int = PARTS):
         """parts: partitions a table, for a new store; one that exists keeps its own. As many as make a partition some 128 MB."""
@@ -85,10 +92,7 @@ class Store:
 
     def table(self, name: str) -> DataFrame:
         own = self.tables[name]
-        rows = self._stored(name).where(F.col(own.owner).isNotNull()).drop("part")
-        for column, value in own.defaults.items():
-            rows = rows.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
-        return rows.select(*own.schema.names)
+        return with_defaults(self._stored(name).where(F.col(own.owner).isNotNull()), own.schema, own.defaults)
 
     def of_files(self, name: str, paths: list[str]) -> DataFrame:
         """What came from a few files, read from their partitions alone."""

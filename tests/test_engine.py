@@ -75,6 +75,7 @@ EXPECTED = {
     "cmd/main.go": {"struct": {"Server"}, "trait": {"Handler"}, "function": {"Server.Start", "helper"}},
     "app/Account.java": {"struct": {"Account"}, "function": {"Account.pay", "owner"}, "enum": {"State"}, "trait": {"Owned"}},
     "app/Order.cs": {"struct": {"Order"}, "function": {"Order.Send", "Price"}, "enum": {"Status"}, "trait": {"IPriced"}},
+    "src/global.rs": {"static": {"COUNT", "NAME"}},
     "src/broken.rs": {"struct": {"Half"}, "function": {"still_found"}},
     "src/View.kt": {"struct": {"View"}, "function": {"draw"}},
     "empty.py": {},
