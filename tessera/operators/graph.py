@@ -104,10 +104,11 @@ def id_map(entities: DataFrame) -> DataFrame:
 def resolved_calls(calls: DataFrame, ids: DataFrame) -> DataFrame:
     """Distinct call edges between known nodes: an end is looked up by id, then by name.
 
-    Distinct ends are looked up, callers and callees together and by id and name at once, so a caller with very many calls is
-    no hot spot and the id map is joined once.
+    Distinct ends are looked up, callers and callees together and by id and name at once, so the id map is joined once and a
+    caller with very many calls is asked for once. Calls are shuffled for the two joins with what was found, if that is too
+    large to be broadcast, and are made distinct last, behind sums within each task.
     """
-    edges = calls.select("caller_id", "caller_name", "callee_id", "callee_name").distinct()
+    edges = calls.select("caller_id", "caller_name", "callee_id", "callee_name")
     ends = edges.select(F.explode(F.array(*[F.struct(F.col(f"{e}_id").alias("end_id"), F.col(f"{e}_name").alias("end_name")) for e in ("caller", "callee")])).alias("e")).select("e.*").distinct()
     asked = ends.select("end_id", "end_name", F.posexplode(F.array("end_id", "end_name")).alias("nth", "id"))
     found = asked.join(ids, "id").groupBy("end_id", "end_name").agg(F.min_by("key", "nth").alias("key"))
