@@ -172,7 +172,9 @@ def fixtures(spark: SparkSession, *suffixes: str) -> DataFrame:
 def sources(spark: SparkSession, sf: str, *suffixes: str) -> DataFrame:
     """path, content: a file of each fixture for every row of part."""
     kinds = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(word).alias("word"), F.lit(FIXTURES[p]).alias("content")) for p, (word, _) in EXPECTED.items() if not suffixes or p.endswith(suffixes)])
-    rows = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("string").alias("k"), F.explode(kinds).alias("f"))
+    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("string").alias("k"))
+    # a few bytes a row become files to parse: they are dealt out before that
+    rows = parts.repartition(spark.sparkContext.defaultParallelism).select("k", F.explode(kinds).alias("f"))
     return rows.select(F.concat("k", F.lit("/"), "f.path").alias("path"), F.replace("f.content", F.col("f.word"), F.concat("f.word", "k")).alias("content"))
 
 
