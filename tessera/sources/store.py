@@ -106,7 +106,7 @@ class Store:
     def replace(self, paths: DataFrame, rows: Mapping[str, DataFrame]) -> None:
         """paths: a column path. All that came from these files goes, in every table; the given rows come in its place, those of other files are left out.
 
-        The part numbers of the paths come to the driver, `parts` at most, so that the scan lists only their folders.
+        What is given may be read from the store only if it has been cut off from it before. One writer at a time. The part numbers of the paths come to the driver, `parts` at most, so that the scan lists only their folders.
         """
         gone = paths.select("path").distinct()
         parts = [r[0] for r in gone.select(self.part(F.col("path")).alias("part")).distinct().collect()]

@@ -84,6 +84,8 @@ def test_a_partition_that_becomes_empty_is_empty(spark, tmp_path):
     assert Store(spark, str(tmp_path / "s"), tables, parts=99).parts == 4
     plan = store.table("edge").where("edge_type = 'calls'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(edge_type" in plan
+    store.create()
+    assert store.table("edge").count() == 0 == store.table("file").count() and "note" not in store._known()
 
 
 def test_columns_that_older_files_lack_have_defaults(spark, tmp_path):
