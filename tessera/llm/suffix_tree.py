@@ -56,6 +56,9 @@ DEPTH = 3
 BEFORE = 0
 #: Bits of a symbol, or of a context's number within its slice and depth, in a key.
 BITS = 24
+#: Keys that differ in so many low bits alone are summed up in one part: a context's next symbols lie close together there,
+#: and a context that is met everywhere is still dealt out.
+BLOCK_BITS = 12
 #: Marks the keys of longer contexts among those of transitions.
 AHEAD = 1 << 60
 #: The end token's place in a vocabulary; no word is empty.
@@ -304,17 +307,19 @@ def _before(symbols: np.ndarray, place: np.ndarray, at: np.ndarray, back: int) -
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys, as differences, and their counts, byte by byte: high bytes, mostly zero, lie together and compress well."""
     steps = np.diff(keys, prepend=0)
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    planes = steps.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return pa.compress(planes, "zstd", asbytes=True)
 
 
-def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(packed, np.uint8).reshape(12, -1)
+def _unpacked(packed: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """size: how many keys there are."""
+    planes = np.frombuffer(pa.decompress(packed, 12 * size, "zstd"), np.uint8).reshape(12, -1)
     return np.cumsum(np.ascontiguousarray(planes[:8].T).view(np.int64).ravel()), np.ascontiguousarray(planes[8:].T).view(np.uint32).ravel().astype(np.int64)
 
 
 def _frequent(table: pa.Table, least: float, least_move: float) -> pa.Table:
     """The summed counts of a part's keys, those that reach the minimum."""
-    found = [_unpacked(x) for x in table.column("counts").to_pylist()]
+    found = [_unpacked(x, n) for x, n in zip(table.column("counts").to_pylist(), table.column("size").to_pylist())]
     keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
     counts = np.bincount(at.ravel(), np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
     use = counts >= np.where(keys >= AHEAD, least, least_move)
@@ -455,11 +460,12 @@ def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray |
                 if waiting:
                     k, n = np.unique(np.concatenate(waiting), return_counts=True)
                     waiting.clear()
-                    of = _spread(k, 32) % parts
+                    of = _spread(k >> BLOCK_BITS, 32) % parts
                     order = np.argsort(of.astype(np.uint16) if parts < 1 << 16 else of, kind="stable")
                     held, begins = np.unique(of[order], return_index=True)
-                    blobs = [_packed(k[at], n[at]) for at in np.split(order, begins[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "counts"])
+                    runs = np.split(order, begins[1:])
+                    blobs = [_packed(k[at], n[at]) for at in runs]
+                    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(map(len, runs), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "size", "counts"])
 
             for batch in batches:
                 for symbols, first in _sequences(batch.column(0), kind):
@@ -484,7 +490,7 @@ def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray |
                         size = 0
             yield from out()
 
-        counted = training.select("symbols").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(lambda table: _frequent(table, least, least_move), "key long, n long")
+        counted = training.select("symbols").mapInArrow(run, "part int, size int, counts binary").groupBy("part").applyInArrow(lambda table: _frequent(table, least, least_move), "key long, n long")
         key, n = _columns(counted, "key", "n")
         order = np.argsort(key)
         ahead = key[order] >= AHEAD
