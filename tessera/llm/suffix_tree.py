@@ -48,7 +48,7 @@ SYMBOL, SYMBOL_SHARE = 1000, 5e-5
 CONTEXT, CONTEXT_SHARE = 200, 1e-5
 TRANSITION, TRANSITION_SHARE = 4, 2e-7
 SLICE = 150_000_000
-#: Places in texts whose contexts and next symbols are summed up together.
+#: Places in texts whose contexts and next symbols are summed up together; contexts of more places are dealt out.
 PART = 1_000_000
 CLASSES = 256
 DEPTH = 3
@@ -56,9 +56,6 @@ DEPTH = 3
 BEFORE = 0
 #: Bits of a symbol, or of a context's number within its slice and depth, in a key.
 BITS = 24
-#: Keys that differ in so many low bits alone are summed up in one part: a context's next symbols lie close together there,
-#: and a context that is met everywhere is still dealt out.
-BLOCK_BITS = 12
 #: Marks the keys of longer contexts among those of transitions.
 AHEAD = 1 << 60
 #: The end token's place in a vocabulary; no word is empty.
@@ -304,6 +301,14 @@ def _before(symbols: np.ndarray, place: np.ndarray, at: np.ndarray, back: int) -
     return np.where(place >= back, symbols[at - back], BEFORE)
 
 
+def _dealt(occurrences: np.ndarray, parts: int) -> np.ndarray:
+    """Of each context, the part that sums up its counts: neighbours go together. -1: key by key, as the context alone would fill a part."""
+    alone = occurrences > PART
+    sizes = np.where(alone, 0.0, occurrences)
+    ends = np.cumsum(sizes)
+    return np.where(alone, -1, (ends - sizes) * parts // max(sizes.sum(), 1.0)).astype(np.int32)
+
+
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys, as differences, and their counts, byte by byte: high bytes, mostly zero, lie together and compress well."""
     steps = np.diff(keys, prepend=0)
@@ -434,8 +439,6 @@ def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray |
     occurrences = _occurrences(tree, training.count())
     whole = own is None or bool(own.all())
     marks = None
-    # a part's counts are summed up in one task: each is of PART places in the texts on average, whatever the slice
-    parts = int(occurrences[own].sum() if own is not None else occurrences.sum()) // PART + 1
     for d in range(1, depth + 1):
         use = occurrences >= least
         if d == 1:  # the end is no context: nothing follows it
@@ -446,11 +449,13 @@ def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray |
                 use &= own
         keys, occurrences = keys[use], occurrences[use].astype(np.float64)
         assert len(keys) < 1 << BITS
-        sent = session.sparkContext.broadcast((tree.contexts, keys, marks, None if whole else own))
+        # a part's counts are summed up in one task: each is of PART places in the texts on average, whatever the slice
+        parts = int(occurrences.sum()) // PART + 1
+        sent = session.sparkContext.broadcast((tree.contexts, keys, _dealt(occurrences, parts), marks, None if whole else own))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, longer=d < depth and not whole) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, parts=parts, longer=d < depth and not whole) -> Iterator[pa.RecordBatch]:
             """What follows a candidate, and, with `ahead`, what stands before it."""
-            known, candidates, marks, mine = sent.value
+            known, candidates, dealt, marks, mine = sent.value
             probe = Tree.__new__(Tree)
             probe.contexts, probe.finders = [*known, candidates], {}
             waiting: list[np.ndarray] = []
@@ -460,7 +465,8 @@ def grown(tree: Tree, training: DataFrame, depth: int = DEPTH, own: np.ndarray |
                 if waiting:
                     k, n = np.unique(np.concatenate(waiting), return_counts=True)
                     waiting.clear()
-                    of = _spread(k >> BLOCK_BITS, 32) % parts
+                    of = dealt[np.where(k >= AHEAD, k & ((1 << BITS) - 1), k >> BITS & ((1 << BITS) - 1))].astype(np.int64)
+                    of[of < 0] = _spread(k[of < 0], 32) % parts
                     order = np.argsort(of.astype(np.uint16) if parts < 1 << 16 else of, kind="stable")
                     held, begins = np.unique(of[order], return_index=True)
                     runs = np.split(order, begins[1:])

@@ -467,8 +467,10 @@ def tree_by_force(texts, depth):
     return strings, moves
 
 
-def test_tree_counts_equal_brute_force(spark):
-    """Candidates, their transitions and the scores of a small tree against counts by hand."""
+@pytest.mark.parametrize("part", [suffix_tree.PART, 300])
+def test_tree_counts_equal_brute_force(spark, part, monkeypatch):
+    """Candidates, their transitions and the scores of a small tree against counts by hand; in one part, and in parts that common contexts exceed."""
+    monkeypatch.setattr(suffix_tree, "PART", part)
     draw = random.Random(4)
     codes = np.array([11, 22, 33, 44], np.uint64)
     texts = []
