@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.common import checkpoint_dir, cut, runs_of_texts, split_words
+from tessera.llm.common import checkpoint_dir, cut, runs_of_texts, split_words, stored
 
 HEAD = 2.5e-7
 #: Minimum counts, and shares of all tokens that take their place where they are less.
@@ -375,7 +375,7 @@ def word_counts(training: DataFrame) -> DataFrame:
                     words, counts = Vocabulary(), np.zeros(0, np.int64)
         yield out()
 
-    return cut(training.select("text").mapInArrow(run, "code long, class int, c long").groupBy("code").agg(F.first("class").alias("class"), F.sum("c").alias("c")))
+    return stored(training.select("text").mapInArrow(run, "code long, class int, c long").groupBy("code").agg(F.first("class").alias("class"), F.sum("c").alias("c")))
 
 
 def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
