@@ -50,6 +50,8 @@ TRANSITION, TRANSITION_SHARE = 4, 2e-7
 SLICE = 150_000_000
 #: Places in texts whose contexts and next symbols are summed up together; contexts of more places are dealt out.
 PART = 1_000_000
+#: Transitions whose probabilities the driver looks up at a time.
+RUN = 250_000
 CLASSES = 256
 DEPTH = 3
 #: Symbols that are no words: the place before a text, in contexts only.
@@ -271,7 +273,11 @@ class Tree:
         parent = np.zeros(n, np.int64)
         for d in range(1, depth):
             parent[self.kept[d - 1][chain[d - 1]]] = d
-        under = self._probability(parent[owner], [c[owner] for c in chain], symbol)
+        under = np.empty(len(moves))
+        for begin in range(0, len(moves), RUN):
+            run = slice(begin, begin + RUN)
+            of = owner[run]
+            under[run] = self._probability(parent[of], [c[of] for c in chain], symbol[run])
         held = np.bincount(owner, counts, n)
         retained = np.bincount(owner, minlength=n)
         rest = np.maximum(occurrences - held, 0.0)
