@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block: of queries, and of what is searched.
 QUERIES, CHUNKS = 1024, 16384
+#: Texts that are embedded at once.
+TEXTS = 256
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 Embedder = Callable[[Sequence[str]], list[list[float]]]
 
@@ -110,14 +112,18 @@ def hashing_embedder(dimension: int = 384) -> Embedder:
 
 
 def embedded(df: DataFrame, text: str, embedder: Embedder | Callable[[], Embedder], into: str = "embedding") -> DataFrame:
-    """df with a vector for each text, in Arrow batches; the embedder is set up once a task."""
+    """df with a vector for each text, in Arrow batches, of which TEXTS at a time are embedded and kept as plain arrays."""
+
+    step = TEXTS
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(embedder(batch.fillna("").tolist()))
+            texts = batch.fillna("").tolist()
+            made = (v for k in range(0, len(texts), step) for v in embedder(texts[k : k + step]))
+            yield pd.Series([np.asarray(v, np.float32) for v in made], dtype=object)
 
-    return df.withColumn(into, run(text))
+    return df.withColumn(into, run.asNondeterministic()(text))  # or a filter on vectors would have them made twice
 
 
 def search_text(chunks: DataFrame, text: str, embedder: Embedder, k: int = 10) -> DataFrame:
