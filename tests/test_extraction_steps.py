@@ -51,3 +51,15 @@ def test_rows_are_handed_on_in_parts(spark, monkeypatch):
     monkeypatch.setattr(extract, "HANDED", 2)
     made = extract.parsed(spark.createDataFrame([(f"{k}.py", "def f():\n    g()\n") for k in range(20)], "path string, content string").coalesce(1), ("name",))
     assert made.count() == 60
+
+
+@pytest.mark.parametrize("columns", [("edge_type",), ("ordinal", "name", "doc_comment", "visibility"), ("signature", "start_line", "end_line", "is_in_loop"), ("fields", "cyclomatic", "bases", "attributes")])
+def test_only_asked_columns_are_made_and_are_the_same(monkeypatch, columns):
+    columns = (*columns, "file_path", "kind")
+    every = {p: extract.extract_file(p, t) for p, t in extraction.FIXTURES.items() if t}
+    if "doc_comment" not in columns:
+        monkeypatch.setattr(extract.Source, "doc", None)  # can't be called
+    with extract.asking(columns):
+        made = {p: extract.extract_file(p, t) for p, t in extraction.FIXTURES.items() if t}
+    assert {p: rows and [{c: r.get(c) for c in columns} for r in rows] for p, rows in made.items()} == {p: rows and [{c: r[c] for c in columns} for r in rows] for p, rows in every.items()}
+    assert extract.extract_file("a.py", "def f(): pass")[0].keys() == set(extract.COLUMNS)
