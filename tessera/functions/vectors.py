@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
@@ -16,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a block: of queries, and of what is searched.
-QUERIES, CHUNKS = 1024, 16384
+QUERIES, CHUNKS = 4096, 16384
+#: Queries of a block that are multiplied at once.
+ASKED = 256
 #: Texts that are embedded at once.
 TEXTS = 256
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -53,14 +56,29 @@ def _best_of_block(queries: pa.Table, chunks: pa.Table, k: int) -> pa.Table:
     q, c = _matrix(queries.column("v")), _matrix(chunks.column("v"))
     if not len(q) or not len(c) or q.shape[1] != c.shape[1]:
         return _scored([], [], [])
-    lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = np.where(lengths > 0, np.round(q @ c.T / lengths, 6), np.nan)
     order = np.lexsort(([-1 if x is None else x for x in chunks.column("id").to_pylist()],))
-    best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]  # what is no number comes last
-    ids, owners = np.array(chunks.column("id").to_pylist(), object), queries.column("id").to_pylist()
-    taken = np.take_along_axis(score, best, axis=1)
-    return _scored([i for i in owners for _ in range(best.shape[1])], ids[best.ravel()].tolist(), [None if np.isnan(x) else x for x in taken.ravel().tolist()])
+    c, ids, owners = c[order], np.array(chunks.column("id").to_pylist(), object)[order], np.array(queries.column("id").to_pylist(), object)
+    norms, k = np.linalg.norm(c, axis=1), min(k, len(c))
+    parts = []
+    for at in range(0, len(q), ASKED):
+        own = q[at : at + ASKED]
+        lengths = np.linalg.norm(own, axis=1)[:, None] * norms[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.where(lengths > 0, np.round(own @ c.T / lengths, 6), np.nan)
+        rows, places = _greatest(np.where(np.isnan(score), -np.inf, score), k)  # what is no number comes last
+        taken = score[rows, places]
+        parts.append((owners[at + rows].tolist(), ids[places].tolist(), [None if np.isnan(x) else x for x in taken.tolist()]))
+    return _scored(*(list(itertools.chain.from_iterable(x)) for x in zip(*parts)))
+
+
+def _greatest(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k greatest values of each row, greatest first, of equal ones the first columns. Only values from the k-th on are sorted."""
+    least = np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
+    above, level = values > least[:, None], values == least[:, None]
+    level &= np.cumsum(level, axis=1, dtype=np.int32) <= (k - above.sum(axis=1))[:, None]
+    rows, columns = np.nonzero(above | level)
+    sort = np.lexsort((columns, -values[rows, columns], rows))
+    return rows[sort], columns[sort]
 
 
 def _scored(owners: list, ids: list, scores: list) -> pa.Table:
