@@ -53,11 +53,15 @@ def current(tasks: DataFrame, pointer: DataFrame) -> DataFrame:
 
 def parsed_answer(answer: Column) -> Column:
     """The fields of an answer's JSON; null if a required one is missing. Lists of related files default to empty."""
-    parsed = F.from_json(X.json_block(answer), ANSWER)
-    findings = F.transform(parsed["findings"], lambda f: F.struct(f["title"].alias("title"), f["description"].alias("description"), F.coalesce(f["related_files"], F.array().cast("array<string>")).alias("related_files")))
-    complete = parsed["summary"].isNotNull() & parsed["findings"].isNotNull() & parsed["dependencies"].isNotNull() & parsed["suggested_approach"].isNotNull()
-    whole = ~F.exists(parsed["findings"], lambda f: f["title"].isNull() | f["description"].isNull()) & ~F.exists(parsed["dependencies"], lambda d: d["name"].isNull() | d["description"].isNull() | d["is_external"].isNull())
-    return F.when(complete & whole, F.struct(parsed["summary"].alias("summary"), findings.alias("findings"), parsed["dependencies"].alias("dependencies"), parsed["suggested_approach"].alias("suggested_approach")))
+
+    def made(parsed: Column) -> Column:
+        findings = F.transform(parsed["findings"], lambda f: F.struct(f["title"].alias("title"), f["description"].alias("description"), F.coalesce(f["related_files"], F.array().cast("array<string>")).alias("related_files")))
+        complete = parsed["summary"].isNotNull() & parsed["findings"].isNotNull() & parsed["dependencies"].isNotNull() & parsed["suggested_approach"].isNotNull()
+        whole = ~F.exists(parsed["findings"], lambda f: f["title"].isNull() | f["description"].isNull()) & ~F.exists(parsed["dependencies"], lambda d: d["name"].isNull() | d["description"].isNull() | d["is_external"].isNull())
+        return F.when(complete & whole, F.struct(parsed["summary"].alias("summary"), findings.alias("findings"), parsed["dependencies"].alias("dependencies"), parsed["suggested_approach"].alias("suggested_approach")))
+
+    # a variable of a lambda function: else the text would be parsed for each use of a field
+    return F.transform(F.array(F.from_json(X.json_block(answer), ANSWER)), made)[0]
 
 
 def research_prompt(task: Column, context: Column) -> Column:

@@ -696,8 +696,9 @@ def answer_parse(spark, sf):
     finding = F.array(F.struct(F.col("event_type").alias("title"), F.lit("seen").alias("description")))
     dependency = F.array().cast("array<struct<name:string,description:string,is_external:boolean>>")
     answer = F.concat(F.lit("Sure. "), F.to_json(F.struct(F.col("event_type").alias("summary"), finding.alias("findings"), dependency.alias("dependencies"), F.lit("do").alias("suggested_approach"))))
-    rows = t(spark, sf, "events").select("event_id", tasks.parsed_answer(answer).alias("a"))
-    return rows.where("a is not null").select("event_id", "a.summary", F.size("a.findings").alias("findings"), F.size("a.dependencies").alias("dependencies"))
+    # a filter on what was parsed would parse it once more
+    rows = t(spark, sf, "events").select("event_id", F.explode(F.array_compact(F.array(tasks.parsed_answer(answer)))).alias("a"))
+    return rows.select("event_id", "a.summary", F.size("a.findings").alias("findings"), F.size("a.dependencies").alias("dependencies"))
 
 
 @query(r"SELECT conv_id, turn, 'Study the code below for this task and answer in JSON with summary, findings, dependencies and suggested_approach.' || chr(10) || chr(10) || 'Task: ' || role || chr(10) || chr(10) || coalesce(text, '') AS research, 'Revise the answer below.' || chr(10) || chr(10) || 'Summary:' || chr(10) || role || chr(10) || chr(10) || 'Suggested approach:' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || 'What to change:' || chr(10) || 'all' AS refinement FROM conversations")

@@ -63,3 +63,10 @@ def test_only_asked_columns_are_made_and_are_the_same(monkeypatch, columns):
         made = {p: extract.extract_file(p, t) for p, t in extraction.FIXTURES.items() if t}
     assert {p: rows and [{c: r.get(c) for c in columns} for r in rows] for p, rows in made.items()} == {p: rows and [{c: r[c] for c in columns} for r in rows] for p, rows in every.items()}
     assert extract.extract_file("a.py", "def f(): pass")[0].keys() == set(extract.COLUMNS)
+
+
+def test_answers_are_parsed_once(spark, sf):
+    from tessera.plans import catalogue
+
+    plan = catalogue.QUERIES["answer_parse"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") + plan.count("jsontostructs") == 1
