@@ -472,9 +472,9 @@ def graph_degree(spark, sf):
 
 @query(GRAPH + "SELECT DISTINCT unnest([src, dst]) AS key FROM edges WHERE src = 'struct:n0.rs:0:' || (SELECT min(name) FROM n1 WHERE key LIKE 'struct:n0.rs:0:%') OR dst = 'struct:n0.rs:0:' || (SELECT min(name) FROM n1 WHERE key LIKE 'struct:n0.rs:0:%')")
 def graph_neighbors(spark, sf):
-    nodes, edges = graph.graph(entities(spark, sf), calls(spark, sf))
+    nodes = graph.nodes(entities(spark, sf))
     first = nodes.where(F.startswith("key", F.lit("struct:n0.rs:0:"))).agg(F.min("label")).first()[0]
-    return graph.neighbours(edges, f"struct:n0.rs:0:{first}")
+    return graph.around(entities(spark, sf), calls(spark, sf), f"struct:n0.rs:0:{first}")
 
 
 @query(GRAPH + ", d AS (SELECT caller_name AS label, string_agg(callee_name, ', ' ORDER BY callee_name) AS names FROM (SELECT DISTINCT caller_name, callee_name FROM calls) GROUP BY 1), i AS (SELECT callee_name AS label, string_agg(caller_name, ', ' ORDER BY caller_name) AS names FROM (SELECT DISTINCT caller_name, callee_name FROM calls) GROUP BY 1) SELECT nodes.key, CASE WHEN key LIKE 'fn:%' THEN 'function' WHEN key LIKE 'impl:%' THEN NULL ELSE category END AS node_type, nodes.label, coalesce(d.names, '') AS dependencies, coalesce(i.names, '') AS impact FROM nodes LEFT JOIN d ON d.label = nodes.label LEFT JOIN i ON i.label = nodes.label")
