@@ -37,8 +37,7 @@ def code(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     shapes = F.array(*map(F.lit, SHAPES))
 
-    def shaped(line: F.Column, i: F.Column) -> F.Column:
-        words = F.regexp_extract_all(line, F.lit("[A-Za-z]+"), F.lit(0))
+    def shaped(words: F.Column, i: F.Column) -> F.Column:
         named = lambda k, lone: F.coalesce(F.get(words, F.lit(k)), F.lit(lone))
         shape = F.get(shapes, F.pmod(F.col("doc_id") + i, F.lit(len(SHAPES))))
         for own, name in (("A", F.initcap(named(0, "x"))), ("B", F.initcap(named(1, "y")))):
@@ -47,7 +46,8 @@ def code(spark: SparkSession, sf: str) -> DataFrame:
             shape = F.regexp_replace(shape, F.lit(rf"\b{own}\b"), name)
         return F.when(F.size(words) > 0, shape).otherwise("")
 
-    lines = F.transform(F.split("text", "\n"), shaped)
+    words = F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(line, F.lit("[A-Za-z]+"), F.lit(0)))  # made once a line
+    lines = F.transform(words, shaped)
     return docs.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".kt")).alias("path"), F.array_join(lines, "\n").alias("content"))
 
 

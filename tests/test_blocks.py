@@ -74,3 +74,15 @@ def test_matches_keep_offsets(spark):
     got = blocks.matches(files, {0: blocks.FUNCTION_PATTERNS[0][0]}).orderBy("k").collect()
     assert [(r.start_line, r.end_line, r.whole) for r in got] == [(1, 1, "fn a"), (2, 4, "\n\n fn b"), (6, 7, "fn\n c")]
     assert blocks.matches(files, {0: r"x"}).agg(F.count(F.lit(1))).first()[0] == 2
+
+
+def test_texts_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    files = spark.createDataFrame([(f"f{k}", "fn a() {\n  b()\n}\n") for k in range(20)], "path string, content string").withColumn("content", F.udf(counted)("content"))
+    assert blocks.fallback_rows(files).where("kind = 'function'").count()
+    assert read.value == 20
