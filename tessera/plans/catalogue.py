@@ -169,7 +169,7 @@ CHUNKS = f"""WITH RECURSIVE {FILES}, split AS (
 
 @query(CHUNKS + "SELECT file_path, ordinal, start_line, end_line FROM chunks")
 def chunk_spans(spark, sf):
-    return chunking.chunks(files(spark, sf)).drop("content")
+    return chunking.chunks(files(spark, sf), columns=("file_path", "ordinal", "start_line", "end_line"))
 
 
 @query(CHUNKS + "SELECT file_path, ordinal, sha256(content) AS hash, strlen(content) AS size FROM chunks")
@@ -179,7 +179,8 @@ def chunk_rows(spark, sf):
 
 @query(CHUNKS + "SELECT count(*) AS chunks, count(DISTINCT file_path) AS files, CAST(sum(end_line - start_line + 1) AS BIGINT) AS lines, count(*) FILTER (start_line = 0) AS from_zero FROM chunks")
 def chunk_stats(spark, sf):
-    return chunking.chunks(files(spark, sf)).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("file_path").alias("files"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines"), F.count_if(F.col("start_line") == 0).alias("from_zero"))
+    rows = chunking.chunks(files(spark, sf), columns=("file_path", "start_line", "end_line"))
+    return rows.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("file_path").alias("files"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines"), F.count_if(F.col("start_line") == 0).alias("from_zero"))
 
 
 # Names, lines, scores
