@@ -70,3 +70,9 @@ def test_answers_are_parsed_once(spark, sf):
 
     plan = catalogue.QUERIES["answer_parse"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") + plan.count("jsontostructs") == 1
+
+
+def test_constructors_are_sought_only_where_their_name_is_called(monkeypatch):
+    made = {p: extract.extract_file(p, t) for p, t in extraction.FIXTURES.items() if p.endswith((".java", ".cs"))}
+    monkeypatch.setattr(extract, "_CONSTRUCTOR", None)  # can't be searched
+    assert made and all(made.values()) and made == {p: extract.extract_file(p, extraction.FIXTURES[p]) for p in made}
