@@ -463,12 +463,12 @@ def graph_edges(spark, sf):
 
 @query(GRAPH + "SELECT DISTINCT src, dst FROM edges")
 def graph_edge_dedup(spark, sf):
-    return graph.simple_edges(graph.graph(entities(spark, sf), calls(spark, sf))[1])
+    return graph.simple_edges(graph.graph(entities(spark, sf), calls(spark, sf), repeated=True)[1])
 
 
 @query(GRAPH + ", p AS (SELECT DISTINCT src, dst FROM edges) SELECT key, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS key, 1 AS o, 0 AS i FROM p UNION ALL SELECT dst, 0, 1 FROM p) GROUP BY key")
 def graph_degree(spark, sf):
-    return graph.degrees(graph.graph(entities(spark, sf), calls(spark, sf))[1])
+    return graph.degrees(graph.graph(entities(spark, sf), calls(spark, sf), repeated=True)[1])
 
 
 @query(GRAPH + "SELECT DISTINCT unnest([src, dst]) AS key FROM edges WHERE src = 'struct:n0.rs:0:' || (SELECT min(name) FROM n1 WHERE key LIKE 'struct:n0.rs:0:%') OR dst = 'struct:n0.rs:0:' || (SELECT min(name) FROM n1 WHERE key LIKE 'struct:n0.rs:0:%')")

@@ -17,3 +17,10 @@ def test_around_equals_neighbours_of_the_whole_graph(spark, sf, monkeypatch, key
     monkeypatch.setattr(graph, "resolved_calls", lambda c, ids: seen.append(c.count()) or plain(c, ids))
     assert sorted(r.key for r in graph.around(entities, calls, key).collect()) == every
     assert seen[0] < calls.count() / 2
+
+
+@pytest.mark.parametrize("name, of", [("graph_edge_dedup", graph.simple_edges), ("graph_degree", graph.degrees)])
+def test_edges_are_not_made_distinct_by_relation_before_pairs(spark, sf, name, of):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")
+    twice = of(graph.graph(catalogue.entities(spark, sf), catalogue.calls(spark, sf))[1])
+    assert plan(catalogue.QUERIES[name](spark, sf)) < plan(twice)
