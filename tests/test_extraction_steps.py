@@ -1,5 +1,6 @@
 """Extraction hands on only what is asked for, and looks no file up again."""
 
+import pyarrow as pa
 import pytest
 
 from tessera.operators import extract
@@ -76,3 +77,23 @@ def test_constructors_are_sought_only_where_their_name_is_called(monkeypatch):
     made = {p: extract.extract_file(p, t) for p, t in extraction.FIXTURES.items() if p.endswith((".java", ".cs"))}
     monkeypatch.setattr(extract, "_CONSTRUCTOR", None)  # can't be searched
     assert made and all(made.values()) and made == {p: extract.extract_file(p, extraction.FIXTURES[p]) for p in made}
+
+
+def test_batches_are_made_of_what_rows_have():
+    kinds = pa.schema([("a", pa.string()), ("n", pa.int32()), ("items", pa.list_(pa.struct([("name", pa.string())]))), ("none", pa.bool_())])
+
+    class Row(dict):
+        def get(self, *_):
+            raise AssertionError("each column asks each row")
+
+    rows = [Row(a="x", n=1), Row(a="y", items=[{"name": "p"}], more=5), Row(a="z", n=None, items=[]), Row(a="", none=False)]
+    made = extract._batch(rows, kinds)
+    assert made.schema == kinds and made.to_pylist() == [{k: dict.get(r, k) for k in kinds.names} for r in rows]
+    assert extract._batch([], kinds).to_pylist() == []
+
+
+def test_rust_items_begin_at_lines_and_unbalanced_files_are_not_scanned(monkeypatch):
+    text = "/* pub fn no() { */\npub(crate)\n  async fn a() { b(); }\n  x fn c() {}\nconst D: [u8; 1]\n= [1]; static E: u8 = 1;\n\tstatic F: u8 = 2;\nimpl A for B { fn g(&self) {} pub fn h() {} }\n"
+    assert [(r["kind"], r["name"]) for r in extract.rust("a.rs", text) if r["kind"] != "edge"] == [("function", "a"), ("const", "D"), ("static", "F"), ("impl", "A_for_B"), ("function", "g"), ("function", "h")]
+    monkeypatch.setattr(extract, "Source", None)  # can't be made
+    assert extract.extract_file("a.rs", "fn a() {\n  b();\n") is None
