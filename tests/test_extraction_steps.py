@@ -97,3 +97,8 @@ def test_rust_items_begin_at_lines_and_unbalanced_files_are_not_scanned(monkeypa
     assert [(r["kind"], r["name"]) for r in extract.rust("a.rs", text) if r["kind"] != "edge"] == [("function", "a"), ("const", "D"), ("static", "F"), ("impl", "A_for_B"), ("function", "g"), ("function", "h")]
     monkeypatch.setattr(extract, "Source", None)  # can't be made
     assert extract.extract_file("a.rs", "fn a() {\n  b();\n") is None
+
+
+def test_names_of_fields_are_read_alone(spark, sf):
+    plan = extraction.QUERIES["extract_typescript"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "fields#" in plan and "lambdafunction" not in plan
