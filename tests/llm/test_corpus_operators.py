@@ -264,6 +264,15 @@ def test_line_dedup_of_nothing_and_equal_rows(spark):
     assert sorted((r.doc_id, r.text, r.n_removed) for r in found) == [(1, "a b\nc", 1), (1, "a b\nc", 1), (2, "", 1)]
 
 
+def test_texts_that_keep_all_lines_are_not_shuffled(spark):
+    rows = [(1, "a b c\n\n\nd e f\n"), (2, "g h i"), (3, "\nj k l\ng h i"), (4, " \nm n o"), (5, "p q r\np q r"), (6, None), (7, ""), (8, "\n\n"), (9, "a b c")]
+    found = line_dedup.dedup_lines(docs(spark, rows))
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in found.collect()) == [(1, rows[0][1], 0), (2, "g h i", 0), (3, "\nj k l", 1), (4, rows[3][1], 0), (5, "p q r", 1), (6, None, 0), (7, "", 0), (8, "\n\n", 0), (9, "", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    whole = [x for x in plan.split("\n") if "Join" in x]
+    assert len(whole) == 1 and plan.lstrip().startswith("Union")  # one side of the union has no join
+
+
 def components_by_force(rows):
     """The number of each row's component."""
     return groups_by_force([(k, t) for k, (_, t) in enumerate(rows)], ordered=False)
