@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from tessera.llm.common import checkpoint_dir, free_name, table
+from tessera.llm.common import checkpoint_dir, dropped, free_name, passing, shuffles_freed, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What a stage needed, and what the one before it returned, goes when it is written; so the disk holds one stage at a time."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with passing(spark), shuffles_freed(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            dropped(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
